@@ -1,4 +1,7 @@
-"""Text columns: axis titles, tooltips, popups, captions."""
+"""Text columns: axis titles, tooltips, popups, captions.
+
+Fixed values: the wording and markup of tooltips, popups, links and titles.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +14,11 @@ def round1(value: Column) -> Column:
     return F.bround(value, 1)
 
 
+def shown(value: Column) -> Column:
+    """A measured value as shown: one digit, without the noise of its arithmetic."""
+    return number_text(round1(F.round(value, 6)))
+
+
 def number_text(value: Column) -> Column:
     """A number as printed in a label: no trailing ``.0``, ``NA`` when missing."""
     return F.coalesce(F.regexp_replace(value.cast("string"), r"\.0$", ""), F.lit("NA"))
@@ -39,7 +47,7 @@ def band_tooltip(what: str, month: Column, value: Column, name: Column, unit: Co
                  year: Column | None = None) -> Column:
     """Hover text of one band edge; the extremes also name their year."""
     parts = [F.lit("Historic "), text(month), F.lit(f" {what}"), F.lit("<br>"), text(name),
-             F.lit(": "), number_text(round1(value)), F.lit(" "), text(unit)]
+             F.lit(": "), shown(value), F.lit(" "), text(unit)]
     if year is not None:
         parts += [F.lit("<br>Year observed: "), number_text(year)]
     return F.concat(*parts)
@@ -48,7 +56,7 @@ def band_tooltip(what: str, month: Column, value: Column, name: Column, unit: Co
 def point_tooltip(month: Column, year: Column, value: Column, name: Column, unit: Column,
                   site_name: Column | None = None) -> Column:
     parts = [text(month), F.lit(" "), number_text(year), F.lit("<br>"), text(name), F.lit(": "),
-             number_text(round1(value)), F.lit(" "), text(unit)]
+             shown(value), F.lit(" "), text(unit)]
     if site_name is not None:
         parts = [text(site_name), F.lit("<br>")] + parts
     return F.concat(*parts)

@@ -89,22 +89,22 @@ class MonitoringView:
 
     @cached_property
     def meas(self) -> DataFrame:
+        return self.samples_of(self.table("lineitem"))
+
+    def samples_of(self, lines: DataFrame) -> DataFrame:
+        """Line items, batch or stream, as measurements."""
         sites = self._located.select("s_suppkey", "s_name", "r_name", "SiteType")
         line = F.col("l_linenumber")
-        return (
-            self.table("lineitem")
-            .join(sites, F.col("l_suppkey") == F.col("s_suppkey"))
-            .select(
-                F.col("r_name").alias("Park"), F.col("s_name").alias("Site"), "SiteType",
-                _by_line(line, 1, "string").alias("Characteristic"),
-                F.when(line <= PHYSICAL_LINES, "physical").otherwise("nutrients").alias("Category"),
-                F.col("l_shipdate").cast("date").alias("Date"),
-                F.when(F.col("SiteType") == "Lake", "epilimnion").otherwise("stream").alias("SampleDepth"),
-                F.col("l_quantity").alias("Value"),
-                F.col("l_quantity").cast("bigint").cast("string").alias("TextValue"),
-                (F.col("l_discount") < 0.01).alias("Censored"),
-                F.when(F.col("l_orderkey") % 13 == 0, None).otherwise(F.col("l_quantity")).alias("ValueCen"),
-            )
+        return lines.join(sites, F.col("l_suppkey") == F.col("s_suppkey")).select(
+            F.col("r_name").alias("Park"), F.col("s_name").alias("Site"), "SiteType",
+            _by_line(line, 1, "string").alias("Characteristic"),
+            F.when(line <= PHYSICAL_LINES, "physical").otherwise("nutrients").alias("Category"),
+            F.col("l_shipdate").cast("date").alias("Date"),
+            F.when(F.col("SiteType") == "Lake", "epilimnion").otherwise("stream").alias("SampleDepth"),
+            F.col("l_quantity").alias("Value"),
+            F.col("l_quantity").cast("bigint").cast("string").alias("TextValue"),
+            (F.col("l_discount") < 0.01).alias("Censored"),
+            F.when(F.col("l_orderkey") % 13 == 0, None).otherwise(F.col("l_quantity")).alias("ValueCen"),
         )
 
     @cached_property
