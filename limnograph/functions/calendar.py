@@ -40,7 +40,7 @@ def mon_year(date: Column) -> Column:
 
 def month_label(number: Column) -> Column:
     """Short label of a month number; cheaper than formatting a date per row."""
-    return F.element_at(F.array(*[F.lit(m) for m in MONTH_ABBR]), number)
+    return F.element_at(F.expr(f"array({', '.join(repr(m) for m in MONTH_ABBR)})"), number)
 
 
 def month_axis(months: Iterable[int] = FIELD_SEASON) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from limnograph.functions.calendar import month_full, month_label, with_calendar
 from limnograph.functions.nulls import strict_agg
-from limnograph.operators.quantiles import HOT_ROWS, group_quantiles
+from limnograph.operators.quantiles import HOT_ROWS, HotRule, group_quantiles
 
 SERIES = ["Park", "Site", "Characteristic"]
 MONTHLY = [*SERIES, "month_num"]
@@ -24,22 +24,22 @@ BAND_QUANTILES = {
 MIN_SAMPLES = 4
 
 
-def year_of_min(value: Column, year: Column) -> Column:
+def year_of_min(value: str = "ValueCen", year: str = "year") -> Column:
     """Year of the smallest value; a tie goes to the latest year."""
-    return -F.min(F.when(value.isNotNull(), F.struct(value.alias("v"), (-year).alias("y"))))["y"]
+    return F.expr(f"-min(CASE WHEN {value} IS NOT NULL THEN struct({value} AS v, -{year} AS y) END).y")
 
 
-def year_of_max(value: Column, year: Column) -> Column:
-    return F.max(F.when(value.isNotNull(), F.struct(value.alias("v"), year.alias("y"))))["y"]
+def year_of_max(value: str = "ValueCen", year: str = "year") -> Column:
+    return F.expr(f"max(CASE WHEN {value} IS NOT NULL THEN struct({value} AS v, {year} AS y) END).y")
 
 
-def last_by_date(value: Column, date: Column) -> Column:
+def last_by_date(value: str = "ValueCen", date: str = "Date") -> Column:
     """Last value in date order; a tie goes to the larger value."""
-    return F.max(F.when(date.isNotNull(), F.struct(date.alias("d"), value.alias("v"))))["v"]
+    return F.expr(f"max(CASE WHEN {date} IS NOT NULL THEN struct({date} AS d, {value} AS v) END).v")
 
 
 def monthly_bands(hist: DataFrame, *, value: str = "ValueCen", min_samples: int = MIN_SAMPLES,
-                  hot_rows: int | None = HOT_ROWS) -> DataFrame:
+                  hot_rows: HotRule = HOT_ROWS) -> DataFrame:
     """Count, median, extremes with their years, and the 100/95/50 % bands of every month.
 
     ``num_samps`` counts missing values too and decides whether a month is kept; the quantiles
@@ -53,8 +53,8 @@ def monthly_bands(hist: DataFrame, *, value: str = "ValueCen", min_samples: int
             F.count(F.lit(1)).alias("num_samps"),
             F.min(v).alias("min_val"),
             F.max(v).alias("max_val"),
-            year_of_min(v, F.col("year")).alias("year_min"),
-            year_of_max(v, F.col("year")).alias("year_max"),
+            year_of_min(value).alias("year_min"),
+            year_of_max(value).alias("year_max"),
         ],
     )
     kept = stats.where((F.col("num_samps") >= min_samples) & F.col("lower_50").isNotNull())
@@ -67,7 +67,7 @@ def monthly_bands(hist: DataFrame, *, value: str = "ValueCen", min_samples: int
 
 
 def percentile_bands(hist: DataFrame, *, value: str = "ValueCen", min_samples: int = MIN_SAMPLES,
-                     hot_rows: int | None = HOT_ROWS) -> DataFrame:
+                     hot_rows: HotRule = HOT_ROWS) -> DataFrame:
     """The bands alone, with full month names and no extremes besides the 100 % band."""
     bands = monthly_bands(hist, value=value, min_samples=min_samples, hot_rows=hot_rows)
     month = month_full(F.make_date(F.lit(2000), F.col("month_num"), F.lit(1)))
@@ -78,7 +78,7 @@ def percentile_bands(hist: DataFrame, *, value: str = "ValueCen", min_samples: i
 
 
 def mean_and_95_band(hist: DataFrame, *, value: str = "ValueCen", min_samples: int = MIN_SAMPLES,
-                     hot_rows: int | None = HOT_ROWS) -> DataFrame:
+                     hot_rows: HotRule = HOT_ROWS) -> DataFrame:
     """Mean (missing as soon as one value is missing), count and the 95 % band of every month."""
     v = F.col(value)
     rows = with_calendar(hist).select(*MONTHLY, value)

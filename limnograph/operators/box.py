@@ -7,16 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnograph.operators.quantiles import HOT_ROWS, group_quantiles
+from limnograph.operators.quantiles import HOT_ROWS, HotRule, group_quantiles
 
 # Quartiles and the fence factor.
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 FENCE = 1.5
+STATS = ["n", "q1", "median", "q3", "lower_fence", "upper_fence"]
 
 
 def box_fences(df: DataFrame, keys: Sequence[str], *, value: str = "ValueCen",
-               method: str = "hazen", hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Quartiles and fences of every group that has a value."""
+               method: str = "hazen", hot_rows: HotRule = HOT_ROWS) -> DataFrame:
+    """Quartiles and fences of every group that has a value.
+
+    The result is joined back to the rows for whiskers and for outliers; it ends in an exchange
+    that both read, so the quartiles are worked out once.
+    """
     rows = df.where(F.col(value).isNotNull()).select(*keys, value)
     stats = group_quantiles(
         rows, keys, value, QUARTILES, method=method, hot_rows=hot_rows,
@@ -26,31 +31,33 @@ def box_fences(df: DataFrame, keys: Sequence[str], *, value: str = "ValueCen",
     return stats.select(
         *keys, "n", "q1", "median", "q3",
         (F.col("q1") - reach).alias("lower_fence"), (F.col("q3") + reach).alias("upper_fence"),
-    )
+    ).hint("rebalance")
 
 
 def box_stats(df: DataFrame, keys: Sequence[str], *, value: str = "ValueCen",
-              method: str = "hazen", hot_rows: int | None = HOT_ROWS,
+              method: str = "hazen", hot_rows: HotRule = HOT_ROWS,
               fences: DataFrame | None = None) -> DataFrame:
-    """Quartiles, fences and whiskers: the most extreme values inside the fences."""
+    """Quartiles, fences and whiskers: the most extreme values inside the fences.
+
+    Equal values are merged before they meet the fences.
+    """
     fences = box_fences(df, keys, value=value, method=method, hot_rows=hot_rows) \
         if fences is None else fences
     values = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("_w")
     )
     inside = F.col(value).between(F.col("lower_fence"), F.col("upper_fence"))
-    whiskers = values.join(fences, list(keys)).groupBy(*keys).agg(
+    return values.join(fences, list(keys)).groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in STATS],
         F.min(F.when(inside, F.col(value))).alias("lower_whisker"),
         F.max(F.when(inside, F.col(value))).alias("upper_whisker"),
         F.sum(F.when(~inside, F.col("_w")).otherwise(0)).alias("n_outliers"),
     )
-    return fences.join(whiskers, list(keys), "left")
 
 
 def box_outliers(df: DataFrame, fences: DataFrame, keys: Sequence[str], *,
                  value: str = "ValueCen") -> DataFrame:
-    """The rows outside their group's fences."""
-    edges = fences.select(*keys, "lower_fence", "upper_fence")
-    joined = df.where(F.col(value).isNotNull()).join(edges, list(keys))
+    """The rows outside their group's fences, with the statistics of their box."""
+    joined = df.where(F.col(value).isNotNull()).join(fences, list(keys))
     outside = (F.col(value) < F.col("lower_fence")) | (F.col(value) > F.col("upper_fence"))
     return joined.where(outside)

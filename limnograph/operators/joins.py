@@ -32,13 +32,17 @@ def left_join(left: DataFrame, right: DataFrame, on: Sequence[str] | Mapping[str
     return left.join(renamed, list(on), "left")
 
 
-def full_join(left: DataFrame, right: DataFrame, on: Sequence[str] | None = None) -> DataFrame:
+def full_join(left: DataFrame, right: DataFrame, on: Sequence[str] | None = None, *,
+              hot: bool = False) -> DataFrame:
     """Full outer join on the shared columns.
 
-    Built as a left join plus the right rows without a partner: adaptive execution can split a
-    hot key in those two, but not in a full outer join. Put the side with repeated keys left.
+    ``hot`` says that a key may repeat on the left without bound. Adaptive execution cannot split
+    such a key in a full outer join, so the left join, where it can, and the right rows without a
+    partner are put together instead.
     """
     on = list(on) if on is not None else shared_columns(left, right)
+    if not hot:
+        return left.join(right, on, "full_outer")
     matched = left.join(right, on, "left")
     lonely = right.join(left.select(*on).distinct(), on, "left_anti")
     return matched.unionByName(lonely, allowMissingColumns=True)

@@ -9,6 +9,7 @@ blocks that hold a wanted rank are looked into, each by its own task.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -23,33 +24,60 @@ SPLITTERS = 4096
 _STRIDE = 64
 
 
-def rank_position(n: Column, p: float, method: str) -> Column:
-    """Fractional 1-based rank of quantile ``p`` among ``n`` values."""
+def rank_position(p: float, method: str, n: str = "_n") -> str:
+    """SQL text of the fractional 1-based rank of quantile ``p`` among ``n`` values."""
     if method == "type7":
-        return (n - 1) * F.lit(p) + 1
+        return f"(({n} - 1) * {p}D + 1)"
     if method == "hazen":
-        return F.least(F.greatest(n * F.lit(p) + 0.5, F.lit(1.0)), n.cast("double"))
+        return f"least(greatest({n} * {p}D + 0.5D, 1D), {n})"
     raise ValueError(f"unknown quantile method {method!r}")
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
-    """The keys of groups beyond ``hot_rows`` rows, or None when there are none.
+def _wanted_ranks(quantiles: Mapping[str, float], method: str) -> dict[str, str]:
+    """SQL text of the two ranks each quantile lies between."""
+    ranks = {}
+    for name, p in quantiles.items():
+        position = rank_position(p, method)
+        ranks[f"_lo_{name}"], ranks[f"_hi_{name}"] = f"floor({position})", f"ceil({position})"
+    return ranks
+
+
+@dataclass(frozen=True)
+class HotGroups:
+    """Keys of the groups that are too large for one task; None when there are none."""
+
+    keys: DataFrame | None = None
+
+    def __bool__(self) -> bool:
+        return self.keys is not None
+
+    def calm(self, df: DataFrame, on: Sequence[str]) -> DataFrame:
+        return df if self.keys is None else join_on(df, self.keys, on, "left_anti")
+
+    def rows(self, df: DataFrame, on: Sequence[str]) -> DataFrame:
+        return join_on(df, self.keys, on, "left_semi")
+
+
+HotRule = int | None | HotGroups
+
+
+def hot_groups(df: DataFrame, keys: Sequence[str], rule: HotRule) -> HotGroups:
+    """Find the groups beyond ``rule`` rows; ``None`` trusts that there are none.
 
-    Reads the key columns only; the row count is checked first because a table of at most
-    ``hot_rows`` rows cannot hold such a group.
+    Reads the key columns only. The row count comes first, because a table of at most that many
+    rows cannot hold such a group. The keys are written to the checkpoint folder, and broadcast
+    in later joins only while they are few.
     """
-    if df.count() <= hot_rows:
-        return None
-    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
+    if isinstance(rule, HotGroups):
+        return rule
+    if rule is None or df.count() <= rule:
+        return HotGroups()
+    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rule)
     big = big.select(*keys)
     if big.isEmpty():
-        return None
-    return checkpointed(big)
-
-
-def small_enough_to_broadcast(hot: DataFrame) -> DataFrame:
-    """Broadcast the hot keys while they are few; otherwise leave the join to the planner."""
-    return F.broadcast(hot) if hot.count() <= BROADCAST_GROUPS else hot
+        return HotGroups()
+    big = checkpointed(big)
+    return HotGroups(F.broadcast(big) if big.count() <= BROADCAST_GROUPS else big)
 
 
 def group_quantiles(
@@ -60,51 +88,49 @@ def group_quantiles(
     *,
     method: str = "type7",
     aggs: Sequence[Column] = (),
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: HotRule = HOT_ROWS,
     splitters: int = SPLITTERS,
 ) -> DataFrame:
     """One row per group: ``aggs`` over all its rows and exact quantiles of its non-NULL values.
 
-    ``aggs`` are ordinary aggregates with partial forms. ``hot_rows=None`` skips the check for
-    hot groups, for input whose groups are known to be small.
+    ``aggs`` are ordinary aggregates with partial forms. ``hot_rows`` may also be the hot groups
+    found earlier for rows that include these.
     """
-    hot = hot_groups(df, keys, hot_rows) if hot_rows is not None else None
-    if hot is None:
-        return _by_window(df, keys, value, quantiles, method, aggs)
-    hot = small_enough_to_broadcast(hot)
-    calm = _by_window(join_on(df, hot, keys, "left_anti"), keys, value, quantiles, method, aggs)
-    rows = join_on(df, hot, keys, "left_semi")
+    hot = hot_groups(df, keys, hot_rows)
+    calm = _by_window(hot.calm(df, keys), keys, value, quantiles, method, aggs)
+    if not hot:
+        return calm
+    rows = hot.rows(df, keys)
     picked = _by_blocks(rows, keys, value, quantiles, method, splitters)
     if aggs:
         picked = join_on(rows.groupBy(*keys).agg(*aggs), picked, keys, "left")
     return calm.unionByName(picked)
 
 
-def _interpolated(quantiles: Mapping[str, float], n: Column, method: str) -> list[Column]:
-    out = []
+def _interpolated(grouped: DataFrame, quantiles: Mapping[str, float], method: str) -> DataFrame:
+    """Replace the picked neighbours by the quantile between them."""
+    kept = [c for c in grouped.columns if not c.startswith(("_lo_", "_hi_")) and c != "_n"]
+    between = []
     for name, p in quantiles.items():
-        pos = rank_position(n, p, method)
-        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((low + (high - low) * (pos - F.floor(pos))).alias(name))
-    return out
+        position = rank_position(p, method)
+        low, high = f"_lo_{name}", f"_hi_{name}"
+        between.append(f"{low} + ({high} - {low}) * ({position} - floor({position})) AS {name}")
+    return grouped.selectExpr(*kept, *between)
 
 
 def _by_window(df, keys, value, quantiles, method, aggs) -> DataFrame:
-    group = W.partitionBy(*keys)
-    ranked = df.withColumns(
-        {
-            "_rank": F.row_number().over(group.orderBy(F.col(value).asc_nulls_last())),
-            "_n": F.count(value).over(group),
-        }
+    by = ", ".join(keys)
+    ranked = df.selectExpr(
+        "*",
+        f"row_number() OVER (PARTITION BY {by} ORDER BY {value} ASC NULLS LAST) AS _rank",
+        f"count({value}) OVER (PARTITION BY {by}) AS _n",
     )
-    picks = []
-    for name, p in quantiles.items():
-        pos = rank_position(F.col("_n"), p, method)
-        for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            picks.append(F.max(F.when(F.col("_rank") == rank, F.col(value))).alias(f"_{side}_{name}"))
-    grouped = ranked.groupBy(*keys).agg(*aggs, *picks, F.max("_n").alias("_n"))
-    kept = [c for c in grouped.columns if not c.startswith(("_lo_", "_hi_")) and c != "_n"]
-    return grouped.select(*kept, *_interpolated(quantiles, F.col("_n"), method))
+    picks = [
+        F.expr(f"max(CASE WHEN _rank = {rank} THEN {value} END) AS {name}")
+        for name, rank in _wanted_ranks(quantiles, method).items()
+    ]
+    grouped = ranked.groupBy(*keys).agg(*aggs, *picks, F.expr("max(_n) AS _n"))
+    return _interpolated(grouped, quantiles, method)
 
 
 def _by_blocks(rows, keys, value, quantiles, method, splitters) -> DataFrame:
@@ -121,20 +147,15 @@ def _by_blocks(rows, keys, value, quantiles, method, splitters) -> DataFrame:
     every = F.greatest(F.lit(1), F.ceil(F.col("_distinct") / splitters))
     cut = with_blocks(tagged, keys, value, every, [value]).drop("_distinct")
 
+    ranks = _wanted_ranks(quantiles, method)
     blocks = cut.groupBy(*keys, "_block").agg(
         F.sum("_w").alias("_block_n"), F.max("_n").alias("_n")
     )
     before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = blocks.withColumn("_before", F.coalesce(F.sum("_block_n").over(before), F.lit(0)))
-    ranks = {}
-    for name, p in quantiles.items():
-        pos = rank_position(F.col("_n"), p, method)
-        ranks[f"_lo_{name}"], ranks[f"_hi_{name}"] = F.floor(pos), F.ceil(pos)
-    holds_rank = F.lit(False)
-    for rank in ranks.values():
-        holds_rank = holds_rank | (
-            (rank > F.col("_before")) & (rank <= F.col("_before") + F.col("_block_n"))
-        )
+    holds_rank = " OR ".join(
+        f"({rank} > _before AND {rank} <= _before + _block_n)" for rank in ranks.values()
+    )
     wanted = offsets.where(holds_rank).select(*keys, "_block", "_before")
 
     within = W.partitionBy(*keys, "_block").orderBy(value)
@@ -142,13 +163,11 @@ def _by_blocks(rows, keys, value, quantiles, method, splitters) -> DataFrame:
         "_last", F.col("_before") + F.sum("_w").over(within)
     )
     picks = [
-        F.max(
-            F.when((rank <= F.col("_last")) & (rank > F.col("_last") - F.col("_w")), F.col(value))
-        ).alias(name)
+        F.expr(f"max(CASE WHEN {rank} <= _last AND {rank} > _last - _w THEN {value} END) AS {name}")
         for name, rank in ranks.items()
     ]
     grouped = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks)
-    return grouped.select(*keys, *_interpolated(quantiles, F.col("_n"), method))
+    return _interpolated(grouped, quantiles, method)
 
 
 def with_blocks(rows: DataFrame, keys: Sequence[str], value: str, every: Column,

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from limnograph.functions.tails import normal_p_value
 from limnograph.operators.bands import SERIES
 from limnograph.operators.joins import join_on
-from limnograph.operators.quantiles import hot_groups, small_enough_to_broadcast, with_blocks
+from limnograph.operators.quantiles import hot_groups, with_blocks
 from limnograph.session import checkpointed
 
 PAIR_ROWS = 1500
@@ -34,17 +34,15 @@ DAYS_PER_YEAR = 365.25
 _BLOCKS = 256
 _CANDIDATES = 15
 _ROUNDS = 13
+_TIES = ["n", "n_days", "v2", "v3", "v5", "d2", "d3", "d5"]
 _SCORED = T.StructType(
-    [
-        T.StructField("s", T.LongType()),
-        T.StructField("slope", T.DoubleType()),
-        T.StructField("n_pairs", T.LongType()),
-    ]
+    [T.StructField("s", T.LongType())]
+    + [T.StructField(c, T.DoubleType()) for c in ["slope", *_TIES]]
 )
 
 
-def _score_pairs(t: np.ndarray, y: np.ndarray, measured: np.ndarray) -> tuple[int, float | None, int]:
-    """Score, slope and number of pairs that bear on the slope, for one short series."""
+def _score_pairs(t: np.ndarray, y: np.ndarray, measured: np.ndarray) -> tuple[int, float | None]:
+    """Score and slope of one short series."""
     i, j = np.triu_indices(len(t), 1)
     apart = t[i] != t[j]
     i, j = i[apart], j[apart]
@@ -63,16 +61,22 @@ def _score_pairs(t: np.ndarray, y: np.ndarray, measured: np.ndarray) -> tuple[in
         ends.append(slopes[np.searchsorted(drop, start)])
     if len(drop) and drop[-1] > start:
         ends.append(slopes[np.searchsorted(drop, start, side="right")])
-    return int(s), (float(np.mean(ends)) if ends else None), int(used.sum())
+    return int(s), (float(np.mean(ends)) if ends else None)
+
+
+def _ties(values: np.ndarray) -> tuple[float, float, float]:
+    c = np.unique(values, return_counts=True)[1].astype(float)
+    return (c * (c - 1)).sum(), (c * (c - 1) * (c - 2)).sum(), (c * (c - 1) * (2 * c + 5)).sum()
 
 
 @F.pandas_udf(_SCORED)
 def _scored(t: pd.Series, y: pd.Series, measured: pd.Series) -> pd.DataFrame:
-    rows = [
-        _score_pairs(np.asarray(a, dtype=float), np.asarray(b, dtype=float), np.asarray(m, dtype=bool))
-        for a, b, m in zip(t, y, measured)
-    ]
-    out = pd.DataFrame(rows, columns=["s", "slope", "n_pairs"])
+    rows = []
+    for days, values, flags in zip(t, y, measured):
+        a, b = np.asarray(days, dtype=float), np.asarray(values, dtype=float)
+        scored = _score_pairs(a, b, np.asarray(flags, dtype=bool))
+        rows.append((*scored, len(a), len(np.unique(a)), *_ties(b), *_ties(a)))
+    out = pd.DataFrame(rows, columns=["s", "slope", *_TIES])
     out["slope"] = out["slope"].astype(float)
     return out
 
@@ -88,16 +92,15 @@ def _samples(meas: DataFrame, keys: Sequence[str], value: str, censored: bool) -
 
 
 def _tie_sums(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Sample count and the sums over ties of value and of day that the variance needs."""
+    """Sample and day count, and the sums over ties of value (v) and day (d) for the variance."""
     out = None
     for column, tag in (("y", "v"), ("t", "d")):
         ties = samples.groupBy(*keys, column).agg(F.count(F.lit(1)).cast("double").alias("c"))
-        c = F.col("c")
         sums = ties.groupBy(*keys).agg(
-            F.sum("c").alias("_n") if out is None else F.count("c").alias("n_days"),
-            F.sum(c * (c - 1)).alias(f"_2{tag}"),
-            F.sum(c * (c - 1) * (c - 2)).alias(f"_3{tag}"),
-            F.sum(c * (c - 1) * (2 * c + 5)).alias(f"_5{tag}"),
+            F.expr("sum(c) AS n" if tag == "v" else "CAST(count(c) AS DOUBLE) AS n_days"),
+            F.expr(f"sum(c * (c - 1)) AS {tag}2"),
+            F.expr(f"sum(c * (c - 1) * (c - 2)) AS {tag}3"),
+            F.expr(f"sum(c * (c - 1) * (2 * c + 5)) AS {tag}5"),
         )
         out = sums if out is None else join_on(out, sums, keys)
     return out
@@ -113,39 +116,33 @@ def trend_nonpar(meas: DataFrame, *, keys: Sequence[str] = SERIES, value: str =
         keys.append("month_num")
     samples = _samples(meas, keys, value, censored)
     hot = hot_groups(samples, keys, pair_rows)
-    calm = samples
-    if hot is not None:
-        hot = small_enough_to_broadcast(hot)
-        calm = join_on(samples, hot, keys, "left_anti")
-    series = calm.groupBy(*keys).agg(F.collect_list(F.struct("t", "y", "u")).alias("_p"))
+    series = hot.calm(samples, keys).groupBy(*keys).agg(
+        F.collect_list(F.struct("t", "y", "u")).alias("_p")
+    )
     scored = series.select(*keys, _scored(F.col("_p.t"), F.col("_p.y"), F.col("_p.u")).alias("_s"))
-    scored = scored.select(*keys, "_s.s", "_s.slope")
-    if hot is not None:
-        long = join_on(samples, hot, keys, "left_semi")
-        scored = scored.unionByName(_long_series(long, keys, block_rows))
-    return _with_significance(join_on(_tie_sums(samples, keys), scored, keys, "left"), keys)
+    scored = scored.select(*keys, "_s.*")
+    if hot:
+        long = hot.rows(samples, keys)
+        scores = _long_series(long, keys, block_rows)
+        scored = scored.unionByName(join_on(_tie_sums(long, keys), scores, keys, "left"))
+    return _with_significance(scored, keys)
 
 
 def _with_significance(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    n, s = F.col("_n"), F.col("s")
-    pairs = n * (n - 1)
-    variance = (pairs * (2 * n + 5) - F.col("_5v") - F.col("_5d")) / 18
-    variance = variance + F.when(n > 1, F.col("_2v") * F.col("_2d") / (2 * pairs)).otherwise(0)
-    variance = variance + F.when(
-        n > 2, F.col("_3v") * F.col("_3d") / (9 * pairs * (n - 2))
-    ).otherwise(0)
-    untied = F.sqrt((pairs - F.col("_2v")) * (pairs - F.col("_2d"))) / 2
-    df = df.withColumns(
-        {
-            "n": n.cast("bigint"),
-            "tau": F.when(untied > 0, s / untied),
-            "z": F.when(variance > 0, (s - F.signum(s)) / F.sqrt(variance)),
-            "slope_per_year": F.col("slope") * DAYS_PER_YEAR,
-        }
+    """Normal approximation with the variance corrected for ties in value and in day."""
+    varied = df.selectExpr(
+        *keys, "CAST(n AS BIGINT) AS n", "CAST(n_days AS BIGINT) AS n_days", "s", "slope",
+        """(n * (n - 1) * (2 * n + 5) - v5 - d5) / 18
+           + IF(n > 1, v2 * d2 / (2 * n * (n - 1)), 0)
+           + IF(n > 2, v3 * d3 / (9 * n * (n - 1) * (n - 2)), 0) AS variance""",
+        "sqrt((n * (n - 1) - v2) * (n * (n - 1) - d2)) / 2 AS untied",
     )
-    return df.withColumn("p_value", normal_p_value(F.col("z"))).select(
-        *keys, "n", "n_days", "s", "tau", "z", "p_value", "slope_per_year"
+    tested = varied.selectExpr(
+        *keys, "n", "n_days", "s", "IF(untied > 0, s / untied, NULL) AS tau",
+        "IF(variance > 0, (s - signum(s)) / sqrt(variance), NULL) AS z",
+        f"slope * {DAYS_PER_YEAR}D AS slope_per_year",
     )
+    return tested.withColumn("p_value", normal_p_value(F.col("z")))
 
 
 def pair_score(t: np.ndarray, rank: np.ndarray, measured: np.ndarray, weight: np.ndarray) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnograph.operators.quantiles import HOT_ROWS
+from limnograph.operators.quantiles import HOT_ROWS, HotRule
 from limnograph.plans.boxplot import boxplot
 from limnograph.plans.params import ReportParams
 from limnograph.plans.report_index import report_index
@@ -20,7 +20,7 @@ BATCH_PARKS = ["MABI", "MIMA", "MORR", "ROVA", "SAGA", "SARA", "WEFA"]
 
 
 def report_datasets(meas: DataFrame, sites: DataFrame, chars: DataFrame, params: ReportParams, *,
-                    hot_rows: int | None = HOT_ROWS) -> dict[str, DataFrame]:
+                    hot_rows: HotRule = HOT_ROWS) -> dict[str, DataFrame]:
     """The plot-ready tables of a report."""
     out = {
         "waterbands": waterbands(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from limnograph.functions.calendar import month_label, with_calendar
 from limnograph.operators.aggregates import axis_domain
 from limnograph.operators.bands import MONTHLY, SERIES
-from limnograph.operators.box import box_fences, box_outliers, box_stats
+from limnograph.operators.box import STATS, box_fences, box_outliers, box_stats
 from limnograph.operators.catalog import get_wdata
 from limnograph.operators.filters import (
     LAKE_MONTHS,
@@ -21,7 +21,7 @@ from limnograph.operators.filters import (
     target_month,
     target_nutrient,
 )
-from limnograph.operators.quantiles import HOT_ROWS
+from limnograph.operators.quantiles import HOT_ROWS, HotRule
 from limnograph.operators.thresholds import box_class, with_points
 
 LAYER_COLUMNS = [
@@ -51,12 +51,12 @@ def boxplot_rows(meas: DataFrame, sites: DataFrame, *, year_from: int, current_y
 
 
 def boxplot(meas: DataFrame, sites: DataFrame, chars: DataFrame, *, year_from: int, year_to: int,
-            current_year: int, method: str = "hazen", hot_rows: int | None = HOT_ROWS,
+            current_year: int, method: str = "hazen", hot_rows: HotRule = HOT_ROWS,
             **row_options) -> DataFrame:
     """Layers of the plot in one long table.
 
     ``box``: statistics per month of the years up to ``year_to``. ``outlier``: historic samples
-    beyond the fences. ``current``: classified samples of the current year. ``threshold``: the
+    beyond the fences of their box. ``current``: classified samples of the current year. ``threshold``: the
     upper point with the ends of its line.
     """
     rows = boxplot_rows(meas, sites, year_from=year_from, current_year=current_year, **row_options)
@@ -64,7 +64,8 @@ def boxplot(meas: DataFrame, sites: DataFrame, chars: DataFrame, *, year_from: i
     fences = box_fences(hist, MONTHLY, method=method, hot_rows=hot_rows)
     boxes = box_stats(hist, MONTHLY, fences=fences).withColumn("layer", F.lit("box"))
     outliers = box_outliers(hist, fences, MONTHLY).select(
-        *MONTHLY, F.lit("outlier").alias("layer"), "Date", "year", F.col("ValueCen").alias("value")
+        *MONTHLY, F.lit("outlier").alias("layer"), *STATS, "Date", "year",
+        F.col("ValueCen").alias("value"),
     )
     now = with_points(rows.where(F.col("year") == current_year), chars)
     points = now.select(

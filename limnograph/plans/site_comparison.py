@@ -11,7 +11,7 @@ from limnograph.functions import labels
 from limnograph.functions.calendar import FIELD_SEASON, with_calendar
 from limnograph.operators.catalog import get_wdata
 from limnograph.operators.checks import require_single_year
-from limnograph.operators.joins import full_join, semi_join
+from limnograph.operators.joins import semi_join
 from limnograph.operators.thresholds import with_points
 
 
@@ -21,9 +21,12 @@ def site_names(sites: DataFrame) -> DataFrame:
 
 
 def join_site_names(rows: DataFrame, sites: DataFrame) -> DataFrame:
-    """Names of the sites that occur in ``rows``; nothing is lost on either side."""
-    names = semi_join(site_names(sites), rows, ["Park", "Site"])
-    return full_join(rows, names, ["Park", "Site"])
+    """Names of the sites that occur in ``rows``.
+
+    A full outer join with the names of exactly these sites keeps every row and adds none, so it
+    is a left join.
+    """
+    return rows.join(site_names(sites), ["Park", "Site"], "left")
 
 
 def site_comparison(meas: DataFrame, sites: DataFrame, chars: DataFrame, *, year: int,

@@ -11,9 +11,9 @@ from limnograph.functions import labels
 from limnograph.functions.calendar import FIELD_SEASON, month_label
 from limnograph.operators.bands import MIN_SAMPLES, MONTHLY, SERIES, monthly_bands
 from limnograph.operators.catalog import get_wdata
-from limnograph.operators.filters import current, historic
+from limnograph.operators.filters import historic
 from limnograph.operators.joins import full_join
-from limnograph.operators.quantiles import HOT_ROWS
+from limnograph.operators.quantiles import HOT_ROWS, HotRule, hot_groups
 from limnograph.operators.thresholds import band_class, with_points
 
 
@@ -26,13 +26,13 @@ def current_values(meas: DataFrame, year: int, months: Iterable[int] | None = No
     )
 
 
-def waterbands_from(bands: DataFrame, current_rows: DataFrame) -> DataFrame:
+def waterbands_from(bands: DataFrame, current_rows: DataFrame, *, hot: bool = False) -> DataFrame:
     """Bands and current samples side by side.
 
     Months with only a history or only current samples stay, and a month with several current
     samples has a row for each.
     """
-    joined = full_join(current_rows, bands.drop("month"), MONTHLY)
+    joined = full_join(current_rows, bands.drop("month"), MONTHLY, hot=hot)
     return joined.withColumn("month", month_label(F.col("month_num")))
 
 
@@ -47,12 +47,15 @@ def char_names(chars: DataFrame) -> DataFrame:
 
 def waterbands(meas: DataFrame, chars: DataFrame, *, year_historic: int, year_current: int,
                months: Iterable[int] = FIELD_SEASON, min_samples: int = MIN_SAMPLES,
-               assessment: str = "metadata", hot_rows: int | None = HOT_ROWS) -> DataFrame:
+               assessment: str = "metadata", hot_rows: HotRule = HOT_ROWS) -> DataFrame:
     """Bands, years of the extremes, current values, assessment points, class and labels."""
     months = tuple(months)
-    hist = get_wdata(historic(meas, year_historic, year_current), months=months)
-    bands = monthly_bands(hist, min_samples=min_samples, hot_rows=hot_rows)
-    joined = waterbands_from(bands, current_values(meas, year_current, months))
+    rows = get_wdata(meas, years=(year_historic, year_current), months=months)
+    rows = rows.withColumn("month_num", F.month("Date"))
+    hot = hot_groups(rows, MONTHLY, hot_rows)
+    bands = monthly_bands(historic(rows, year_historic, year_current), min_samples=min_samples,
+                          hot_rows=hot)
+    joined = waterbands_from(bands, current_values(rows, year_current), hot=bool(hot))
     named = joined.join(char_names(chars), SERIES, "left")
     if assessment == "none":
         named = with_points(named.drop("LowerPoint", "UpperPoint"), chars, assessment="none")

@@ -201,13 +201,13 @@ def _extreme_year(side: str) -> str:
 @query("win_year_of_min", KEYS + " year_min:i", _extreme_year("min"))
 def win_year_of_min(v):
     rows = with_calendar(history(v))
-    return rows.groupBy(*MONTHLY).agg(bands.year_of_min(F.col("ValueCen"), F.col("year")).alias("year_min"))
+    return rows.groupBy(*MONTHLY).agg(bands.year_of_min().alias("year_min"))
 
 
 @query("win_year_of_max", KEYS + " year_max:i", _extreme_year("max"))
 def win_year_of_max(v):
     rows = with_calendar(history(v))
-    return rows.groupBy(*MONTHLY).agg(bands.year_of_max(F.col("ValueCen"), F.col("year")).alias("year_max"))
+    return rows.groupBy(*MONTHLY).agg(bands.year_of_max().alias("year_max"))
 
 
 @query(
@@ -219,7 +219,7 @@ def win_year_of_max(v):
        WHERE i = 1""",
 )
 def win_last(v):
-    last = bands.last_by_date(F.col("ValueCen"), F.col("Date"))
+    last = bands.last_by_date()
     return v.meas.groupBy(*SERIES).agg(F.max("Date").alias("last_date"), last.alias("last_value"))
 
 

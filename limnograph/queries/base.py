@@ -11,7 +11,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from limnograph.queries.sql import VIEWS
 from limnograph.sources.monitoring_view import MonitoringView
@@ -28,7 +27,7 @@ class Query:
 
     def run(self, spark: SparkSession, folder: str) -> DataFrame:
         df = self.build(MonitoringView(spark, folder.rstrip("/")))
-        return df.select(*[_spark_column(name, kind) for name, kind in self.columns])
+        return df.selectExpr(*[_spark_column(name, kind) for name, kind in self.columns])
 
     def oracle(self) -> str | None:
         if self.sql is None:
@@ -52,11 +51,12 @@ def query(name: str, columns: str, sql: str | None = None) -> Callable[[Build],
     return register
 
 
-def _spark_column(name: str, kind: str):
-    c = F.col(f"`{name}`")
+def _spark_column(name: str, kind: str) -> str:
+    c = f"`{name}`"
     if kind == "d":
-        return (F.round(c.cast("double"), 6) + F.lit(0.0)).alias(name)
-    return c.cast({"i": "bigint", "b": "boolean"}.get(kind, "string")).alias(name)
+        return f"round(CAST({c} AS DOUBLE), 6) + 0D AS {c}"
+    kind = {"i": "BIGINT", "b": "BOOLEAN"}.get(kind, "STRING")
+    return f"CAST({c} AS {kind}) AS {c}"
 
 
 def _sql_column(name: str, kind: str) -> str:

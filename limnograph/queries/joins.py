@@ -71,9 +71,8 @@ _YEARS = f"""(SELECT Park, Site, Characteristic, month_num,
 @query("join_minmax_years", KEYS + " year_min:i year_max:i", f"SELECT * FROM {_YEARS}")
 def join_minmax_years(v):
     rows = with_calendar(history(v))
-    value, year = F.col("ValueCen"), F.col("year")
-    low = rows.groupBy(*MONTHLY).agg(bands.year_of_min(value, year).alias("year_min"))
-    high = rows.groupBy(*MONTHLY).agg(bands.year_of_max(value, year).alias("year_max"))
+    low = rows.groupBy(*MONTHLY).agg(bands.year_of_min().alias("year_min"))
+    high = rows.groupBy(*MONTHLY).agg(bands.year_of_max().alias("year_max"))
     return joins.full_join(high, low)
 
 
@@ -84,9 +83,8 @@ def join_minmax_years(v):
 )
 def join_summary_range(v):
     rows = with_calendar(history(v))
-    value, year = F.col("ValueCen"), F.col("year")
-    years = rows.groupBy(*MONTHLY).agg(bands.year_of_min(value, year).alias("year_min"),
-                                       bands.year_of_max(value, year).alias("year_max"))
+    years = rows.groupBy(*MONTHLY).agg(bands.year_of_min().alias("year_min"),
+                                       bands.year_of_max().alias("year_max"))
     counts = bands.group_quantiles(rows, MONTHLY, "ValueCen", {"median_val": 0.5},
                                    aggs=[F.count(F.lit(1)).alias("num_samps")])
     return joins.full_join(counts, years)

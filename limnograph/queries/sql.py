@@ -200,7 +200,6 @@ BOX_SOURCE = (
 BOX_HISTORY = f"(SELECT * FROM {BOX_SOURCE} AS b WHERE year <= 2000)"
 MONTH_KEYS = "Park, Site, Characteristic, month_num"
 
-_NONE = "NULL AS"
 BOXPLOT = f"""
 WITH points_now AS (
   SELECT s.*, LowerPoint, UpperPoint FROM {BOX_SOURCE} AS s LEFT JOIN points USING (Park, Site, Characteristic)
@@ -216,7 +215,7 @@ FROM (
     CAST(NULL AS DOUBLE) AS UpperPoint, CAST(NULL AS DOUBLE) AS line_start, CAST(NULL AS DOUBLE) AS line_end
   FROM {box_stats(BOX_HISTORY, MONTH_KEYS, 'hazen')} AS b
   UNION ALL
-  SELECT Park, Site, Characteristic, month_num, 'outlier', NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+  SELECT Park, Site, Characteristic, month_num, 'outlier', n, q1, median, q3, lower_fence, upper_fence, NULL,
     NULL, NULL, Date, year, ValueCen, NULL, NULL, NULL, NULL
   FROM {BOX_HISTORY} AS h JOIN {fences(BOX_HISTORY, MONTH_KEYS, 'hazen')} AS f USING ({MONTH_KEYS})
   WHERE ValueCen < lower_fence OR ValueCen > upper_fence

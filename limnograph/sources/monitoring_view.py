@@ -35,18 +35,22 @@ def park_code(park: Column) -> Column:
     return F.create_map(*pairs)[park]
 
 
-def _by_line(number: Column, field: int, kind: str) -> Column:
-    chosen = None
-    for row in CHARACTERISTICS:
-        chosen = (F if chosen is None else chosen).when(number == row[0], F.lit(row[field]))
-    return chosen.otherwise(F.lit(CHARACTERISTICS[-1][field])).cast(kind)
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    return f"'{value}'" if isinstance(value, str) else f"{value}D"
 
 
-def _by_name(name: Column, field: int, kind: str) -> Column:
-    chosen = None
-    for row in CHARACTERISTICS:
-        chosen = (F if chosen is None else chosen).when(name == row[1], F.lit(row[field]))
-    return chosen.cast(kind)
+def _by_name(field: int, kind: str) -> str:
+    """SQL text of an attribute of the characteristic in ``CharName``."""
+    whens = " ".join(f"WHEN '{row[1]}' THEN {_literal(row[field])}" for row in CHARACTERISTICS)
+    return f"CAST(CASE CharName {whens} END AS {kind})"
+
+
+_CHAR_OF_LINE = "CASE l_linenumber {} ELSE '{}' END".format(
+    " ".join(f"WHEN {row[0]} THEN '{row[1]}'" for row in CHARACTERISTICS[:-1]), CHARACTERISTICS[-1][1]
+)
+_CATEGORY_OF_LINE = f"IF(l_linenumber <= {PHYSICAL_LINES}, 'physical', 'nutrients')"
 
 
 @dataclass(frozen=True)
@@ -56,18 +60,31 @@ class MonitoringView:
     spark: SparkSession
     folder: str
 
+    @cached_property
+    def _tables(self) -> dict[str, DataFrame]:
+        return {}
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
-    @cached_property
-    def _located(self) -> DataFrame:
+    def _with_place(self, suppliers: DataFrame) -> DataFrame:
+        """Nation and region of rows that have a supplier.
+
+        One table after the other, so that each is broadcast or shuffled by its own size; the
+        size of a join of the three would be overestimated.
+        """
         return (
-            self.table("supplier")
-            .join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+            suppliers.join(self.table("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
             .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .withColumn("SiteType", F.when(F.col("s_suppkey") % 2 == 0, "Lake").otherwise("Stream"))
+            .selectExpr("*", "IF(s_suppkey % 2 = 0, 'Lake', 'Stream') AS SiteType")
         )
 
+    @cached_property
+    def _located(self) -> DataFrame:
+        return self._with_place(self.table("supplier"))
+
     @cached_property
     def parks(self) -> DataFrame:
         return self.table("region").select(
@@ -77,14 +94,10 @@ class MonitoringView:
 
     @cached_property
     def sites(self) -> DataFrame:
-        return self._located.select(
-            F.col("r_name").alias("ParkCode"), F.col("r_name").alias("ParkShortName"),
-            F.concat(F.col("r_name"), F.lit(" PARK")).alias("ParkLongName"),
-            F.lit("network").alias("Network"), F.col("s_name").alias("SiteCode"),
-            F.concat(F.col("n_name"), F.lit(" site "), F.col("s_suppkey")).alias("SiteName"),
-            (F.lit(40.0) + F.col("n_nationkey") / 8).alias("lat"),
-            (F.lit(-70.0) - F.col("s_suppkey") % 64 / 16).alias("long"),
-            F.col("SiteType").alias("type"),
+        return self._located.selectExpr(
+            "r_name AS ParkCode", "r_name AS ParkShortName", "concat(r_name, ' PARK') AS ParkLongName",
+            "'network' AS Network", "s_name AS SiteCode", "concat(n_name, ' site ', s_suppkey) AS SiteName",
+            "40D + n_nationkey / 8 AS lat", "-70D - s_suppkey % 64 / 16 AS long", "SiteType AS type",
         )
 
     @cached_property
@@ -93,37 +106,26 @@ class MonitoringView:
 
     def samples_of(self, lines: DataFrame) -> DataFrame:
         """Line items, batch or stream, as measurements."""
-        sites = self._located.select("s_suppkey", "s_name", "r_name", "SiteType")
-        line = F.col("l_linenumber")
-        return lines.join(sites, F.col("l_suppkey") == F.col("s_suppkey")).select(
-            F.col("r_name").alias("Park"), F.col("s_name").alias("Site"), "SiteType",
-            _by_line(line, 1, "string").alias("Characteristic"),
-            F.when(line <= PHYSICAL_LINES, "physical").otherwise("nutrients").alias("Category"),
-            F.col("l_shipdate").cast("date").alias("Date"),
-            F.when(F.col("SiteType") == "Lake", "epilimnion").otherwise("stream").alias("SampleDepth"),
-            F.col("l_quantity").alias("Value"),
-            F.col("l_quantity").cast("bigint").cast("string").alias("TextValue"),
-            (F.col("l_discount") < 0.01).alias("Censored"),
-            F.when(F.col("l_orderkey") % 13 == 0, None).otherwise(F.col("l_quantity")).alias("ValueCen"),
+        placed = self._with_place(lines.join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")))
+        return placed.selectExpr(
+            "r_name AS Park", "s_name AS Site", "SiteType", f"{_CHAR_OF_LINE} AS Characteristic",
+            f"{_CATEGORY_OF_LINE} AS Category", "CAST(l_shipdate AS DATE) AS Date",
+            "IF(SiteType = 'Lake', 'epilimnion', 'stream') AS SampleDepth", "l_quantity AS Value",
+            "CAST(CAST(l_quantity AS BIGINT) AS STRING) AS TextValue", "l_discount < 0.01 AS Censored",
+            "IF(l_orderkey % 13 = 0, NULL, l_quantity) AS ValueCen",
         )
 
     @cached_property
     def chars(self) -> DataFrame:
         """Characteristics that occur at a site; all attributes follow from the name."""
-        line, name = F.col("l_linenumber"), F.col("CharName")
-        pairs = (
-            self.table("lineitem")
-            .select("l_suppkey", _by_line(line, 1, "string").alias("CharName"),
-                    F.when(line <= PHYSICAL_LINES, "physical").otherwise("nutrients").alias("Category"))
-            .distinct()
-        )
-        return pairs.join(self._located, F.col("l_suppkey") == F.col("s_suppkey")).select(
-            F.col("r_name").alias("ParkCode"), F.col("s_name").alias("SiteCode"), "CharName",
-            _by_name(name, 2, "string").alias("DisplayName"),
-            _by_name(name, 2, "string").alias("CategoryDisplay"), "Category",
-            _by_name(name, 3, "string").alias("Units"),
-            _by_name(name, 4, "double").alias("LowerPoint"),
-            _by_name(name, 5, "double").alias("UpperPoint"),
+        pairs = self.table("lineitem").selectExpr(
+            "l_suppkey", f"{_CHAR_OF_LINE} AS CharName", f"{_CATEGORY_OF_LINE} AS Category"
+        ).distinct()
+        placed = self._with_place(pairs.join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")))
+        return placed.selectExpr(
+            "r_name AS ParkCode", "s_name AS SiteCode", "CharName", f"{_by_name(2, 'string')} AS DisplayName",
+            f"{_by_name(2, 'string')} AS CategoryDisplay", "Category", f"{_by_name(3, 'string')} AS Units",
+            f"{_by_name(4, 'double')} AS LowerPoint", f"{_by_name(5, 'double')} AS UpperPoint",
         )
 
     @cached_property
