@@ -46,9 +46,17 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, value))
 
 
+_erfc = np.vectorize(math.erfc, otypes=[float])
+# Beyond this many degrees of freedom the beta function loses digits that the normal keeps.
+_NORMAL_FROM = 1e6
+
+
 def t_two_sided(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     t, df = np.asarray(t, dtype=float), np.asarray(df, dtype=float)
-    return incomplete_beta(df / 2.0, np.full_like(df, 0.5), df / (df + t * t))
+    few = np.minimum(df, _NORMAL_FROM)
+    exact = incomplete_beta(few / 2.0, np.full_like(df, 0.5), few / (few + t * t))
+    z = t * (1 - 1 / (4 * df)) / np.sqrt(1 + t * t / (2 * df))
+    return np.where(df > _NORMAL_FROM, _erfc(np.abs(z) / math.sqrt(2.0)), exact)
 
 
 def t_critical(level: float, df: np.ndarray) -> np.ndarray:
