@@ -44,9 +44,13 @@ def _wanted_ranks(quantiles: Mapping[str, float], method: str) -> dict[str, str]
 
 @dataclass(frozen=True)
 class HotGroups:
-    """Keys of the groups that are too large for one task; None when there are none."""
+    """Keys of the groups that are too large for one task; None when there are none.
+
+    ``few`` says that their number was checked to be small enough for broadcasts.
+    """
 
     keys: DataFrame | None = None
+    few: bool = False
 
     def __bool__(self) -> bool:
         return self.keys is not None
@@ -77,7 +81,8 @@ def hot_groups(df: DataFrame, keys: Sequence[str], rule: HotRule) -> HotGroups:
     if big.isEmpty():
         return HotGroups()
     big = checkpointed(big)
-    return HotGroups(F.broadcast(big) if big.count() <= BROADCAST_GROUPS else big)
+    few = big.count() <= BROADCAST_GROUPS
+    return HotGroups(F.broadcast(big) if few else big, few)
 
 
 def group_quantiles(

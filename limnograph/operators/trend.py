@@ -33,7 +33,7 @@ BLOCK_ROWS = 50_000
 DAYS_PER_YEAR = 365.25
 _BLOCKS = 256
 _CANDIDATES = 15
-_ROUNDS = 13
+_ROUNDS = 12
 _TIES = ["n", "n_days", "v2", "v3", "v5", "d2", "d3", "d5"]
 _SCORED = T.StructType(
     [T.StructField("s", T.LongType())]
@@ -123,7 +123,7 @@ def trend_nonpar(meas: DataFrame, *, keys: Sequence[str] = SERIES, value: str =
     scored = scored.select(*keys, "_s.*")
     if hot:
         long = hot.rows(samples, keys)
-        scores = _long_series(long, keys, block_rows)
+        scores = _long_series(long, keys, block_rows, hot.few)
         scored = scored.unionByName(join_on(_tie_sums(long, keys), scores, keys, "left"))
     return _with_significance(scored, keys)
 
@@ -174,32 +174,31 @@ def pair_score(t: np.ndarray, rank: np.ndarray, measured: np.ndarray, weight: np
 
 
 def _block_scores(rows: DataFrame, keys: Sequence[str], block_rows: int) -> DataFrame:
-    """Score of every group of (t, z, u, w) rows, blockwise."""
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
-    rows = join_on(rows, sizes, keys)
+    """Score of every group of (t, z, u, w) rows, blockwise; ``_m`` is the group's row count."""
     every = F.greatest(F.lit(block_rows), F.ceil(F.col("_m") / _BLOCKS))
-    rows = with_blocks(rows, keys, "z", every, ["t", "z"]).drop("_m")
+    rows = with_blocks(rows, keys, "z", every, ["t", "z"])
     schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("s", T.LongType())])
 
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        rank = np.lexsort((pdf["u"], pdf["z"]))
-        place = np.empty(len(pdf), dtype=np.int64)
-        z, u = pdf["z"].to_numpy()[rank], pdf["u"].to_numpy()[rank]
-        place[rank] = np.cumsum(np.r_[True, (z[1:] != z[:-1]) | (u[1:] != u[:-1])])
-        s = pair_score(pdf["t"].to_numpy(), place, pdf["u"].to_numpy(dtype=bool), pdf["w"].to_numpy())
-        return pd.DataFrame([[*pdf.iloc[0][keys], s]], columns=[*keys, "s"])
+    def within(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        z, u = pdf["z"].to_numpy(), pdf["u"].to_numpy(dtype=bool)
+        order = np.lexsort((u, z))
+        changes = (np.diff(z[order]) != 0) | (np.diff(u[order].astype(int)) != 0)
+        rank = np.empty(len(pdf), dtype=np.int64)
+        rank[order] = np.cumsum(np.r_[True, changes])
+        s = pair_score(pdf["t"].to_numpy(), rank, u, pdf["w"].to_numpy())
+        return pd.DataFrame([(*key[:-1], s)], columns=[*keys, "s"])
 
-    def between(pdf: pd.DataFrame) -> pd.DataFrame:
+    def between(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         day, block = np.unique(pdf["t"], return_inverse=True)[1], pdf["_block"].to_numpy()
+        w, wu = pdf["w"].to_numpy(), pdf["wu"].to_numpy()
         below = np.zeros(int(day.max()) + 1, dtype=np.int64)
         s = 0
         for b in np.unique(block):
             at = block == b
             earlier = np.cumsum(below)
-            gain = 2 * earlier[day[at]] - below[day[at]] - earlier[-1]
-            s += int((pdf["wu"].to_numpy()[at] * gain).sum())
-            np.add.at(below, day[at], pdf["w"].to_numpy()[at])
-        return pd.DataFrame([[*pdf.iloc[0][keys], s]], columns=[*keys, "s"])
+            s += int((wu[at] * (2 * earlier[day[at]] - below[day[at]] - earlier[-1])).sum())
+            np.add.at(below, day[at], w[at])
+        return pd.DataFrame([(*key, s)], columns=[*keys, "s"])
 
     inside = rows.groupBy(*keys, "_block").applyInPandas(within, schema)
     per_day = rows.groupBy(*keys, "_block", "t").agg(
@@ -209,24 +208,28 @@ def _block_scores(rows: DataFrame, keys: Sequence[str], block_rows: int) -> Data
     return inside.unionByName(across).groupBy(*keys).agg(F.sum("s").alias("s"))
 
 
-def _long_series(samples: DataFrame, keys: Sequence[str], block_rows: int) -> DataFrame:
+def _long_series(samples: DataFrame, keys: Sequence[str], block_rows: int, few: bool) -> DataFrame:
     """Score and slope of series too long for one task.
 
     The score falls as a larger slope is removed. Two ends are narrowed down together: where it
-    stops being positive and where it becomes negative; the slope lies half way.
+    stops being positive and where it becomes negative; the slope lies half way. ``few`` says
+    that the series are few enough to broadcast one short row for each.
     """
-    weighted = checkpointed(
-        samples.groupBy(*keys, "t", "y", "u").agg(F.count(F.lit(1)).alias("w"))
-    )
-    score = _block_scores(weighted.withColumnRenamed("y", "z"), keys, block_rows)
-    span = weighted.groupBy(*keys).agg(
-        (F.max("y") - F.min("y") + 1).alias("_reach"), F.min("t").alias("_t0")
+    small = F.broadcast if few else (lambda df: df)
+    weighted = samples.groupBy(*keys, "t", "y", "u").agg(F.count(F.lit(1)).alias("w"))
+    sizes = weighted.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_m"), F.min("t").alias("_t0"),
+        (F.max("y") - F.min("y") + 1).alias("_reach"),
     )
+    weighted = checkpointed(join_on(weighted, small(sizes), keys))
+    score = _block_scores(weighted.withColumnRenamed("y", "z").drop("_t0", "_reach"), keys, block_rows)
     ends = F.explode(F.array(F.lit("positive"), F.lit("negative")))
-    state = span.select(*keys, "_t0", ends.alias("_end"), (-F.col("_reach")).alias("_low"),
-                        F.col("_reach").alias("_high"))
+    state = weighted.select(*keys, "_reach").distinct().select(
+        *keys, ends.alias("_end"), (-F.col("_reach")).alias("_low"), F.col("_reach").alias("_high")
+    )
+    weighted = weighted.drop("_reach")
     for first in [True] + [False] * (_ROUNDS - 1):
-        state = checkpointed(_narrowed(weighted, state, keys, block_rows, first))
+        state = checkpointed(_narrowed(weighted, small(state), keys, block_rows, first))
     slope = state.groupBy(*keys).agg(F.avg((F.col("_low") + F.col("_high")) / 2).alias("slope"))
     return join_on(score, slope, keys, "left").select(*keys, "s", "slope")
 
@@ -237,18 +240,16 @@ def _narrowed(weighted: DataFrame, state: DataFrame, keys: Sequence[str], block_
 
     An end that has only one side has no crossing and is dropped in the first round.
     """
+    tried = [*keys, "_end", "_low", "_high", "_i"]
     step = F.explode(F.sequence(F.lit(0), F.lit(_CANDIDATES + 1)))
-    tries = state.select(*keys, "_t0", "_end", "_low", "_high", step.alias("_i")).withColumn(
-        "_beta", F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_i") / (_CANDIDATES + 1)
-    )
-    z = F.col("y") - F.col("_beta") * (F.col("t") - F.col("_t0"))
-    rows = join_on(weighted, tries.select(*keys, "_t0", "_end", "_i", "_beta"), keys)
-    rows = rows.select(*keys, "_end", "_i", "t", z.alias("z"), "u", "w")
-    scores = _block_scores(rows, [*keys, "_end", "_i"], block_rows)
-    scored = join_on(tries, scores, [*keys, "_end", "_i"])
-    near = F.when(F.col("_end") == "positive", F.col("s") > 0).otherwise(F.col("s") >= 0)
-    low, high = F.max(F.when(near, F.col("_beta"))), F.min(F.when(~near, F.col("_beta")))
+    rows = join_on(weighted, state, keys).select("*", step.alias("_i"))
+    beta = f"(_low + (_high - _low) * _i / {_CANDIDATES + 1})"
+    rows = rows.selectExpr(*tried, "_m", "t", f"y - {beta} * (t - _t0) AS z", "u", "w")
+    near = "IF(_end = 'positive', s > 0, s >= 0)"
+    low, high = f"max(IF({near}, {beta}, NULL))", f"min(IF({near}, NULL, {beta}))"
     if not first:
-        low, high = F.coalesce(low, F.min("_low")), F.coalesce(high, F.max("_high"))
-    narrowed = scored.groupBy(*keys, "_t0", "_end").agg(low.alias("_low"), high.alias("_high"))
-    return narrowed.where(F.col("_low").isNotNull() & F.col("_high").isNotNull())
+        low, high = f"coalesce({low}, min(_low))", f"coalesce({high}, max(_high))"
+    narrowed = _block_scores(rows, tried, block_rows).groupBy(*keys, "_end").agg(
+        F.expr(f"{low} AS _low"), F.expr(f"{high} AS _high")
+    )
+    return narrowed.where("_low IS NOT NULL AND _high IS NOT NULL")
