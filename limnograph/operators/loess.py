@@ -77,17 +77,17 @@ def loess_bands(bands: DataFrame, *, columns: dict[str, str] | None = None, span
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts = []
-            for row in pdf.itertuples(index=False):
-                record = dict(zip(pdf.columns, row))
-                matrix = smoother_matrix(tuple(record["_x"]), span, at)
-                part = {k: record[k] for k in keys}
-                part[month] = at
+            alike: dict[tuple, list[int]] = {}
+            for i, x in enumerate(pdf["_x"]):
+                alike.setdefault(tuple(x), []).append(i)
+            for x, rows in alike.items():
+                matrix, part = smoother_matrix(x, span, at), pdf.iloc[rows]
+                out = {k: np.repeat(part[k].to_numpy(), len(at)) for k in keys}
+                out[month] = np.tile(at, len(rows))
                 for column, name in names.items():
-                    part[name] = matrix @ np.asarray(record[f"_y_{column}"], dtype=float)
-                parts.append(pd.DataFrame(part))
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+                    values = np.stack(part[f"_y_{column}"].to_list()).astype(float)
+                    out[name] = (values @ matrix.T).ravel()
+                yield pd.DataFrame(out)
 
     smooth = packed.mapInPandas(fit, schema)
     return smooth.select(

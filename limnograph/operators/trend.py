@@ -17,6 +17,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,10 +36,9 @@ _BLOCKS = 256
 _CANDIDATES = 15
 _ROUNDS = 12
 _TIES = ["n", "n_days", "v2", "v3", "v5", "d2", "d3", "d5"]
-_SCORED = T.StructType(
-    [T.StructField("s", T.LongType())]
-    + [T.StructField(c, T.DoubleType()) for c in ["slope", *_TIES]]
-)
+_SCORED = [T.StructField("s", T.LongType())] + [
+    T.StructField(c, T.DoubleType()) for c in ["slope", *_TIES]
+]
 
 
 def _score_pairs(t: np.ndarray, y: np.ndarray, measured: np.ndarray) -> tuple[int, float | None]:
@@ -69,16 +69,21 @@ def _ties(values: np.ndarray) -> tuple[float, float, float]:
     return (c * (c - 1)).sum(), (c * (c - 1) * (c - 2)).sum(), (c * (c - 1) * (2 * c + 5)).sum()
 
 
-@F.pandas_udf(_SCORED)
-def _scored(t: pd.Series, y: pd.Series, measured: pd.Series) -> pd.DataFrame:
-    rows = []
-    for days, values, flags in zip(t, y, measured):
-        a, b = np.asarray(days, dtype=float), np.asarray(values, dtype=float)
-        scored = _score_pairs(a, b, np.asarray(flags, dtype=bool))
-        rows.append((*scored, len(a), len(np.unique(a)), *_ties(b), *_ties(a)))
-    out = pd.DataFrame(rows, columns=["s", "slope", *_TIES])
-    out["slope"] = out["slope"].astype(float)
-    return out
+def _score_series(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Score, slope and tie sums of short series, one Arrow table each."""
+    schema = T.StructType([samples.schema[k] for k in keys] + _SCORED)
+
+    def scored(key: tuple, series: pa.Table) -> pa.Table:
+        t, y, u = (series.column(c).to_numpy() for c in ("t", "y", "u"))
+        s, slope = _score_pairs(t.astype(float), y, u)
+        row = (s, slope, float(len(t)), float(len(np.unique(t))), *_ties(y), *_ties(t))
+        columns = {k: pa.array([v.as_py()], v.type) for k, v in zip(keys, key)}
+        columns["s"] = pa.array([s], pa.int64())
+        for name, value in zip(["slope", *_TIES], row[1:]):
+            columns[name] = pa.array([value], pa.float64())
+        return pa.table(columns)
+
+    return samples.groupBy(*keys).applyInArrow(scored, schema)
 
 
 def _samples(meas: DataFrame, keys: Sequence[str], value: str, censored: bool) -> DataFrame:
@@ -116,11 +121,7 @@ def trend_nonpar(meas: DataFrame, *, keys: Sequence[str] = SERIES, value: str =
         keys.append("month_num")
     samples = _samples(meas, keys, value, censored)
     hot = hot_groups(samples, keys, pair_rows)
-    series = hot.calm(samples, keys).groupBy(*keys).agg(
-        F.collect_list(F.struct("t", "y", "u")).alias("_p")
-    )
-    scored = series.select(*keys, _scored(F.col("_p.t"), F.col("_p.y"), F.col("_p.u")).alias("_s"))
-    scored = scored.select(*keys, "_s.*")
+    scored = _score_series(hot.calm(samples, keys), keys)
     if hot:
         long = hot.rows(samples, keys)
         scores = _long_series(long, keys, block_rows, hot.few)
