@@ -20,8 +20,8 @@ from limnograph.session import checkpointed
 
 HOT_ROWS = 1_000_000
 BROADCAST_GROUPS = 20_000
-SPLITTERS = 4096
-_STRIDE = 64
+SPLITTERS = 512
+_STRIDE = 24
 
 
 def rank_position(p: float, method: str, n: str = "_n") -> str:
@@ -194,14 +194,13 @@ def with_blocks(rows: DataFrame, keys: Sequence[str], value: str, every: Column,
             ),
         )
     )
-    placed = join_on(rows, marks, keys, "left").withColumn("_block", _block_of(F.col(value)))
-    return placed.drop("_marks", "_coarse")
-
-
-def _block_of(value: Column) -> Column:
-    """Number of splitters at or below the value, found in two short steps."""
-    coarse = F.size(F.filter("_coarse", lambda m: m <= value))
-    start = F.greatest(coarse - 1, F.lit(0)) * _STRIDE
-    near = F.slice(F.col("_marks"), start + 1, F.lit(_STRIDE))
-    found = start + F.size(F.filter(near, lambda m: m <= value))
-    return F.when(F.col("_marks").isNull(), F.lit(0)).otherwise(found)
+    # Two short steps: the part of the splitters to look at, then the place within it.
+    placed = join_on(rows, marks, keys, "left").withColumn(
+        "_start", F.expr(f"greatest(size(filter(_coarse, m -> m <= {value})) - 1, 0) * {_STRIDE}")
+    )
+    near = f"slice(_marks, _start + 1, {_STRIDE})"
+    placed = placed.withColumn(
+        "_block",
+        F.expr(f"IF(_marks IS NULL, 0, _start + size(filter({near}, m -> m <= {value})))"),
+    )
+    return placed.drop("_marks", "_coarse", "_start")

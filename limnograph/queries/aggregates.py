@@ -176,6 +176,33 @@ def agg_box_outliers_annual(v):
     return drafts.box_outliers_annual(v.meas).withColumnRenamed("Year", "box_year")
 
 
+_READINGS = "(SELECT event_type, CAST(ts AS DATE) AS day, value AS ValueCen FROM events)"
+
+
+def _readings(v):
+    return v.table("events").select(
+        "event_type", F.col("ts").cast("date").alias("day"), F.col("value").alias("ValueCen")
+    )
+
+
+@query("agg_box_stats_daily", f"event_type day:t {BOX}",
+       f"SELECT * FROM {box_stats(_READINGS, 'event_type, day', 'hazen')} AS b")
+def agg_box_stats_daily(v):
+    return box.box_stats(_readings(v), ["event_type", "day"], method="hazen")
+
+
+@query(
+    "agg_box_outliers_daily",
+    "event_type day:t ValueCen:d q1:d q3:d",
+    f"""SELECT s.*, q1, q3 FROM {_READINGS} AS s JOIN {fences(_READINGS, 'event_type, day', 'hazen')} AS f
+          USING (event_type, day)
+        WHERE ValueCen < lower_fence OR ValueCen > upper_fence""",
+)
+def agg_box_outliers_daily(v):
+    keys = ["event_type", "day"]
+    return box.box_outliers(_readings(v), box.box_fences(_readings(v), keys), keys)
+
+
 @query(
     "agg_t_test_1samp",
     "Characteristic n:i df:i mean:d sd:d t:d",

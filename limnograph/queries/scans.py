@@ -64,8 +64,7 @@ def values_table(v):
     sites = v.sites.groupBy(
         state_of_park(park_code(F.col("ParkCode"))).alias("state"), F.col("type").alias("water_type")
     ).agg(F.count(F.lit(1)).alias("n_sites"))
-    standards = F.broadcast(tables.state_standards(v.spark))
-    return standards.join(sites, ["state", "water_type"], "left").fillna(0, ["n_sites"])
+    return tables.state_standards(v.spark).join(sites, ["state", "water_type"], "left").fillna(0, ["n_sites"])
 
 
 @query(

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def build_session(app_name: str = "limnograph", **conf: str) -> SparkSession:
     """A session with adaptive execution, skew handling and a UTC calendar.
 
+    Checkpoint files are removed once nothing refers to them.
+
     The master, memory and shuffle partition count belong to the cluster and are not set here.
     """
     builder = SparkSession.builder.appName(app_name)
@@ -20,6 +22,7 @@ def build_session(app_name: str = "limnograph", **conf: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for key, value in settings.items():
