@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limnograph.operators.quantiles import HOT_ROWS, HotRule, group_quantiles
+from limnograph.operators.quantiles import HOT_ROWS, HotRule, group_quantiles, hot_groups
+from limnograph.session import checkpointed
 
 # Quartiles and the fence factor.
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -19,19 +20,21 @@ def box_fences(df: DataFrame, keys: Sequence[str], *, value: str = "ValueCen",
                method: str = "hazen", hot_rows: HotRule = HOT_ROWS) -> DataFrame:
     """Quartiles and fences of every group that has a value.
 
-    The result is joined back to the rows for whiskers and for outliers; it ends in an exchange
-    that both read, so the quartiles are worked out once.
+    The result is joined back to the rows for whiskers and for outliers. So that the quartiles
+    are worked out once, it ends in an exchange that both read; with hot groups it is written.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, value)
+    hot = hot_groups(rows, keys, hot_rows)
     stats = group_quantiles(
-        rows, keys, value, QUARTILES, method=method, hot_rows=hot_rows,
+        rows, keys, value, QUARTILES, method=method, hot_rows=hot,
         aggs=[F.count(F.lit(1)).alias("n")],
     )
     reach = (F.col("q3") - F.col("q1")) * FENCE
-    return stats.select(
+    fences = stats.select(
         *keys, "n", "q1", "median", "q3",
         (F.col("q1") - reach).alias("lower_fence"), (F.col("q3") + reach).alias("upper_fence"),
-    ).hint("rebalance")
+    )
+    return checkpointed(fences) if hot else fences.hint("rebalance")
 
 
 def box_stats(df: DataFrame, keys: Sequence[str], *, value: str = "ValueCen",

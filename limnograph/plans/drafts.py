@@ -18,6 +18,7 @@ from limnograph.operators.loess import bands_on_grid, loess_bands, with_grid_pad
 from limnograph.operators.quantiles import HOT_ROWS, HotRule, hot_groups
 from limnograph.operators.thresholds import outlier_text, with_rule_points
 from limnograph.plans.site_comparison import site_comparison
+from limnograph.session import checkpointed
 
 
 def all_sites(meas: DataFrame, sites: DataFrame, *, year_from: int, year_to: int, current: int) -> DataFrame:
@@ -57,6 +58,8 @@ def bands_with_rules(meas: DataFrame, rules: DataFrame, *, year_from: int, curre
     rows = get_wdata(meas, years=(year_from, current)).withColumn("month_num", F.month("Date"))
     hot = hot_groups(rows, MONTHLY, hot_rows)
     bands = percentile_bands(historic(rows, year_from, current), hot_rows=hot)
+    if hot:
+        bands = checkpointed(bands)
     now = get_wdata(meas, years=current).select(
         *SERIES, F.month("Date").alias("mon_num"), month_full(F.col("Date")).alias("month"), "Date",
         year_text(F.col("Date")).alias("year"), "SampleDepth", "ValueCen",

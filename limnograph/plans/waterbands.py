@@ -15,6 +15,7 @@ from limnograph.operators.filters import historic
 from limnograph.operators.joins import full_join
 from limnograph.operators.quantiles import HOT_ROWS, HotRule, hot_groups
 from limnograph.operators.thresholds import band_class, with_points
+from limnograph.session import checkpointed
 
 
 def current_values(meas: DataFrame, year: int, months: Iterable[int] | None = None) -> DataFrame:
@@ -30,8 +31,10 @@ def waterbands_from(bands: DataFrame, current_rows: DataFrame, *, hot: bool = Fa
     """Bands and current samples side by side.
 
     Months with only a history or only current samples stay, and a month with several current
-    samples has a row for each.
+    samples has a row for each. With hot groups the bands are needed twice and are written first.
     """
+    if hot:
+        bands = checkpointed(bands)
     joined = full_join(current_rows, bands.drop("month"), MONTHLY, hot=hot)
     return joined.withColumn("month", month_label(F.col("month_num")))
 

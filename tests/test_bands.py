@@ -131,3 +131,16 @@ def test_year_filter_reaches_the_scan(spark, samples, tmp_path):
     assert "GreaterThanOrEqual(Date,2006-01-01)" in plan and "LessThan(Date,2008-01-01)" in plan
     assert "ReadSchema: struct<Date:date,ValueCen:double>" in plan
     assert df.where(F.col("ValueCen") > 1).count() == 1
+
+
+def test_rule_bands_with_hot_groups(spark, samples):
+    from limnograph.plans.drafts import bands_with_rules
+    from limnograph.sources.tables import rule_thresholds
+
+    meas = samples(years([6.0, 7.0, 8.0, 7.5]) + [("2019-05-01", 9.0), ("2019-05-20", 7.0), ("2019-07-01", None)])
+    plain, hot = (
+        {tuple(r) for r in bands_with_rules(meas, rule_thresholds(spark), year_from=2006, current=2019,
+                                            hot_rows=rule).collect()}
+        for rule in (None, 1)
+    )
+    assert plain == hot and len(plain) == 3
