@@ -17,7 +17,6 @@ from limnograph.operators.filters import (
     LAKE_NUTRIENTS,
     OTHER_MONTHS,
     STREAM_NUTRIENTS,
-    current,
     target_month,
     target_nutrient,
 )
