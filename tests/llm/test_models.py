@@ -1,0 +1,124 @@
+"""Trained operators (toxicity, secrets), the pipeline, and the registered queries against their SQL."""
+
+from __future__ import annotations
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from limnograph.llm import secrets, toxicity
+from limnograph.llm.queries import ORACLES, QUERIES
+from tests.llm.cases import TEXTS, documents
+
+FOLDER = "/root/testdata/sf0.01"
+LARGER = "/root/testdata/sf0.1"
+
+
+def test_toxicity_on_held_out_documents(spark):
+    out = QUERIES["op7_toxicity_pu"](spark, LARGER).join(spark.read.parquet(f"{LARGER}/labels.parquet"), "doc_id") \
+        .where("held_out").groupBy("toxic").agg(F.avg("predicted").alias("share")).collect()
+    share = {r.toxic: r.share for r in out}
+    assert share[1] > 0.8 and share[0] < 0.02
+
+
+def test_toxicity_never_learns_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = toxicity.train(docs, labels), toxicity.train(docs, turned)
+    assert a.places == b.places and (a.weights == b.weights).all()
+
+
+def test_toxicity_awkward_rows(spark):
+    labels = spark.createDataFrame([(10, 1, 1), (1, 1, 0), (None, 0, 1), (99, None, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(documents(spark), labels, toxicity.Fit(least_texts=1, sure=0.0))
+    out = toxicity.score_toxicity(documents(spark), model).collect()
+    assert len(out) == len(TEXTS) and all(0 <= r.toxicity <= 1 for r in out)
+    for nothing in (toxicity.train(documents(spark), labels.limit(0)), toxicity.train(documents(spark, []), labels)):
+        assert {r.toxicity for r in toxicity.score_toxicity(documents(spark), nothing).collect()} == {0.0}
+    assert toxicity.score_toxicity(documents(spark, []), model).count() == 0
+
+
+def test_secret_candidates_have_their_places(spark):
+    text = "é " + " ".join(f"pad{i} AKIA{'ABCDEFGH12345678'[::-1]}" for i in range(700)) + " antidisestablishmentarianism 1234567890123456"
+    found = secrets.candidates(documents(spark, [(1, text), *TEXTS])).orderBy("row_key", "nth").collect()
+    mine = [r for r in found if r.doc_id == 1 and r.candidate in text]
+    assert len([r for r in mine if r.candidate.startswith("AKIA")]) == 700
+    assert all(text[r.start:r.start + len(r.candidate)] == r.candidate for r in mine if r.before in text)
+    assert secrets.candidates(documents(spark, [(1, None), (2, ""), (3, "  ")])).count() == 0
+
+
+def test_secret_forest_tells_planted_keys_from_words(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    out = secrets.scan_secrets(docs)
+    found = out.withColumn("label", secrets.format_label()).groupBy("label", "is_secret").count().collect()
+    counts = {(r.label, r.is_secret): r["count"] for r in found}
+    assert counts[(1, True)] > 10 and not counts.get((1, False)) and not counts.get((0, True))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_secret_forest_learns_given_labels(spark):
+    docs = documents(spark, [(i, f"build id{i}abcd1234{i:04d} then password={i:04d}ffeeddccbbaa9988") for i in range(60)])
+    labelled = secrets.candidates(docs).withColumn("label", F.col("before").contains("password").cast("int"))
+    out = secrets.scan_secrets(docs, labelled).collect()
+    assert len(out) == 120 and all(r.is_secret == ("password" in r.before) for r in out)
+
+
+def test_secrets_awkward_rows_and_masks(spark):
+    docs = documents(spark)
+    findings = secrets.scan_secrets(docs, path="source")
+    masked = secrets.mask_secrets(docs, findings.withColumn("is_secret", F.col("candidate").startswith("0123")))
+    assert masked.columns == docs.columns and masked.count() == len(TEXTS)
+    texts = {r.doc_id: r.text for r in masked.collect()}
+    assert texts[1] == 'Released under the MIT License. token = "[SECRET]" end' and texts[2] is None
+    assert [texts[d] for d, t in TEXTS if d not in (1, 7)] == [t for d, t in TEXTS if d not in (1, 7)]
+    assert secrets.scan_secrets(documents(spark, [])).count() == 0
+
+
+def test_pipeline_stages_take_effect(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    before, labels = docs, spark.read.parquet(f"{FOLDER}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, before, FOLDER).persist()
+        assert after.columns == docs.columns
+        lost = before.join(after, "doc_id", "left_anti")
+        if name == "toxicity":
+            assert lost.join(labels.where("toxic = 0"), "doc_id", "left_semi").count() <= 10
+            assert lost.join(labels.where("toxic = 1"), "doc_id", "left_semi").count() >= 20
+        elif name == "secret_scan":
+            assert lost.count() == 0
+            assert not after.where(F.col("text").rlike("AKIA[A-Z0-9]{16}")).count()
+        else:
+            assert lost.count() > 0
+        before = after
+    last = corpus_pipeline.STAGES[-1][1](spark, before, FOLDER)
+    assert last.count() == before.count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), FOLDER).count() == 0
+
+
+def test_pipeline_keeps_one_of_each_group(spark):
+    rows = [(*r, "en", "s", 1) for r in TEXTS]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, FOLDER)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "5", "7", "9", "10", "11", "None"])
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
+    df = QUERIES[name](spark, FOLDER)
+    columns = sorted(df.columns)
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    expected = sorted(map(str, con.execute(f"SELECT {quoted} FROM ({ORACLES[name]})").fetchall()))
+    assert sorted(str(tuple(r)) for r in df.select(*columns).collect()) == expected
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
+def test_query_runs_over_the_whole_table(spark, name):
+    df = QUERIES[name](spark, FOLDER)
+    ids = df.select("doc_id").distinct().count()
+    assert ids == 1000 or name == "op6_secret_forest" and ids > 50
