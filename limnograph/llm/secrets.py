@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from limnograph.llm.common import col
 from limnograph.session import scratch_path
 
-_NEAR = r"[\p{L}\p{N}_+/=-]"
+_NEAR = r"[\p{L}\p{N}_+/-]"
 #: Eight or more key-like characters with a digit, or sixteen or more without.
 CANDIDATE = (rf"(?<!{_NEAR})(?:(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{{8,}}|[A-Za-z_+/-]{{16,}})={{0,2}}(?!{_NEAR})")
 KEY_WORDS = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api.?key|access.?key|auth|bearer|credentials?|private.?key)"
