@@ -25,7 +25,9 @@ from pyspark.sql.types import StructType
 from limnograph.llm.common import col, map_rows, partitions, plain_words, slices
 
 _FIRST_ID = -(1 << 63)
-_EMPTY = "0" * 8
+#: Hex digits of the hash on the whole lexicon, and of one on a random lexicon.
+_WHOLE, _PART = 16, 4
+_EMPTY = "0" * _PART
 
 
 @dataclass(frozen=True)
@@ -38,8 +40,8 @@ class Band:
 
     rare: float = 0.0005
     common: float = 0.1
-    draws: int = 4
-    sizes: int = 8
+    draws: int = 12
+    sizes: int = 10
 
 
 def terms(text: str | None) -> set[bytes]:
@@ -64,7 +66,7 @@ class Lexicon:
         return out
 
     def fingerprint(self, text: str | None) -> str:
-        """Eight hex digits for the whole lexicon and for each random one; zeros where no term of the text is in it.
+        """Hex digits for the whole lexicon and for each random one, by draw and size; zeros where no term is in it.
 
         A text without any term of the lexicon is taken by all its terms.
         """
@@ -77,24 +79,36 @@ class Lexicon:
             codes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
             levels = self._level(words)
         if not len(codes):
-            return _EMPTY * (1 + self.band.draws * self.band.sizes)
-        out = [xxhash.xxh32_hexdigest(codes.tobytes())]
+            return "0" * _WHOLE + _EMPTY * (self.band.draws * self.band.sizes)
+        out = [xxhash.xxh64_hexdigest(codes.tobytes())]
         for d in range(self.band.draws):
             inside, level = codes, levels[:, d]
             for size in range(1, self.band.sizes + 1):
                 mine = level >= size
                 inside, level = inside[mine], level[mine]
-                out.append(xxhash.xxh32_hexdigest(inside.tobytes()) if len(inside) else _EMPTY)
+                if not len(inside):
+                    out.append(_EMPTY * (self.band.sizes - size + 1))
+                    break
+                out.append(xxhash.xxh32_hexdigest(inside.tobytes())[:_PART])
         return "".join(out)
 
 
-def likeness(a: str, b: str) -> float:
-    """Share of equal hashes among the random lexicons that have a term of either document; 1 for equal fingerprints."""
+def likeness(a: str, b: str, band: Band = Band()) -> float:
+    """Share of the draws whose smallest lexicon with a term of either document has the same terms of both.
+
+    Such a lexicon holds about one term of the two, so the share estimates how many of their terms they have
+    in common. 1 for equal fingerprints, 0 where no random lexicon has a term.
+    """
     if a == b:
         return 1.0
-    pairs = [(a[i:i + 8], b[i:i + 8]) for i in range(8, len(a), 8)]
-    pairs = [(x, y) for x, y in pairs if x != _EMPTY or y != _EMPTY]
-    return sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0
+    width, same, seen = _PART * band.sizes, 0, 0
+    for start in range(_WHOLE, len(a), width):
+        for at in range(start + width - _PART, start - 1, -_PART):
+            x, y = a[at:at + _PART], b[at:at + _PART]
+            if x != _EMPTY or y != _EMPTY:
+                same, seen = same + (x == y), seen + 1
+                break
+    return same / seen if seen else 0.0
 
 
 def lexicon(docs: DataFrame, band: Band = Band(), text: str = "text") -> list[bytes]:
@@ -195,7 +209,7 @@ def compare_with_edits(docs: DataFrame, band: Band = Band()) -> DataFrame:
             edited = text[:len(text) - half] + next_text[:half]
             edited_print = lexicon_.fingerprint(edited)
             return (doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), print_, edited_print,
-                    likeness(print_, edited_print), likeness(print_, next_print))
+                    likeness(print_, edited_print, band), likeness(print_, next_print, band))
 
         for batch in batches:
             for part in slices(batch):
