@@ -185,8 +185,12 @@ def write_shards(docs: DataFrame, folder: str, layout: Layout = Layout(), ranks:
 def read_shards(spark: SparkSession, folder: str, manifest: DataFrame, layout: Layout = Layout()) -> DataFrame:
     """All records: ``slot``, ``shard``, ``record_offset``, ``doc_id``, ``part``, ``n_tokens``, ``tokens_crc32``.
 
-    Each shard is read from front to back; a reader that stopped at a slot begins at its offset.
+    Each shard is read from front to back; a reader that stopped at a slot begins at its offset. Without
+    shards there are no records.
     """
+    out = "slot long, shard int, record_offset long, doc_id long, part int, n_tokens int, tokens_crc32 long"
+    if not manifest.take(1):
+        return spark.createDataFrame([], out)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder) \
         .select(F.regexp_extract("path", r"shard-(\d+)\.bin$", 1).cast("int").alias("shard"), "content")
     files = files.join(F.broadcast(manifest.select("shard", "start")), "shard").select("shard", "start", "content")
@@ -208,8 +212,7 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame, layout: L
                          pa.array(crc, pa.int64())],
                         names=["slot", "shard", "record_offset", "doc_id", "part", "n_tokens", "tokens_crc32"])
 
-    return files.mapInArrow(read, "slot long, shard int, record_offset long, doc_id long, part int, n_tokens int, "
-                                  "tokens_crc32 long")
+    return files.mapInArrow(read, out)
 
 
 def training_order(docs: DataFrame, layout: Layout = Layout(), ranks: str = RANKS) -> DataFrame:
