@@ -94,7 +94,6 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
             for part in slices(batch):
                 for text, is_toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     found[is_toxic].update(features(text))
-                    found[is_toxic][""] += 1
                 if len(found[0]) + len(found[1]) > 500_000:
                     yield from emit(found)
                     found = Counter(), Counter()
@@ -111,13 +110,13 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
 
     counted = both.mapInArrow(count, "feature string, p long, u long") \
         .groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    totals = counted.where("feature = ''").first()
-    if totals is None or not totals.p or not totals.u:
+    n_p, n_u = positive.count(), unlabelled.count()
+    if not n_p or not n_u:
         return Model({}, np.zeros((1, 1)))
-    share_p, share_u = F.col("p") / totals.p, F.col("u") / totals.u
-    surely = (F.col("p") - fit.sure * F.sqrt("p")) / totals.p - fit.lift * (F.col("u") + fit.sure * F.sqrt(F.col("u") + 1)) / totals.u
+    share_p, share_u = F.col("p") / n_p, F.col("u") / n_u
+    surely = (F.col("p") - fit.sure * F.sqrt("p")) / n_p - fit.lift * (F.col("u") + fit.sure * F.sqrt(F.col("u") + 1)) / n_u
     surprise = (share_p - share_u) / F.sqrt(F.col("p") + F.col("u") + 1)
-    chosen = counted.where((F.col("feature") != "") & (F.col("p") >= fit.least_texts) & (surely > 0)) \
+    chosen = counted.where((F.col("p") >= fit.least_texts) & (surely > 0)) \
         .orderBy(surprise.desc(), "feature").limit(fit.features).collect()
     places = {r.feature: i for i, r in enumerate(chosen)}
     if not places:
