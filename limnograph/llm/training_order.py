@@ -38,7 +38,7 @@ class Layout:
     length: int = 512
     key: int = 20_240_229
     rounds: int = 6
-    shard_bytes: int = 32 << 20
+    shard_bytes: int = 16 << 20
 
     @property
     def record(self) -> np.dtype:
