@@ -34,7 +34,7 @@ def left_join(left: DataFrame, right: DataFrame, on: Sequence[str] | Mapping[str
 
 def full_join(left: DataFrame, right: DataFrame, on: Sequence[str] | None = None, *,
               hot: bool = False) -> DataFrame:
-    """Full outer join on the shared columns.
+    """Full outer join on the shared columns; NULL keys match each other.
 
     ``hot`` says that a key may repeat on the left without bound. Adaptive execution cannot split
     such a key in a full outer join, so the left join, where it can, and the right rows without a
@@ -42,10 +42,19 @@ def full_join(left: DataFrame, right: DataFrame, on: Sequence[str] | None = None
     """
     on = list(on) if on is not None else shared_columns(left, right)
     if not hot:
-        return left.join(right, on, "full_outer")
-    matched = left.join(right, on, "left")
-    lonely = right.join(left.select(*on).distinct(), on, "left_anti")
-    return matched.unionByName(lonely, allowMissingColumns=True)
+        other = right.withColumnsRenamed({k: f"_r_{k}" for k in on})
+        condition = F.lit(True)
+        for k in on:
+            condition = condition & left[k].eqNullSafe(other[f"_r_{k}"])
+        joined = left.join(other, condition, "full_outer")
+        # Only a missing side leaves a key NULL where the other side has one.
+        keys = [F.coalesce(F.col(k), F.col(f"_r_{k}")).alias(k) for k in on]
+        rest = [c for c in (*left.columns, *right.columns) if c not in on]
+        return joined.select(*keys, *rest)
+    matched = join_on(left, right, on, "left")
+    lonely = join_on(right, left.select(*on).distinct(), on, "left_anti")
+    rest = [c for c in matched.columns if c not in on]
+    return matched.unionByName(lonely, allowMissingColumns=True).select(*on, *rest)
 
 
 def semi_join(left: DataFrame, right: DataFrame, on: Sequence[str] | Mapping[str, str]) -> DataFrame:

@@ -4,19 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def pivot_characteristics(meas: DataFrame, names: Sequence[str], *, names_from: str = "Characteristic",
                           values_from: str = "Value") -> DataFrame:
-    """One column per characteristic; every other column identifies a row.
+    """One column per characteristic; every other column and ``occurrence`` identify a row.
 
-    The names are declared, so no pass over the data is needed to find them. Rows that agree in
-    every other column merge; of several values for one cell the smallest is kept.
+    The names are declared, so no pass over the data is needed to find them. Several values for one
+    cell are numbered from 1 by size, missing ones first, so every sample keeps a cell of its own.
+    Equal samples are counted before they are numbered; a sample that repeats without end is spread.
     """
     ids = [c for c in meas.columns if c not in (names_from, values_from)]
-    return meas.groupBy(*ids).pivot(names_from, list(names)).agg(F.min(values_from))
+    counted = meas.groupBy(*ids, names_from, values_from).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*ids, names_from).orderBy(values_from).rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    each = counted.withColumn("occurrence", F.explode(F.sequence(F.col("_before") + 1, F.col("_before") + F.col("_n"))))
+    return each.groupBy(*ids, "occurrence").pivot(names_from, list(names)).agg(F.min(values_from))
 
 
 def pivot_select(wide: DataFrame, name: str, keep: Sequence[str]) -> DataFrame:

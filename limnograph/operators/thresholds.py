@@ -72,20 +72,17 @@ def outlier_text(value: Column) -> Column:
 
 
 def with_rule_points(df: DataFrame, rules: DataFrame, *, park: str = "Park") -> DataFrame:
-    """Points from the rule table; a rule without a depth holds for every depth.
+    """Points from the rule table; a rule without a depth holds for every depth, and the first that fits counts.
 
-    The rules are a fixed short table, so they are broadcast.
+    The rules are a fixed short table: those of a park and characteristic become one row in the order
+    of ``rule``, so that a sample never meets two, and the rows are broadcast.
     """
     out = df
     for side in ("Lower", "Upper"):
-        rule = rules.where(F.col("side") == side).select(
-            F.col("park").alias("_park"), F.col("depth").alias("_depth"),
-            F.col("characteristic").alias("_char"), F.col("point").alias(f"{side}Point"),
-        )
-        match = (
-            (out[park] == rule["_park"])
-            & (out["Characteristic"] == rule["_char"])
-            & (rule["_depth"].isNull() | (rule["_depth"] == out["SampleDepth"]))
-        )
-        out = out.join(F.broadcast(rule), match, "left").drop("_park", "_depth", "_char")
+        options = rules.where(F.col("side") == side).groupBy(F.col("park").alias("_park"), F.col("characteristic").alias("_char")) \
+            .agg(F.array_sort(F.collect_list(F.struct("rule", "depth", "point"))).alias("_rules"))
+        match = (out[park] == options["_park"]) & (out["Characteristic"] == options["_char"])
+        out = out.join(F.broadcast(options), match, "left")
+        fits = F.filter("_rules", lambda r: r["depth"].isNull() | F.coalesce(r["depth"] == F.col("SampleDepth"), F.lit(False)))
+        out = out.withColumn(f"{side}Point", F.get(fits, 0)["point"]).drop("_park", "_char", "_rules")
     return out

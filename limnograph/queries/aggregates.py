@@ -290,14 +290,17 @@ def win_line_order(v):
 
 _NAMES = [row[1] for row in CHARACTERISTICS]
 _IDS = ["Park", "Site", "Category", "Date", "SampleDepth", "TextValue", "Censored", "ValueCen"]
-_WIDE = "Park Site Category Date:t SampleDepth TextValue Censored:b ValueCen:d"
+_WIDE = "Park Site Category Date:t SampleDepth TextValue Censored:b ValueCen:d occurrence:i"
+_NUMBERED = f"""(SELECT *, row_number() OVER (PARTITION BY {', '.join(_IDS)}, Characteristic
+    ORDER BY Value NULLS FIRST) AS occurrence FROM meas)"""
 
 
 @query(
     "pivot_characteristics",
     _WIDE + "".join(f" {n}:d" for n in _NAMES),
-    f"""SELECT {', '.join(_IDS)}, {', '.join(f"min(Value) FILTER (WHERE Characteristic = '{n}') AS {n}" for n in _NAMES)}
-        FROM meas GROUP BY {', '.join(_IDS)}""",
+    f"""SELECT {', '.join(_IDS)}, occurrence,
+          {', '.join(f"min(Value) FILTER (WHERE Characteristic = '{n}') AS {n}" for n in _NAMES)}
+        FROM {_NUMBERED} GROUP BY {', '.join(_IDS)}, occurrence""",
 )
 def pivot_characteristics(v):
     rows = v.meas.select(*_IDS, "Characteristic", "Value")
@@ -307,12 +310,12 @@ def pivot_characteristics(v):
 @query(
     "pivot_select_char",
     _WIDE + " DO_mgL:d",
-    f"""SELECT {', '.join(_IDS)}, min(Value) AS DO_mgL FROM meas WHERE Characteristic = 'DO_mgL'
-        GROUP BY {', '.join(_IDS)}""",
+    f"""SELECT {', '.join(_IDS)}, occurrence, Value AS DO_mgL FROM {_NUMBERED}
+        WHERE Characteristic = 'DO_mgL' AND Value IS NOT NULL""",
 )
 def pivot_select_char(v):
     rows = v.meas.select(*_IDS, "Characteristic", "Value")
-    return reshape.pivot_select(reshape.pivot_characteristics(rows, _NAMES), "DO_mgL", _IDS)
+    return reshape.pivot_select(reshape.pivot_characteristics(rows, _NAMES), "DO_mgL", [*_IDS, "occurrence"])
 
 
 @query(

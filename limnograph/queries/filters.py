@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from limnograph.functions.calendar import with_calendar
 from limnograph.operators import catalog, filters, joins
-from limnograph.operators.thresholds import box_class, with_points
+from limnograph.operators.thresholds import band_class, box_class, with_points
 from limnograph.plans.boxplot import boxplot_rows
 from limnograph.queries.base import query
 from limnograph.queries.sql import BOX_SOURCE, SEASON, TARGET_MONTH, TARGET_NUTRIENT, beyond
@@ -151,21 +151,14 @@ def filter_current_sites(v):
     return filters.current_sites(v.sites, v.meas, CURRENT)
 
 
-# A mapping on whole tables in which one characteristic is rare, so that the filter bites.
-_RARE = ("SELECT * FROM ({}) AS p JOIN located ON s_name = Site "
-         "WHERE NOT (Characteristic = 'ANC_ueqL' AND s_suppkey % 50 <> 7)")
-
-
 @query(
     "filter_shared_chars",
     "Park Characteristic n_sites:i",
-    f"""SELECT Park, Characteristic, count(DISTINCT Site) AS n_sites FROM ({_RARE.format(PAIRS)})
+    f"""SELECT Park, Characteristic, count(DISTINCT Site) AS n_sites FROM ({PAIRS})
         GROUP BY Park, Characteristic HAVING count(DISTINCT Site) > 1""",
 )
 def filter_shared_chars(v):
-    number = F.regexp_extract("Site", r"(\d+)$", 1).cast("bigint")
-    rare = (F.col("Characteristic") == "ANC_ueqL") & (number % 50 != 7)
-    return filters.shared_characteristics(pairs(v).where(~rare))
+    return filters.shared_characteristics(pairs(v))
 
 
 def _classed(v):
@@ -219,11 +212,17 @@ def sort_distinct_months(v):
 @query(
     "limit_first",
     ROW,
-    """SELECT * FROM now WHERE ValueCen > 45 ORDER BY Date, Park, Site, Characteristic, ValueCen LIMIT 1""",
+    f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Park, Site ORDER BY Date, Characteristic, ValueCen) AS i
+          FROM (SELECT *, {beyond('ValueCen', 'orange', 'black')} AS pcolor
+                FROM now LEFT JOIN points USING (Park, Site, Characteristic)) WHERE pcolor = 'orange')
+        WHERE i = 1""",
 )
 def limit_first(v):
-    rows = catalog.get_wdata(v.meas, years=CURRENT, where=F.col("ValueCen") > 45)
-    return rows.orderBy("Date", "Park", "Site", "Characteristic", "ValueCen").limit(1)
+    """The first value beyond its points of each site, by partial aggregation."""
+    rows = with_points(catalog.get_wdata(v.meas, years=CURRENT), v.chars)
+    beyond_ = rows.where(band_class(F.col("ValueCen")) == "orange")
+    return beyond_.groupBy("Park", "Site").agg(F.min(F.struct("Date", "Characteristic", "ValueCen")).alias("first")) \
+        .select("Park", "Site", "first.*")
 
 
 @query(
@@ -247,18 +246,18 @@ def set_concat(v):
     return rows.where(F.col("SiteType") == "Lake").unionByName(rows.where(F.col("SiteType") == "Stream"))
 
 
-@query("set_member", PAIR + " Date:t", "SELECT * FROM meas WHERE Site IN (SELECT Site FROM now WHERE month_num = 5)")
+@query("set_member", PAIR + " Date:t", "SELECT * FROM meas WHERE Site IN (SELECT Site FROM now)")
 def set_member(v):
-    return joins.semi_join(v.meas, catalog.get_wdata(v.meas, years=CURRENT, months=[5]), ["Site"])
+    return joins.semi_join(v.meas, catalog.get_wdata(v.meas, years=CURRENT), ["Site"])
 
 
 @query(
     "set_minus",
     PAIR,
     f"""SELECT * FROM ({PAIRS}) AS p WHERE NOT EXISTS (
-          SELECT 1 FROM now AS n WHERE month_num = 5 AND n.Park = p.Park AND n.Site = p.Site
+          SELECT 1 FROM now AS n WHERE n.Park = p.Park AND n.Site = p.Site
             AND n.Characteristic = p.Characteristic)""",
 )
 def set_minus(v):
-    return joins.anti_join(pairs(v), catalog.get_wdata(v.meas, years=CURRENT, months=[5]),
+    return joins.anti_join(pairs(v), catalog.get_wdata(v.meas, years=CURRENT),
                            ["Park", "Site", "Characteristic"])

@@ -13,6 +13,7 @@ from limnograph.plans.waterbands import current_values, waterbands_from
 from limnograph.queries.base import query
 from limnograph.queries.filters import PAIRS, pairs
 from limnograph.queries.sql import SEASON, bands as bands_sql
+from limnograph.session import checkpointed
 from limnograph.sources.monitoring_view import CURRENT, YEAR_FROM
 
 SEASON_MONTHS = range(5, 11)
@@ -102,7 +103,7 @@ def join_summary_range(v):
             AND b.month_num = c.month_num""",
 )
 def join_hist_current(v):
-    return waterbands_from(season_bands(v), current_values(v.meas, CURRENT, SEASON_MONTHS))
+    return waterbands_from(season_bands(v), current_values(v.meas, CURRENT, SEASON_MONTHS), hot=True)
 
 
 @query("join_site_names", "Park Site SiteName Characteristic Date:t ValueCen:d",
@@ -165,12 +166,12 @@ _FULL = "strftime(make_date(2000, month_num, 1), '%B')"
           FROM {bands_sql(where='TRUE')} AS b) AS b USING (Park, Site, Characteristic, month_num)""",
 )
 def join_current_bands_full(v):
-    band = bands.percentile_bands(filters.historic(v.meas, YEAR_FROM, CURRENT))
+    band = checkpointed(bands.percentile_bands(filters.historic(v.meas, YEAR_FROM, CURRENT)))
     now = catalog.get_wdata(v.meas, years=CURRENT).select(
         "Park", "Site", "Characteristic", "Date", "ValueCen", F.month("Date").alias("mon_num"),
         month_full(F.col("Date")).alias("month"), year_text(F.col("Date")).alias("year"),
     )
-    return joins.full_join(now, band, ["mon_num", "Park", "month", "Site", "Characteristic"])
+    return joins.full_join(now, band, ["mon_num", "Park", "month", "Site", "Characteristic"], hot=True)
 
 
 @query(

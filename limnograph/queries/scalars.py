@@ -63,14 +63,20 @@ def fn_month_axis(v):
     return months.withColumn("month", calendar.month_label(F.col("month_num")))
 
 
-# Site codes in the positional layout: network, park and number, 14 characters.
-_CODE_SQL = "'XNET_' || left(replace(ParkCode, ' ', ''), 4) || '_' || lpad(CAST(regexp_extract(SiteCode, '(\\d+)$', 1)::BIGINT AS VARCHAR), 4, '0')"
+# Site codes in the positional layout: network, park and number, 14 characters. The number is written
+# in four places of base 36, which hold 1,679,616 sites; more are an error, never a code used twice.
+_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_NUMBER_SQL = "regexp_extract(SiteCode, '(\\d+)$', 1)::BIGINT"
+_PLACES_SQL = " || ".join(f"substr('{_DIGITS}', 1 + ({_NUMBER_SQL} // {36 ** i}) % 36, 1)" for i in (3, 2, 1, 0))
+_CODE_SQL = "'XNET_' || left(replace(ParkCode, ' ', ''), 4) || '_' || " + _PLACES_SQL
 
 
 def _coded_sites(v):
-    number = F.regexp_extract("SiteCode", r"(\d+)$", 1).cast("bigint").cast("string")
+    number = F.regexp_extract("SiteCode", r"(\d+)$", 1).cast("bigint")
+    places = F.when(number < 36 ** 4, F.lpad(F.conv(number.cast("string"), 10, 36), 4, "0")) \
+        .otherwise(F.raise_error(F.concat(F.lit("no four-place code for site "), F.col("SiteCode"))))
     park = F.substring(F.replace(F.col("ParkCode"), F.lit(" "), F.lit("")), 1, 4)
-    code = F.concat(F.lit("XNET_"), park, F.lit("_"), F.lpad(number, 4, "0"))
+    code = F.concat(F.lit("XNET_"), park, F.lit("_"), places)
     return v.sites.select("SiteCode", code.alias("code"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from limnograph.functions.calendar import FIELD_SEASON
 from limnograph.functions.codes import state_of_park
 from limnograph.operators import checks, thresholds
 from limnograph.operators.catalog import get_wdata, list_site_chars
@@ -146,12 +147,12 @@ def _check(name: str, missing: str):
                   FROM points AS p LEFT JOIN (
                     SELECT Park, Site, Characteristic, count(*) FILTER (WHERE year < 2001) AS n_history,
                       count(*) FILTER (WHERE year = 2001) AS n_current
-                    FROM sample WHERE year BETWEEN 1995 AND 2001 AND month_num = 10
+                    FROM sample WHERE year BETWEEN 1995 AND 2001 AND month_num BETWEEN 5 AND 10
                     GROUP BY Park, Site, Characteristic) AS c USING (Park, Site, Characteristic))""",
     )
     def build(v):
-        october = get_wdata(v.meas, months=[10])
-        status = checks.series_status(list_site_chars(v.chars), october, year_historic=YEAR_FROM,
+        season = get_wdata(v.meas, months=FIELD_SEASON)
+        status = checks.series_status(list_site_chars(v.chars), season, year_historic=YEAR_FROM,
                                       year_current=CURRENT)
         return status.withColumn("ok", F.expr(missing) > 0)
 

@@ -117,8 +117,10 @@ PARK_STORE_CODE = {
 
 
 def rule_thresholds(spark: SparkSession) -> DataFrame:
+    """The rules in their order (``rule``): of those that fit, the first counts."""
     rows = [("Lower", *r) for r in LOWER_RULES] + [("Upper", *r) for r in UPPER_RULES]
-    schema = "side string, park string, depth string, characteristic string, point double"
+    rows = [(*r, i) for i, r in enumerate(rows)]
+    schema = "side string, park string, depth string, characteristic string, point double, rule int"
     return spark.createDataFrame(rows, schema)
 
 

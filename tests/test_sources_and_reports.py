@@ -15,13 +15,13 @@ from limnograph.sources import readers, sinks, tables
 from limnograph.streaming import exceedance
 
 SITE_TEXT = '''ParkCode,SiteName,SiteCode,Description
-ACAD,Duck Brook,XNET_ACAD_DUCK,"Flows north, area 9.63 km<sup>2</sup>"
-ACAD,Duck Brook (outlet),XNET_ACAD_DUCK,"The ""old"" site, left in 2009"
-MABI,Pond,XNET_MABI_PA00,Plain text
+QQQQ,First gauge,XNET_QQQQ_G001,"Runs <b>east</b>, below the weir"
+QQQQ,First gauge (below),XNET_QQQQ_G001,"A ""second"" row, same code"
+RRRR,Basin,XNET_RRRR_B001,No quotes here
 '''
 BOX_TEXT = '''ParkCode,LatS,LongE,LatN,LongW,Zoom,minZoom
-AAAA,43.503,-72.364,43.49,-72.381,14,10
-BBBB,42.463,-71.001,42.474,-71.004,,
+QQQQ,12.5,-3.25,12.25,-3.75,9,7
+RRRR,1.0,2.0,1.5,1.75,,
 '''
 
 
@@ -29,14 +29,14 @@ def test_quoted_descriptions(spark, tmp_path):
     path = tmp_path / "sites.csv"
     path.write_text(SITE_TEXT)
     rows = readers.scan_siteinfo(spark, str(path)).collect()
-    assert [r.Description for r in rows] == ["Flows north, area 9.63 km<sup>2</sup>", 'The "old" site, left in 2009', "Plain text"]
+    assert [r.Description for r in rows] == ["Runs <b>east</b>, below the weir", 'A "second" row, same code', "No quotes here"]
 
 
 def test_empty_zoom_is_missing(spark, tmp_path):
     path = tmp_path / "boxes.csv"
     path.write_text(BOX_TEXT)
     rows = {r.ParkCode: r for r in readers.scan_boundboxes(spark, str(path)).collect()}
-    assert rows["BBBB"].Zoom is None and rows["AAAA"].minZoom == 10
+    assert rows["RRRR"].Zoom is None and rows["QQQQ"].minZoom == 7
 
 
 @pytest.fixture(scope="module")

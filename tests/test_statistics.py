@@ -97,3 +97,20 @@ def test_pivot_does_not_collapse_different_ids(spark):
     assert len(rows) == 2 and rows[7.0].pH == 7.0 and rows[7.0].DO is None and rows[9.0].Temp == 9.0
     wide = reshape.pivot_characteristics(df, ["pH", "DO", "Temp"])
     assert reshape.pivot_select(wide, "pH", ["d"]).count() == 1
+
+
+def test_pivot_keeps_every_sample(spark):
+    df = spark.createDataFrame([("x", "pH", 7.0), ("x", "pH", 7.0), ("x", "pH", 8.0), ("x", "DO", 9.0), (None, "pH", None)],
+                               "d string, Characteristic string, Value double")
+    rows = sorted((str(r.d), r.occurrence, r.pH, r.DO) for r in reshape.pivot_characteristics(df, ["pH", "DO"]).collect())
+    assert rows == [("None", 1, None, None), ("x", 1, 7.0, 9.0), ("x", 2, 7.0, None), ("x", 3, 8.0, None)]
+
+
+def test_site_codes_stay_apart_beyond_four_digits(spark):
+    from types import SimpleNamespace
+
+    from limnograph.queries.scalars import _coded_sites
+
+    sites = spark.range(9_990, 12_010).selectExpr("'AFRICA' AS ParkCode", "'Supplier#' || lpad(CAST(id AS STRING), 9, '0') AS SiteCode")
+    codes_ = [r.code for r in _coded_sites(SimpleNamespace(sites=sites)).collect()]
+    assert len(set(codes_)) == 2_020 and {len(c) for c in codes_} == {14}

@@ -48,6 +48,23 @@ def test_rule_table(spark):
                    ("ACAD", "stream"): (None, None)}
 
 
+def test_the_first_fitting_rule_counts(spark):
+    rules = spark.createDataFrame([("Lower", "P", "stream", "pH", 6.0, 1), ("Lower", "P", None, "pH", 5.0, 2), ("Upper", "P", None, "pH", 8.0, 3),
+                                   ("Upper", "P", "stream", "pH", 9.0, 4)],
+                                  "side string, park string, depth string, characteristic string, point double, rule int")
+    df = spark.createDataFrame([("P", "stream", "pH"), ("P", None, "pH"), ("P", "lake", "pH")], "Park string, SampleDepth string, Characteristic string")
+    got = {r.SampleDepth: (r.LowerPoint, r.UpperPoint) for r in thresholds.with_rule_points(df, rules).collect()}
+    assert got == {"stream": (6.0, 8.0), None: (5.0, 8.0), "lake": (5.0, 8.0)}
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_full_join_matches_missing_keys(spark, hot):
+    left = spark.createDataFrame([(None, 1), ("a", 2)], "k string, l int")
+    right = spark.createDataFrame([(None, 3), ("b", 4)], "k string, r int")
+    got = {tuple(r) for r in full_join(left, right, hot=hot).select("k", "l", "r").collect()}
+    assert got == {(None, 1, 3), ("a", 2, None), ("b", None, 4)}
+
+
 def test_rules_never_match_twice(spark):
     rules = tables.rule_thresholds(spark).alias("a")
     other = tables.rule_thresholds(spark).alias("b")
