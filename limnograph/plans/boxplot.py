@@ -17,6 +17,8 @@ from limnograph.operators.filters import (
     LAKE_NUTRIENTS,
     OTHER_MONTHS,
     STREAM_NUTRIENTS,
+    current,
+    historic,
     target_month,
     target_nutrient,
 )
@@ -59,14 +61,14 @@ def boxplot(meas: DataFrame, sites: DataFrame, chars: DataFrame, *, year_from: i
     upper point with the ends of its line.
     """
     rows = boxplot_rows(meas, sites, year_from=year_from, current_year=current_year, **row_options)
-    hist = rows.where(F.col("year") <= year_to)
+    hist = historic(rows, year_from, year_to + 1)
     fences = box_fences(hist, MONTHLY, method=method, hot_rows=hot_rows)
     boxes = box_stats(hist, MONTHLY, fences=fences).withColumn("layer", F.lit("box"))
     outliers = box_outliers(hist, fences, MONTHLY).select(
         *MONTHLY, F.lit("outlier").alias("layer"), *STATS, "Date", "year",
         F.col("ValueCen").alias("value"),
     )
-    now = with_points(rows.where(F.col("year") == current_year), chars)
+    now = with_points(current(rows, current_year), chars)
     points = now.select(
         *MONTHLY, F.lit("current").alias("layer"), "Date", "year", F.col("ValueCen").alias("value"),
         box_class(F.col("ValueCen"), F.col("year"), current_year).alias("pcolor"),

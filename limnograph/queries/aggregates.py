@@ -141,7 +141,7 @@ BOX = "n:i q1:d median:d q3:d lower_fence:d upper_fence:d lower_whisker:d upper_
 
 def _box_history(v):
     rows = boxplot_rows(v.meas, v.sites, year_from=YEAR_FROM, current_year=CURRENT)
-    return rows.where(F.col("year") <= YEAR_TO)
+    return filters.historic(rows, YEAR_FROM, YEAR_TO + 1)
 
 
 @query("agg_box_stats_monthly", f"{KEYS} {BOX}",

@@ -163,7 +163,7 @@ def filter_shared_chars(v):
 
 def _classed(v):
     rows = boxplot_rows(v.meas, v.sites, year_from=YEAR_FROM, current_year=CURRENT)
-    rows = with_points(rows.where(F.col("year") == CURRENT), v.chars)
+    rows = with_points(filters.current(rows, CURRENT), v.chars)
     return rows.withColumn("pcolor", box_class(F.col("ValueCen"), F.col("year"), CURRENT))
 
 
