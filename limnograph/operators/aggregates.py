@@ -58,6 +58,11 @@ def axis_domain(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     months = df.groupBy(*keys).agg(
         F.min("month_num").alias("first_month"), F.max("month_num").alias("last_month")
     )
+    return axis_ends(months)
+
+
+def axis_ends(months: DataFrame) -> DataFrame:
+    """Ends of the threshold line from the first and the last month."""
     first, last = F.col("first_month"), F.col("last_month")
     pad = F.when(first == 6, F.lit(1.0)).when(first == 5, F.lit(1.5))
     return months.withColumns({"line_start": first - pad, "line_end": last + pad})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from limnograph.functions.calendar import month_full, month_label, with_calendar
 from limnograph.functions.nulls import strict_agg
-from limnograph.operators.quantiles import HOT_ROWS, HotRule, group_quantiles
+from limnograph.operators.quantiles import group_quantiles
 
 SERIES = ["Park", "Site", "Characteristic"]
 MONTHLY = [*SERIES, "month_num"]
@@ -38,8 +38,7 @@ def last_by_date(value: str = "ValueCen", date: str = "Date") -> Column:
     return F.expr(f"max(CASE WHEN {date} IS NOT NULL THEN struct({date} AS d, {value} AS v) END).v")
 
 
-def monthly_bands(hist: DataFrame, *, value: str = "ValueCen", min_samples: int = MIN_SAMPLES,
-                  hot_rows: HotRule = HOT_ROWS) -> DataFrame:
+def monthly_bands(hist: DataFrame, *, value: str = "ValueCen", min_samples: int = MIN_SAMPLES) -> DataFrame:
     """Count, median, extremes with their years, and the 100/95/50 % bands of every month.
 
     ``num_samps`` counts missing values too and decides whether a month is kept; the quantiles
@@ -48,13 +47,14 @@ def monthly_bands(hist: DataFrame, *, value: str = "ValueCen", min_samples: int
     v = F.col(value)
     rows = with_calendar(hist).select(*MONTHLY, "year", value)
     stats = group_quantiles(
-        rows, MONTHLY, value, BAND_QUANTILES, hot_rows=hot_rows,
+        rows, MONTHLY, value, BAND_QUANTILES, extra=[F.max("year").alias("_year")],
         aggs=[
-            F.count(F.lit(1)).alias("num_samps"),
+            F.sum("_w").alias("num_samps"),
             F.min(v).alias("min_val"),
             F.max(v).alias("max_val"),
-            year_of_min(value).alias("year_min"),
-            year_of_max(value).alias("year_max"),
+            # One cell per value, with its latest year: there are no ties left.
+            F.min_by("_year", v).alias("year_min"),
+            F.max_by("_year", v).alias("year_max"),
         ],
     )
     kept = stats.where((F.col("num_samps") >= min_samples) & F.col("lower_50").isNotNull())
@@ -66,10 +66,9 @@ def monthly_bands(hist: DataFrame, *, value: str = "ValueCen", min_samples: int
     )
 
 
-def percentile_bands(hist: DataFrame, *, value: str = "ValueCen", min_samples: int = MIN_SAMPLES,
-                     hot_rows: HotRule = HOT_ROWS) -> DataFrame:
+def percentile_bands(hist: DataFrame, *, value: str = "ValueCen", min_samples: int = MIN_SAMPLES) -> DataFrame:
     """The bands alone, with full month names and no extremes besides the 100 % band."""
-    bands = monthly_bands(hist, value=value, min_samples=min_samples, hot_rows=hot_rows)
+    bands = monthly_bands(hist, value=value, min_samples=min_samples)
     month = month_full(F.make_date(F.lit(2000), F.col("month_num"), F.lit(1)))
     return bands.select(
         *SERIES, month.alias("month"), F.col("month_num").alias("mon_num"), "num_samps",
@@ -77,16 +76,15 @@ def percentile_bands(hist: DataFrame, *, value: str = "ValueCen", min_samples: i
     )
 
 
-def mean_and_95_band(hist: DataFrame, *, value: str = "ValueCen", min_samples: int = MIN_SAMPLES,
-                     hot_rows: HotRule = HOT_ROWS) -> DataFrame:
+def mean_and_95_band(hist: DataFrame, *, value: str = "ValueCen", min_samples: int = MIN_SAMPLES) -> DataFrame:
     """Mean (missing as soon as one value is missing), count and the 95 % band of every month."""
     v = F.col(value)
     rows = with_calendar(hist).select(*MONTHLY, value)
     stats = group_quantiles(
-        rows, MONTHLY, value, {"lower_pct": 0.025, "upper_pct": 0.975}, hot_rows=hot_rows,
+        rows, MONTHLY, value, {"lower_pct": 0.025, "upper_pct": 0.975},
         aggs=[
-            strict_agg(F.avg(v), v).alias("mean"),
-            F.count(F.lit(1)).alias("num_samps"),
+            strict_agg(F.sum(v * F.col("_w")) / F.sum("_w"), v).alias("mean"),
+            F.sum("_w").alias("num_samps"),
         ],
     )
     month = month_full(F.make_date(F.lit(2000), F.col("month_num"), F.lit(1)))

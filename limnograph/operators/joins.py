@@ -51,6 +51,7 @@ def full_join(left: DataFrame, right: DataFrame, on: Sequence[str] | None = None
         keys = [F.coalesce(F.col(k), F.col(f"_r_{k}")).alias(k) for k in on]
         rest = [c for c in (*left.columns, *right.columns) if c not in on]
         return joined.select(*keys, *rest)
+    right = right.hint("rebalance")  # ends in an exchange, so that it is worked out once for both reads
     matched = join_on(left, right, on, "left")
     lonely = join_on(right, left.select(*on).distinct(), on, "left_anti")
     rest = [c for c in matched.columns if c not in on]

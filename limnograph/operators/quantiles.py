@@ -1,27 +1,20 @@
 """Exact order statistics per group, safe when one group holds much of the data.
 
-Ordinary groups are ranked in one window sort: a single shuffle on the group keys. A group with
-more than ``hot_rows`` rows never meets in one task. It is first reduced to (value, count) rows
-spread over (keys, value), then cut at splitter values into blocks of similar size; only the
-blocks that hold a wanted rank are looked into, each by its own task.
+Rows are first reduced to one cell per (keys, value), so a group's rows are counted before the shuffle
+and spread over its values. Cells are counted per block of neighbouring values; only the blocks that
+hold a wanted rank are looked into. No group meets in one task, only its blocks' counts do, and there
+are at most about 1.6 million of these.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from limnograph.operators.joins import join_on
-from limnograph.session import checkpointed
-
-HOT_ROWS = 1_000_000
-BROADCAST_GROUPS = 20_000
-SPLITTERS = 512
-_STRIDE = 24
 
 
 def rank_position(p: float, method: str, n: str = "_n") -> str:
@@ -42,74 +35,51 @@ def _wanted_ranks(quantiles: Mapping[str, float], method: str) -> dict[str, str]
     return ranks
 
 
-@dataclass(frozen=True)
-class HotGroups:
-    """Keys of the groups that are too large for one task; None when there are none.
+def value_cells(df: DataFrame, keys: Sequence[str], value: str, extra: Sequence[Column] = ()) -> DataFrame:
+    """One row per (keys, value): its row count ``_w`` and the ``extra`` aggregates.
 
-    ``few`` says that their number was checked to be small enough for broadcasts.
+    The condition is always true. It keeps all columns in use, so that every reader of the cells
+    has the same exchange below it and Spark runs that once.
     """
+    cells = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"), *extra)
+    made = [c for c in cells.columns if c not in (*keys, value)]
+    return cells.where(F.xxhash64(*made) >= F.lit(-(2**63)))
 
-    keys: DataFrame | None = None
-    few: bool = False
-
-    def __bool__(self) -> bool:
-        return self.keys is not None
 
-    def calm(self, df: DataFrame, on: Sequence[str]) -> DataFrame:
-        return df if self.keys is None else join_on(df, self.keys, on, "left_anti")
+def _block(value: str) -> str:
+    """SQL text of a never falling function of the value: its block, 60 millionths of the value wide."""
+    v = f"CAST({value} AS DOUBLE)"
+    return f"rint(signum({v}) * log1p(abs({v}) * 1e6D) * 16384D) + 0D"
 
-    def rows(self, df: DataFrame, on: Sequence[str]) -> DataFrame:
-        return join_on(df, self.keys, on, "left_semi")
 
+def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float], *,
+                    method: str = "type7", extra: Sequence[Column] = (), aggs: Sequence[Column] = ()) -> DataFrame:
+    """One row per group: ``aggs`` over its cells and exact quantiles of its non-NULL values.
 
-HotRule = int | None | HotGroups
-
+    ``extra`` are aggregates of the rows of one value, beside their count ``_w``.
+    """
+    cells = value_cells(df, keys, value, extra).selectExpr(
+        "*", f"IF({value} IS NULL, 0, _w) AS _k", f"{_block(value)} AS _block")
+    ranks = _wanted_ranks(quantiles, method)
 
-def hot_groups(df: DataFrame, keys: Sequence[str], rule: HotRule) -> HotGroups:
-    """Find the groups beyond ``rule`` rows; ``None`` trusts that there are none.
+    blocks = cells.groupBy(*keys, "_block").agg(F.sum("_k").alias("_block_n"))
+    group = W.partitionBy(*keys)
+    before = group.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = blocks.select("*", F.coalesce(F.sum("_block_n").over(before), F.lit(0)).alias("_before"),
+                            F.sum("_block_n").over(group).alias("_n"))
+    holds_rank = " OR ".join(f"({r} > _before AND {r} <= _before + _block_n)" for r in dict.fromkeys(ranks.values()))
+    wanted = offsets.where(holds_rank).select(*keys, "_block", "_before", "_n")
 
-    Reads the key columns only. The row count comes first, because a table of at most that many
-    rows cannot hold such a group. The keys are written to the checkpoint folder, and broadcast
-    in later joins only while they are few.
-    """
-    if isinstance(rule, HotGroups):
-        return rule
-    if rule is None or df.count() <= rule:
-        return HotGroups()
-    big = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > rule)
-    big = big.select(*keys)
-    if big.isEmpty():
-        return HotGroups()
-    big = checkpointed(big)
-    few = big.count() <= BROADCAST_GROUPS
-    return HotGroups(F.broadcast(big) if few else big, few)
-
-
-def group_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    quantiles: Mapping[str, float],
-    *,
-    method: str = "type7",
-    aggs: Sequence[Column] = (),
-    hot_rows: HotRule = HOT_ROWS,
-    splitters: int = SPLITTERS,
-) -> DataFrame:
-    """One row per group: ``aggs`` over all its rows and exact quantiles of its non-NULL values.
-
-    ``aggs`` are ordinary aggregates with partial forms. ``hot_rows`` may also be the hot groups
-    found earlier for rows that include these.
-    """
-    hot = hot_groups(df, keys, hot_rows)
-    calm = _by_window(hot.calm(df, keys), keys, value, quantiles, method, aggs)
-    if not hot:
-        return calm
-    rows = hot.rows(df, keys)
-    picked = _by_blocks(rows, keys, value, quantiles, method, splitters)
-    if aggs:
-        picked = join_on(rows.groupBy(*keys).agg(*aggs), picked, keys, "left")
-    return calm.unionByName(picked)
+    # Cells of other blocks go along for the aggregates; their ``_before`` is NULL, so no rank falls on them.
+    within = W.partitionBy(*keys, "_block").orderBy(value)
+    ranked = join_on(cells, wanted, [*keys, "_block"], "left").withColumn(
+        "_last", F.col("_before") + F.sum("_k").over(within))
+    picks = [
+        F.expr(f"max(CASE WHEN {rank} <= _last AND {rank} > _last - _k THEN {value} END) AS {name}")
+        for name, rank in ranks.items()
+    ]
+    grouped = ranked.groupBy(*keys).agg(*aggs, *picks, F.max("_n").alias("_n"))
+    return _interpolated(grouped, quantiles, method)
 
 
 def _interpolated(grouped: DataFrame, quantiles: Mapping[str, float], method: str) -> DataFrame:
@@ -119,88 +89,5 @@ def _interpolated(grouped: DataFrame, quantiles: Mapping[str, float], method: st
     for name, p in quantiles.items():
         position = rank_position(p, method)
         low, high = f"_lo_{name}", f"_hi_{name}"
-        between.append(f"{low} + ({high} - {low}) * ({position} - floor({position})) AS {name}")
+        between.append(f"IF({low} = {high}, {low}, {low} + ({high} - {low}) * ({position} - floor({position}))) AS {name}")
     return grouped.selectExpr(*kept, *between)
-
-
-def _by_window(df, keys, value, quantiles, method, aggs) -> DataFrame:
-    by = ", ".join(keys)
-    ranked = df.selectExpr(
-        "*",
-        f"row_number() OVER (PARTITION BY {by} ORDER BY {value} ASC NULLS LAST) AS _rank",
-        f"count({value}) OVER (PARTITION BY {by}) AS _n",
-    )
-    picks = [
-        F.expr(f"max(CASE WHEN _rank = {rank} THEN {value} END) AS {name}")
-        for name, rank in _wanted_ranks(quantiles, method).items()
-    ]
-    grouped = ranked.groupBy(*keys).agg(*aggs, *picks, F.expr("max(_n) AS _n"))
-    return _interpolated(grouped, quantiles, method)
-
-
-def _by_blocks(rows, keys, value, quantiles, method, splitters) -> DataFrame:
-    weighted = (
-        rows.where(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_w"))
-    )
-    sizes = weighted.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_distinct"), F.sum("_w").alias("_n")
-    )
-    tagged = join_on(weighted, sizes, keys)
-
-    every = F.greatest(F.lit(1), F.ceil(F.col("_distinct") / splitters))
-    cut = with_blocks(tagged, keys, value, every, [value]).drop("_distinct")
-
-    ranks = _wanted_ranks(quantiles, method)
-    blocks = cut.groupBy(*keys, "_block").agg(
-        F.sum("_w").alias("_block_n"), F.max("_n").alias("_n")
-    )
-    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = blocks.withColumn("_before", F.coalesce(F.sum("_block_n").over(before), F.lit(0)))
-    holds_rank = " OR ".join(
-        f"({rank} > _before AND {rank} <= _before + _block_n)" for rank in ranks.values()
-    )
-    wanted = offsets.where(holds_rank).select(*keys, "_block", "_before")
-
-    within = W.partitionBy(*keys, "_block").orderBy(value)
-    ranked = join_on(cut, wanted, [*keys, "_block"]).withColumn(
-        "_last", F.col("_before") + F.sum("_w").over(within)
-    )
-    picks = [
-        F.expr(f"max(CASE WHEN {rank} <= _last AND {rank} > _last - _w THEN {value} END) AS {name}")
-        for name, rank in ranks.items()
-    ]
-    grouped = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks)
-    return _interpolated(grouped, quantiles, method)
-
-
-def with_blocks(rows: DataFrame, keys: Sequence[str], value: str, every: Column,
-                hashed: Sequence[str]) -> DataFrame:
-    """Add ``_block``: how many of the group's splitters lie at or below the value.
-
-    About one row in ``every`` is a splitter, chosen by a hash of the ``hashed`` columns, so the
-    same ones come out however often a task is run again. Equal values share a block.
-    """
-    marks = (
-        rows.where(F.pmod(F.xxhash64(*hashed), every) == 0)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_set(value)).alias("_marks"))
-        .withColumn(
-            "_coarse",
-            F.transform(
-                F.sequence(F.lit(0), F.floor((F.size("_marks") - 1) / _STRIDE).cast("int")),
-                lambda i: F.element_at("_marks", (i * _STRIDE + 1).cast("int")),
-            ),
-        )
-    )
-    # Two short steps: the part of the splitters to look at, then the place within it.
-    placed = join_on(rows, marks, keys, "left").withColumn(
-        "_start", F.expr(f"greatest(size(filter(_coarse, m -> m <= {value})) - 1, 0) * {_STRIDE}")
-    )
-    near = f"slice(_marks, _start + 1, {_STRIDE})"
-    placed = placed.withColumn(
-        "_block",
-        F.expr(f"IF(_marks IS NULL, 0, _start + size(filter({near}, m -> m <= {value})))"),
-    )
-    return placed.drop("_marks", "_coarse", "_start")

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from limnograph.functions.tails import normal_p_value
 from limnograph.operators.bands import SERIES
 from limnograph.operators.joins import join_on
-from limnograph.operators.quantiles import hot_groups, with_blocks
+from limnograph.operators.hot import hot_groups, with_blocks
 from limnograph.session import checkpointed
 
 PAIR_ROWS = 1500

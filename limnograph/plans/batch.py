@@ -7,7 +7,6 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limnograph.operators.quantiles import HOT_ROWS, HotRule
 from limnograph.plans.boxplot import boxplot
 from limnograph.plans.params import ReportParams
 from limnograph.plans.report_index import report_index
@@ -19,13 +18,12 @@ from limnograph.sources.sinks import output_name, write_reports
 BATCH_PARKS = ["MABI", "MIMA", "MORR", "ROVA", "SAGA", "SARA", "WEFA"]
 
 
-def report_datasets(meas: DataFrame, sites: DataFrame, chars: DataFrame, params: ReportParams, *,
-                    hot_rows: HotRule = HOT_ROWS) -> dict[str, DataFrame]:
+def report_datasets(meas: DataFrame, sites: DataFrame, chars: DataFrame, params: ReportParams) -> dict[str, DataFrame]:
     """The plot-ready tables of a report."""
     out = {
         "waterbands": waterbands(
             meas.where(F.col("Category") == params.category), chars, months=params.months,
-            year_historic=params.year_from, year_current=params.current, hot_rows=hot_rows,
+            year_historic=params.year_from, year_current=params.current,
         ),
         "site_comparison": site_comparison(meas, sites, chars, year=params.current, months=params.months),
         "report_index": report_index(meas, sites, chars, params),
@@ -33,7 +31,7 @@ def report_datasets(meas: DataFrame, sites: DataFrame, chars: DataFrame, params:
     if params.nutrient:
         out["boxplot"] = boxplot(
             meas, sites, chars, year_from=params.year_from, year_to=params.year_to,
-            current_year=params.current, hot_rows=hot_rows,
+            current_year=params.current,
         )
     return out
 

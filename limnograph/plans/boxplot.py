@@ -8,21 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnograph.functions.calendar import month_label, with_calendar
-from limnograph.operators.aggregates import axis_domain
+from limnograph.operators.aggregates import axis_ends
 from limnograph.operators.bands import MONTHLY, SERIES
-from limnograph.operators.box import STATS, box_fences, box_outliers, box_stats
+from limnograph.operators.box import STATS, beyond_fences, box_fences, box_stats
 from limnograph.operators.catalog import get_wdata
 from limnograph.operators.filters import (
     LAKE_MONTHS,
     LAKE_NUTRIENTS,
     OTHER_MONTHS,
     STREAM_NUTRIENTS,
-    current,
     historic,
     target_month,
     target_nutrient,
 )
-from limnograph.operators.quantiles import HOT_ROWS, HotRule
 from limnograph.operators.thresholds import box_class, with_points
 
 LAYER_COLUMNS = [
@@ -52,8 +50,7 @@ def boxplot_rows(meas: DataFrame, sites: DataFrame, *, year_from: int, current_y
 
 
 def boxplot(meas: DataFrame, sites: DataFrame, chars: DataFrame, *, year_from: int, year_to: int,
-            current_year: int, method: str = "hazen", hot_rows: HotRule = HOT_ROWS,
-            **row_options) -> DataFrame:
+            current_year: int, method: str = "hazen", **row_options) -> DataFrame:
     """Layers of the plot in one long table.
 
     ``box``: statistics per month of the years up to ``year_to``. ``outlier``: historic samples
@@ -62,22 +59,26 @@ def boxplot(meas: DataFrame, sites: DataFrame, chars: DataFrame, *, year_from: i
     """
     rows = boxplot_rows(meas, sites, year_from=year_from, current_year=current_year, **row_options)
     hist = historic(rows, year_from, year_to + 1)
-    fences = box_fences(hist, MONTHLY, method=method, hot_rows=hot_rows)
+    fences = box_fences(hist, MONTHLY, method=method)
     boxes = box_stats(hist, MONTHLY, fences=fences).withColumn("layer", F.lit("box"))
-    outliers = box_outliers(hist, fences, MONTHLY).select(
-        *MONTHLY, F.lit("outlier").alias("layer"), *STATS, "Date", "year",
+
+    # One pass gives both kinds of points; when the current year is part of the boxes, a sample can be both.
+    in_hist, is_now = F.col("year") <= year_to, F.col("year") == current_year
+    fenced = rows.join(fences, MONTHLY, "left")
+    kinds = F.filter(
+        F.array(F.when(in_hist & beyond_fences(), "outlier"), F.when(is_now, "current")), lambda k: k.isNotNull())
+    points = with_points(fenced.withColumn("layer", F.explode(kinds)), chars)
+    outlier, now = F.col("layer") == "outlier", F.col("layer") == "current"
+    points = points.select(
+        *MONTHLY, "layer", *[F.when(outlier, F.col(c)).alias(c) for c in STATS], "Date", "year",
         F.col("ValueCen").alias("value"),
+        F.when(now, box_class(F.col("ValueCen"), F.col("year"), current_year)).alias("pcolor"),
     )
-    now = with_points(current(rows, current_year), chars)
-    points = now.select(
-        *MONTHLY, F.lit("current").alias("layer"), "Date", "year", F.col("ValueCen").alias("value"),
-        box_class(F.col("ValueCen"), F.col("year"), current_year).alias("pcolor"),
-    )
-    lines = now.where(F.col("UpperPoint").isNotNull()).select(*SERIES, "UpperPoint").distinct()
-    lines = lines.join(axis_domain(rows, SERIES), SERIES).select(
-        *SERIES, F.lit("threshold").alias("layer"), "UpperPoint", "line_start", "line_end"
-    )
+    series = rows.groupBy(*SERIES).agg(
+        F.min("month_num").alias("first_month"), F.max("month_num").alias("last_month"), F.max(is_now).alias("sampled"))
+    lines = with_points(axis_ends(series).where("sampled"), chars).where(F.col("UpperPoint").isNotNull()).select(
+        *SERIES, F.lit("threshold").alias("layer"), "UpperPoint", "line_start", "line_end")
     layers = boxes
-    for layer in (outliers, points, lines):
+    for layer in (points, lines):
         layers = layers.unionByName(layer, allowMissingColumns=True)
     return layers.withColumn("month", month_label(F.col("month_num"))).select(*LAYER_COLUMNS)

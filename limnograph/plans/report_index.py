@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from limnograph.functions import labels
 from limnograph.operators.aggregates import multi_site_flag
-from limnograph.operators.filters import current, current_sites, target_nutrient
+from limnograph.operators.filters import current, target_nutrient
+from limnograph.operators.joins import semi_join
 from limnograph.plans.params import ReportParams
 
 
@@ -17,7 +18,9 @@ def _layout(n):
 
 def report_index(meas: DataFrame, sites: DataFrame, chars: DataFrame, params: ReportParams) -> DataFrame:
     """Sites sampled in the current year with their panels, layout, titles and flags."""
-    active = current_sites(sites, meas, params.current).select(
+    # The same distinct pairs serve the filter and the flag, so the samples are read once.
+    sampled = current(meas, params.current).select("Park", "Site")
+    active = semi_join(sites, sampled, {"ParkCode": "Park", "SiteCode": "Site"}).select(
         F.col("ParkCode").alias("Park"), F.col("SiteCode").alias("Site"), "SiteName",
         F.col("type").alias("SiteType"),
     )
@@ -31,7 +34,7 @@ def report_index(meas: DataFrame, sites: DataFrame, chars: DataFrame, params: Re
         F.count_if(physical).alias("n_physical"),
         F.count_if(nutrient if params.nutrient else F.lit(False)).alias("n_nutrient"),
     )
-    flags = multi_site_flag(current(meas, params.current))
+    flags = multi_site_flag(sampled)
     span = (params.year_from, params.year_to, params.current)
     return panels.join(flags, "Park", "left").withColumns(
         {

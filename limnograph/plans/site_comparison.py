@@ -12,7 +12,7 @@ from limnograph.functions.calendar import FIELD_SEASON, with_calendar
 from limnograph.operators.catalog import get_wdata
 from limnograph.operators.checks import require_single_year
 from limnograph.operators.joins import semi_join
-from limnograph.operators.thresholds import with_points
+from limnograph.operators.thresholds import POINTS, with_points
 
 
 def site_names(sites: DataFrame) -> DataFrame:
@@ -48,9 +48,11 @@ def site_comparison(meas: DataFrame, sites: DataFrame, chars: DataFrame, *, year
     info = chars.select(
         F.col("ParkCode").alias("Park"), F.col("SiteCode").alias("Site"),
         F.col("CharName").alias("Characteristic"), F.col("CategoryDisplay").alias("param_name"),
-        F.col("Units").alias("unit"),
+        F.col("Units").alias("unit"), *POINTS,
     )
-    rows = with_points(rows, chars, assessment=assessment, mode=mode)
+    if assessment != "metadata" or mode != "per_site":  # else names and points come with one join
+        info = info.drop(*POINTS)
+        rows = with_points(rows, chars, assessment=assessment, mode=mode)
     rows = rows.join(info, ["Park", "Site", "Characteristic"], "left")
     return rows.withColumns(
         {

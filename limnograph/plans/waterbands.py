@@ -13,9 +13,7 @@ from limnograph.operators.bands import MIN_SAMPLES, MONTHLY, SERIES, monthly_ban
 from limnograph.operators.catalog import get_wdata
 from limnograph.operators.filters import historic
 from limnograph.operators.joins import full_join
-from limnograph.operators.quantiles import HOT_ROWS, HotRule, hot_groups
 from limnograph.operators.thresholds import band_class, with_points
-from limnograph.session import checkpointed
 
 
 def current_values(meas: DataFrame, year: int, months: Iterable[int] | None = None) -> DataFrame:
@@ -27,15 +25,13 @@ def current_values(meas: DataFrame, year: int, months: Iterable[int] | None = No
     )
 
 
-def waterbands_from(bands: DataFrame, current_rows: DataFrame, *, hot: bool = False) -> DataFrame:
+def waterbands_from(bands: DataFrame, current_rows: DataFrame) -> DataFrame:
     """Bands and current samples side by side.
 
     Months with only a history or only current samples stay, and a month with several current
-    samples has a row for each. With hot groups the bands are needed twice and are written first.
+    samples has a row for each. A month may hold any number of these.
     """
-    if hot:
-        bands = checkpointed(bands)
-    joined = full_join(current_rows, bands.drop("month"), MONTHLY, hot=hot)
+    joined = full_join(current_rows, bands.drop("month"), MONTHLY, hot=True)
     return joined.withColumn("month", month_label(F.col("month_num")))
 
 
@@ -50,15 +46,13 @@ def char_names(chars: DataFrame) -> DataFrame:
 
 def waterbands(meas: DataFrame, chars: DataFrame, *, year_historic: int, year_current: int,
                months: Iterable[int] = FIELD_SEASON, min_samples: int = MIN_SAMPLES,
-               assessment: str = "metadata", hot_rows: HotRule = HOT_ROWS) -> DataFrame:
+               assessment: str = "metadata") -> DataFrame:
     """Bands, years of the extremes, current values, assessment points, class and labels."""
     months = tuple(months)
     rows = get_wdata(meas, years=(year_historic, year_current), months=months)
     rows = rows.withColumn("month_num", F.month("Date"))
-    hot = hot_groups(rows, MONTHLY, hot_rows)
-    bands = monthly_bands(historic(rows, year_historic, year_current), min_samples=min_samples,
-                          hot_rows=hot)
-    joined = waterbands_from(bands, current_values(rows, year_current), hot=bool(hot))
+    bands = monthly_bands(historic(rows, year_historic, year_current), min_samples=min_samples)
+    joined = waterbands_from(bands, current_values(rows, year_current))
     named = joined.join(char_names(chars), SERIES, "left")
     if assessment == "none":
         named = with_points(named.drop("LowerPoint", "UpperPoint"), chars, assessment="none")

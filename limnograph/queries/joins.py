@@ -13,7 +13,6 @@ from limnograph.plans.waterbands import current_values, waterbands_from
 from limnograph.queries.base import query
 from limnograph.queries.filters import PAIRS, pairs
 from limnograph.queries.sql import SEASON, bands as bands_sql
-from limnograph.session import checkpointed
 from limnograph.sources.monitoring_view import CURRENT, YEAR_FROM
 
 SEASON_MONTHS = range(5, 11)
@@ -87,7 +86,7 @@ def join_summary_range(v):
     years = rows.groupBy(*MONTHLY).agg(bands.year_of_min().alias("year_min"),
                                        bands.year_of_max().alias("year_max"))
     counts = bands.group_quantiles(rows, MONTHLY, "ValueCen", {"median_val": 0.5},
-                                   aggs=[F.count(F.lit(1)).alias("num_samps")])
+                                   aggs=[F.sum("_w").alias("num_samps")])
     return joins.full_join(counts, years)
 
 
@@ -103,7 +102,7 @@ def join_summary_range(v):
             AND b.month_num = c.month_num""",
 )
 def join_hist_current(v):
-    return waterbands_from(season_bands(v), current_values(v.meas, CURRENT, SEASON_MONTHS), hot=True)
+    return waterbands_from(season_bands(v), current_values(v.meas, CURRENT, SEASON_MONTHS))
 
 
 @query("join_site_names", "Park Site SiteName Characteristic Date:t ValueCen:d",
@@ -166,7 +165,7 @@ _FULL = "strftime(make_date(2000, month_num, 1), '%B')"
           FROM {bands_sql(where='TRUE')} AS b) AS b USING (Park, Site, Characteristic, month_num)""",
 )
 def join_current_bands_full(v):
-    band = checkpointed(bands.percentile_bands(filters.historic(v.meas, YEAR_FROM, CURRENT)))
+    band = bands.percentile_bands(filters.historic(v.meas, YEAR_FROM, CURRENT))
     now = catalog.get_wdata(v.meas, years=CURRENT).select(
         "Park", "Site", "Characteristic", "Date", "ValueCen", F.month("Date").alias("mon_num"),
         month_full(F.col("Date")).alias("month"), year_text(F.col("Date")).alias("year"),

@@ -48,10 +48,9 @@ def test_quantiles(samples):
     assert got == pytest.approx([1.0, 1.0, 2.0, 3.0, 9.3])
 
 
-@pytest.mark.parametrize("hot", [None, 2])
-def test_ties_go_to_the_latest_year(samples, hot):
+def test_ties_go_to_the_latest_year(samples):
     rows = [("2010-05-01", 1.0), ("2015-05-01", 1.0), ("2011-05-01", 9.0), ("2008-05-01", 9.0)]
-    row = one(monthly_bands(samples(rows), hot_rows=hot))
+    row = one(monthly_bands(samples(rows)))
     assert (row.year_min, row.year_max) == (2015, 2011)
 
 
@@ -85,11 +84,10 @@ def test_site_range_propagates_missing(samples):
     assert (row.min_val, row.max_val) == (None, None)
 
 
-@pytest.mark.parametrize("hot", [None, 1])
-def test_full_join_keeps_both_sides_and_repeats(samples, chars, hot):
+def test_full_join_keeps_both_sides_and_repeats(samples, chars):
     rows = years([6.0, 7.0, 8.0, 7.5]) + [("2019-05-01", 9.0), ("2019-05-20", 7.0), ("2019-07-01", None)]
     rows += years([6.5, 7.0, 7.2, 7.4], month="06")
-    out = waterbands(samples(rows), chars, year_historic=2006, year_current=2019, hot_rows=hot)
+    out = waterbands(samples(rows), chars, year_historic=2006, year_current=2019)
     got = {(r.month_num, r.ValueCen_curr): r for r in out.collect()}
     assert set(got) == {(5, 9.0), (5, 7.0), (6, None), (7, None)}
     assert got[(5, 9.0)].pcolor == "orange" and got[(5, 7.0)].pcolor == "black"
@@ -133,14 +131,11 @@ def test_year_filter_reaches_the_scan(spark, samples, tmp_path):
     assert df.where(F.col("ValueCen") > 1).count() == 1
 
 
-def test_rule_bands_with_hot_groups(spark, samples):
+def test_rule_bands_keep_both_sides(spark, samples):
     from limnograph.plans.drafts import bands_with_rules
     from limnograph.sources.tables import rule_thresholds
 
     meas = samples(years([6.0, 7.0, 8.0, 7.5]) + [("2019-05-01", 9.0), ("2019-05-20", 7.0), ("2019-07-01", None)])
-    plain, hot = (
-        {tuple(r) for r in bands_with_rules(meas, rule_thresholds(spark), year_from=2006, current=2019,
-                                            hot_rows=rule).collect()}
-        for rule in (None, 1)
-    )
-    assert plain == hot and len(plain) == 3
+    rows = bands_with_rules(meas, rule_thresholds(spark), year_from=2006, current=2019).collect()
+    got = sorted((r.mon_num, r.ValueCen or 0.0, r.median_val) for r in rows)
+    assert got == [(5, 7.0, 7.25), (5, 9.0, 7.25), (7, 0.0, None)]

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from limnograph.operators.quantiles import HotGroups, group_quantiles, hot_groups
+from limnograph.operators.hot import HotGroups, hot_groups
+from limnograph.operators.quantiles import group_quantiles
 
 PROBS = {"lo": 0.025, "q1": 0.25, "med": 0.5, "q3": 0.75, "hi": 0.975, "first": 0.0, "last": 1.0}
 NUMPY = {"type7": "linear", "hazen": "hazen"}
@@ -41,11 +42,10 @@ def groups(spark):
 
 
 @pytest.mark.parametrize("method", ["type7", "hazen"])
-@pytest.mark.parametrize("rule", [None, 100])
-def test_quantiles_match_brute_force(groups, method, rule):
+def test_quantiles_match_brute_force(groups, method):
     made, df = groups
-    out = group_quantiles(df, ["g"], "v", PROBS, method=method, hot_rows=rule, splitters=16,
-                          aggs=[F.count(F.lit(1)).alias("n_all"), F.max("v").alias("top")])
+    out = group_quantiles(df, ["g"], "v", PROBS, method=method,
+                          aggs=[F.sum("_w").alias("n_all"), F.max("v").alias("top")])
     rows = {r["g"]: r for r in out.collect()}
     assert set(rows) == {*made, "empty"}
     for name, values in made.items():
@@ -56,13 +56,29 @@ def test_quantiles_match_brute_force(groups, method, rule):
     assert rows["empty"]["n_all"] == 2 and rows["empty"]["med"] is None
 
 
-@pytest.mark.parametrize("splitters", [2, 100, 5000])
-def test_number_of_splitters_does_not_change_the_result(groups, splitters):
-    made, df = groups
-    out = group_quantiles(df, ["g"], "v", PROBS, hot_rows=100, splitters=splitters)
-    got = {r["g"]: r["med"] for r in out.collect()}
-    assert got["tail"] == pytest.approx(np.median(made["tail"]), rel=1e-12)
-    assert got["ties"] == np.median(made["ties"])
+def test_one_hot_group_is_spread_and_counted_before_the_shuffle(spark):
+    rng = np.random.default_rng(11)
+    values = np.concatenate([rng.normal(1013, 2, 60_000), rng.integers(-3, 4, 30_000) / 2, [np.inf, -np.inf, -0.0]])
+    df = spark.createDataFrame([("hot", float(v)) for v in values] + [("cold", 1.0)], "g string, v double")
+    out = group_quantiles(df, ["g"], "v", PROBS)
+    got = {r["g"]: r for r in out.collect()}
+    for label, p in PROBS.items():
+        if label in ("first", "last"):
+            assert got["hot"][label] == (-np.inf if label == "first" else np.inf)
+        else:
+            assert got["hot"][label] == pytest.approx(np.quantile(values, p), rel=1e-12)
+    assert got["cold"]["med"] == 1.0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count(1)" in plan
+
+
+def test_quantiles_start_no_job_before_they_are_read(spark, groups):
+    _, df = groups
+    spark.sparkContext.setJobGroup("plan", "plan")
+    out = group_quantiles(df, ["g"], "v", PROBS)
+    jobs = list(spark.sparkContext.statusTracker().getJobIdsForGroup("plan"))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs == [] and out.columns[0] == "g"
 
 
 def test_hot_groups_are_found_only_beyond_the_limit(groups):
@@ -76,6 +92,6 @@ def test_hot_groups_are_found_only_beyond_the_limit(groups):
 
 def test_null_keys_stay_a_group(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, v double")
-    for rule in (None, 1):
-        rows = {r["g"]: r["m"] for r in group_quantiles(df, ["g"], "v", {"m": 0.5}, hot_rows=rule).collect()}
+    for probs in ({"m": 0.5}, {"m": 0.5, "top": 1.0}):
+        rows = {r["g"]: r["m"] for r in group_quantiles(df, ["g"], "v", probs).collect()}
         assert rows == {None: 2.0, "a": 5.0}
