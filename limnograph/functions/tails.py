@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+MAX_TERMS = 100_000
+TOLERANCE = 4e-15
+
+
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
+    """Continued fraction of the incomplete beta function (modified Lentz), to the tolerance or an error."""
     tiny = 1e-300
     c = np.ones_like(x)
     d = 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
     h = d.copy()
-    for m in range(1, 300):
+    for m in range(1, MAX_TERMS):
         for num in (
             m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
             -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
@@ -28,9 +32,9 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = np.where(np.abs(c) < tiny, tiny, c)
             step = d * c
             h = h * step
-        if np.all(np.abs(step - 1.0) < 1e-15):
-            break
-    return h
+        if np.all(np.abs(step - 1.0) < TOLERANCE):
+            return h
+    raise ArithmeticError("the incomplete beta function did not converge")
 
 
 def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -46,7 +50,11 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, value))
 
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
+def _erfc(x: np.ndarray) -> np.ndarray:
+    # Made at each call: once used, a vectorised function cannot be sent to workers.
+    return np.vectorize(math.erfc, otypes=[float])(x)
+
+
 # Beyond this many degrees of freedom the beta function loses digits that the normal keeps.
 _NORMAL_FROM = 1e6
 
@@ -90,4 +98,6 @@ def t_quantile_975(df: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def normal_p_value(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2.0)))
+    ok = z.notna()
+    out = pd.Series(_erfc(z.fillna(0.0).abs().to_numpy(dtype=float) / math.sqrt(2.0)), index=z.index)
+    return out.astype(object).where(ok, None)
