@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from limnograph.operators.filters import NOT_COMPARED
 from limnograph.plans.boxplot import boxplot
 from limnograph.plans.params import ReportParams
 from limnograph.plans.report_index import report_index
@@ -19,13 +20,18 @@ BATCH_PARKS = ["MABI", "MIMA", "MORR", "ROVA", "SAGA", "SARA", "WEFA"]
 
 
 def report_datasets(meas: DataFrame, sites: DataFrame, chars: DataFrame, params: ReportParams) -> dict[str, DataFrame]:
-    """The plot-ready tables of a report."""
+    """The plot-ready tables of a report; sites are compared together and by water type."""
     out = {
         "waterbands": waterbands(
             meas.where(F.col("Category") == params.category), chars, months=params.months,
             year_historic=params.year_from, year_current=params.current,
         ),
         "site_comparison": site_comparison(meas, sites, chars, year=params.current, months=params.months),
+        **{
+            f"site_comparison_{kind.lower()}": site_comparison(
+                meas, sites, chars, year=params.current, months=params.months, site_type=kind, exclude=NOT_COMPARED)
+            for kind in ("Lake", "Stream")
+        },
         "report_index": report_index(meas, sites, chars, params),
     }
     if params.nutrient:
