@@ -103,7 +103,7 @@ def test_datasets(monitor):
 
 def test_batch_is_partitioned_by_park(spark, monitor):
     paths = monitor.write_batch(scratch_path(spark, "batch"), parks=["MABI"])
-    assert set(paths) == {"waterbands", "site_comparison", "report_index", "boxplot"}
+    assert set(paths) == {"waterbands", "site_comparison", "site_comparison_lake", "site_comparison_stream", "report_index", "boxplot"}
     for path in paths.values():
         assert {r[0] for r in spark.read.parquet(path).select("Park").distinct().collect()} == {"MABI"}
 
