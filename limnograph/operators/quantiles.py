@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from limnograph.operators.joins import join_on
-
 
 def rank_position(p: float, method: str, n: str = "_n") -> str:
     """SQL text of the fractional 1-based rank of quantile ``p`` among ``n`` values."""
@@ -70,10 +68,13 @@ def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: M
     holds_rank = " OR ".join(f"({r} > _before AND {r} <= _before + _block_n)" for r in dict.fromkeys(ranks.values()))
     wanted = offsets.where(holds_rank).select(*keys, "_block", "_before", "_n")
 
-    # Cells of other blocks go along for the aggregates; their ``_before`` is NULL, so no rank falls on them.
-    within = W.partitionBy(*keys, "_block").orderBy(value)
-    ranked = join_on(cells, wanted, [*keys, "_block"], "left").withColumn(
-        "_last", F.col("_before") + F.sum("_k").over(within))
+    # A wanted block's offset goes ahead of its cells and starts their running count, so one sort serves in place
+    # of a join. Cells of other blocks go along for the aggregates; their ``_last`` is NULL, so no rank falls on them.
+    both = cells.withColumn("_cell", F.lit(True)).unionByName(wanted.withColumn("_cell", F.lit(False)), allowMissingColumns=True)
+    within = W.partitionBy(*keys, "_block").orderBy("_cell", value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    of = F.max("_n").over(within)
+    last = F.when(of.isNotNull(), F.sum(F.coalesce("_before", "_k")).over(within))
+    ranked = both.select(*cells.columns, "_cell", last.alias("_last"), of.alias("_n")).where("_cell")
     picks = [
         F.expr(f"max(CASE WHEN {rank} <= _last AND {rank} > _last - _k THEN {value} END) AS {name}")
         for name, rank in ranks.items()
