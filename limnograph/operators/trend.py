@@ -6,7 +6,7 @@ any measured value at or above the limit; every other pair with it is ambiguous
 slope is the one whose removal brings the score to zero: without censoring, the median of the
 pairwise slopes.
 
-Series of up to ``pair_rows`` samples are scored in Arrow batches. Longer ones are never brought
+Series of up to ``pair_rows`` samples are scored in Arrow batches, in O(n log n) with a bounded list of pairs. Longer ones are never brought
 together: they are cut into blocks by value, each block is counted by its own task, the blocks are
 compared with each other through their counts per day, and the slope is narrowed down by counting.
 """
@@ -28,7 +28,8 @@ from limnograph.operators.joins import join_on
 from limnograph.operators.hot import hot_groups, with_blocks
 from limnograph.session import checkpointed
 
-PAIR_ROWS = 1500
+PAIR_ROWS = 500_000
+LISTED_PAIRS = 1_000_000
 BLOCK_ROWS = 50_000
 # Fixed value: days per year, to turn a slope per day into one per year.
 DAYS_PER_YEAR = 365.25
@@ -41,27 +42,98 @@ _SCORED = [T.StructField("s", T.LongType())] + [
 ]
 
 
-def _score_pairs(t: np.ndarray, y: np.ndarray, measured: np.ndarray) -> tuple[int, float | None]:
-    """Score and slope of one short series."""
-    i, j = np.triu_indices(len(t), 1)
-    apart = t[i] != t[j]
-    i, j = i[apart], j[apart]
+def _ranked(z: np.ndarray, measured: np.ndarray) -> np.ndarray:
+    """Ranks by value; a censored sample comes before a measured one of the same value."""
+    order = np.lexsort((measured, z))
+    changes = (np.diff(z[order]) != 0) | (np.diff(measured[order].astype(int)) != 0)
+    rank = np.empty(len(z), dtype=np.int64)
+    rank[order] = np.cumsum(np.r_[True, changes])
+    return rank
+
+
+def _turned(before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places whose order by ``before`` turns round by ``after``, found by halving the places again and again."""
+    place = np.lexsort((after, before))
+    rank, n = after[place], len(place)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for bit in range(max(n - 1, 0).bit_length()):
+        at = np.arange(n)
+        order = np.lexsort((rank, at >> (bit + 1)))
+        group, late, r = at[order] >> (bit + 1), ((at[order] >> bit) & 1).astype(bool), rank[order]
+        high, low = order[~late], order[late]
+        # Earlier places of the same group with a larger rank end where the next group starts.
+        span = int(rank.max()) + 1
+        first = np.searchsorted(group[~late] * span + r[~late], group[late] * span + r[late], side="right")
+        stop = np.searchsorted(group[~late], group[late], side="right")
+        count = np.maximum(stop - first, 0)
+        steps = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        left.append(place[high[np.repeat(first, count) + steps]])
+        right.append(place[np.repeat(low, count)])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _pair_slopes(i: np.ndarray, j: np.ndarray, t: np.ndarray, y: np.ndarray,
+                 measured: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Slopes of the pairs that count, sorted; what the score loses as each is removed; the score with all in place."""
+    used = (t[i] != t[j]) & (measured[i] | measured[j])
+    i, j = i[used], j[used]
     i, j = np.where(t[i] < t[j], i, j), np.where(t[i] < t[j], j, i)
-    slope = (y[j] - y[i]) / (t[j] - t[i])
-    both = measured[i] & measured[j]
-    later, earlier = measured[j] & ~measured[i], measured[i] & ~measured[j]
-    s = np.sign(slope[both]).sum() + (slope[later] >= 0).sum() - (slope[earlier] <= 0).sum()
-    weight = 2 * both + (later | earlier)
-    used = weight > 0
-    order = np.argsort(slope[used], kind="stable")
-    slopes, drop = slope[used][order], np.cumsum(weight[used][order])
-    start = both.sum() + later.sum()
+    slopes, both = (y[j] - y[i]) / (t[j] - t[i]), measured[i] & measured[j]
+    s = np.sign(slopes[both]).sum() + (slopes[~both & measured[j]] >= 0).sum() - (slopes[~both & measured[i]] <= 0).sum()
+    order = np.argsort(slopes, kind="stable")
+    return slopes[order], 1 + both[order].astype(np.int64), int(s)
+
+
+def _score_pairs(t: np.ndarray, y: np.ndarray, measured: np.ndarray, listed: int = LISTED_PAIRS) -> tuple[int, float | None]:
+    """Score and slope of a series that fits into a task.
+
+    The score falls as a larger slope is removed. The pair slope at which it stops being positive and the one at
+    which it becomes negative are bracketed by counting until a bracket holds at most ``listed`` pairs (or only
+    equal slopes, up to rounding); these pairs alone are listed. The slope is the mean of the two.
+    """
+    if len(t) * (len(t) - 1) // 2 <= listed:
+        i, j = np.triu_indices(len(t), 1)
+        slopes, drop, s = _pair_slopes(i, j, t, y, measured)
+        later = measured[np.where(t[i] < t[j], j, i)] & (t[i] != t[j])
+        left = int(later.sum()) - np.cumsum(drop)
+        places = [np.searchsorted(-left, 0, side) for side in (("left", "right") if later.any() else ("right",))]
+        ends = [slopes[k] for k in places if k < len(slopes)]
+        return s, (float(np.mean(ends)) if ends else None)
+    weight, t0, ranks, scores = np.ones(len(t), np.int64), t - t.min(), {}, {}
+
+    def score(beta: float) -> int:
+        if beta not in scores:
+            ranks[beta] = _ranked(y - beta * t0, measured)
+            scores[beta] = pair_score(t, ranks[beta], measured, weight)
+        return scores[beta]
+
+    # Bounds that no pair slope reaches, and odd numbers so that no half way point is a slope that is likely.
+    reach = float(np.ptp(y)) + 1.0
+    bounds = -1.0377 * reach, 1.1931 * reach
+    finest = 16 * np.finfo(float).eps * max(float(np.abs(y).max()), 1e-290)
     ends = []
-    if start > 0:
-        ends.append(slopes[np.searchsorted(drop, start)])
-    if len(drop) and drop[-1] > start:
-        ends.append(slopes[np.searchsorted(drop, start, side="right")])
-    return int(s), (float(np.mean(ends)) if ends else None)
+    for above in (lambda s: s > 0, lambda s: s >= 0):
+        low, high = bounds
+        if not above(score(low)) or above(score(high)):
+            continue  # no pair's slope is this end
+        for b in sorted(scores):
+            low, high = (b, high) if low < b < high and above(scores[b]) else (low, high)
+        high = min(b for b in scores if b > low)
+        while score(low) - score(high) > listed and high - low > finest:
+            middle = low + (high - low) * 0.5
+            low, high = (middle, high) if above(score(middle)) else (low, middle)
+        equal = score(low) - score(high) > listed
+        # Slopes that are all equal, up to rounding: the pairs of some of the samples show which.
+        some = np.linspace(0, len(t) - 1, 2_000).astype(np.int64) if equal else np.arange(len(t))
+        some = np.unique(some)
+        i, j = (some[k] for k in _turned(ranks[low][some], ranks[high][some]))
+        slopes, drop, _ = _pair_slopes(i, j, t, y, measured)
+        left = score(low) - np.cumsum(drop)
+        if not len(slopes):
+            ends.append(low + (high - low) * 0.5)
+        else:
+            ends.append(float(slopes[len(slopes) // 2 if equal else np.argmin(above(left))]))
+    return pair_score(t, _ranked(y, measured), measured, weight), (float(np.mean(ends)) if ends else None)
 
 
 def _ties(values: np.ndarray) -> tuple[float, float, float]:
@@ -182,11 +254,7 @@ def _block_scores(rows: DataFrame, keys: Sequence[str], block_rows: int) -> Data
 
     def within(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         z, u = pdf["z"].to_numpy(), pdf["u"].to_numpy(dtype=bool)
-        order = np.lexsort((u, z))
-        changes = (np.diff(z[order]) != 0) | (np.diff(u[order].astype(int)) != 0)
-        rank = np.empty(len(pdf), dtype=np.int64)
-        rank[order] = np.cumsum(np.r_[True, changes])
-        s = pair_score(pdf["t"].to_numpy(), rank, u, pdf["w"].to_numpy())
+        s = pair_score(pdf["t"].to_numpy(), _ranked(z, u), u, pdf["w"].to_numpy())
         return pd.DataFrame([(*key[:-1], s)], columns=[*keys, "s"])
 
     def between(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

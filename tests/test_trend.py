@@ -9,7 +9,7 @@ import math
 import numpy as np
 import pytest
 
-from limnograph.operators.trend import pair_score, trend_nonpar
+from limnograph.operators.trend import _score_pairs, pair_score, trend_nonpar
 
 
 def by_pairs(rows):
@@ -102,3 +102,27 @@ def test_pair_score_kernel(seed):
             if measured[i] and rank[j] < rank[i]:
                 direct += int(np.sign(t[i] - t[j])) * int(weight[i] * weight[j])
     assert pair_score(t, rank, measured, weight) == direct
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_counted_brackets_match_all_pairs(seed):
+    """With few listed pairs the slope is bracketed by counting; it is the same pair slope."""
+    rng = np.random.default_rng(seed)
+    rows = make(seed, int(rng.integers(1, 60)), censored=[0, 0.3, 0.8, 1.0][seed % 4],
+                days=int(rng.choice([1, 5, 40, 4000])), digits=int(rng.choice([0, 1, 6])))
+    t, y, u = (np.array(x) for x in zip(*rows))
+    s, slope = by_pairs(rows)
+    for listed in (5, 1_000_000):
+        got = _score_pairs(t.astype(float), y, u, listed)
+        assert got[0] == s
+        assert got[1] == (slope if slope is None else pytest.approx(slope, rel=1e-12, abs=1e-14))
+
+
+@pytest.mark.parametrize("n", [1_400, 1_600, 3_000])
+@pytest.mark.parametrize("digits", [1, 8])
+def test_slope_is_exact_at_every_length(n, digits):
+    t, y, u = (np.array(x) for x in zip(*make(n, n, digits=digits)))
+    i, j = np.triu_indices(n, 1)
+    i, j = i[t[i] != t[j]], j[t[i] != t[j]]
+    slopes = (y[j] - y[i]) / (t[j] - t[i])
+    assert _score_pairs(t.astype(float), y, u) == (int(np.sign(slopes).sum()), pytest.approx(np.median(slopes), rel=1e-14))
