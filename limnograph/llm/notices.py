@@ -2,12 +2,15 @@
 
 A notice that may have k errors is cut into k + 1 pieces; in any text within k errors of it, one piece
 stands unchanged. One automaton finds all pieces of all notices, and the regex library's bounded-error
-matching verifies the surroundings of each and gives the span and the number of errors.
+matching verifies the surroundings of each and gives the span and the number of errors. Of matches of a notice that
+overlap, the one with the fewest errors counts, then the first.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+from bisect import bisect_left
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -18,9 +21,6 @@ from pyspark.sql import DataFrame
 
 from limnograph.llm.common import map_rows, plain_words
 
-#: Characters of the text that one fuzzy match looks at; longer stretches of candidates are cut with an overlap.
-_STRETCH = 2_000
-
 
 @dataclass(frozen=True)
 class Notice:
@@ -92,19 +92,43 @@ class Searcher:
                     continue
                 low = max(0, start - at - notice.errors)
                 high = min(size, start - at + len(notice.phrase) + notice.errors)
-                spans = near.setdefault(i, [])
-                if spans and low <= spans[-1][1]:
-                    spans[-1] = (min(spans[-1][0], low), max(spans[-1][1], high))
-                else:
-                    spans.append((low, high))
-        for i, spans in near.items():
-            overlap = len(self.notices[i].phrase) + 2 * self.notices[i].errors
-            for low, high in spans:
-                for a in range(low, max(low + 1, high - overlap), _STRETCH):
-                    for m in self._patterns[i].finditer(plain, a, min(high, a + _STRETCH + overlap)):
-                        found.add((*m.span(), sum(m.fuzzy_counts), i))
+                near.setdefault(i, set()).add((low, high))
+        for i, windows in near.items():
+            found.update((start, stop, errors, i) for start, stop, errors in self._apart(i, plain, windows))
         return sorted(found)
 
+    def _apart(self, i: int, plain: str, windows: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(start, stop, errors) of matches of notice ``i`` that do not overlap, the best first.
+
+        Every match lies within a window. The best match of all windows is taken, and what windows have left before
+        and behind it is searched again.
+        """
+        least = max(1, len(self.notices[i].phrase) - self.notices[i].errors)
+        todo: list[tuple[int, int, int, int, int]] = []
+        seen: set[tuple[int, int]] = set()
+        taken: list[tuple[int, int, int]] = []  # sorted and apart
+
+        def look(low: int, high: int) -> None:
+            if high - low >= least and (low, high) not in seen:
+                seen.add((low, high))
+                if m := self._patterns[i].search(plain, low, high):
+                    heapq.heappush(todo, (sum(m.fuzzy_counts), *m.span(), low, high))
+
+        for window in windows:
+            look(*window)
+        while todo:
+            errors, start, stop, low, high = heapq.heappop(todo)
+            # The first match taken that ends behind the start of the window.
+            at = bisect_left(taken, low, key=lambda t: t[1] - 1)
+            if at < len(taken) and taken[at][0] < high:
+                look(low, taken[at][0])
+                look(taken[at][1], high)
+                continue
+            taken.insert(at, (start, stop, errors))
+            look(low, start)
+            look(stop, high)
+        return taken
+
 
 @lru_cache(maxsize=4)
 def searcher(notices: tuple[Notice, ...]) -> Searcher:

@@ -145,6 +145,48 @@ def test_fuzzy_notices_equal_brute_force():
         assert found == {n.label for n in some if _distance_within(n.phrase, text, n.errors)}
 
 
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("text", ["all right reserved all rights reserved", "all rights reserved all right reserved",
+                                  "all rght reserved all right reserved all rights reserved all ights reserved"])
+def test_notices_with_more_errors_beside_better_ones(text):
+    notice = notices.Notice("x", "all rights reserved", 2)
+    assert len(notices.Searcher((notice,)).search(text)) == text.count("reserved")
+
+
+def test_repeated_notices_equal_brute_force():
+    rng = random.Random(9)
+    some = (notices.Notice("x", "licensed under cc by nc 4 0", 2), notices.Notice("y", "all rights reserved", 1))
+    for _ in range(60):
+        notice = rng.choice(some)
+        copies = []
+        for _ in range(rng.randint(2, 6)):
+            own = notice.phrase
+            for _ in range(rng.randint(0, notice.errors)):
+                i = rng.randrange(1, len(own) - 1)
+                own = own[:i] + rng.choice(["", "q", "z"]) + own[i + rng.randint(0, 1):]
+            copies.append(own if "  " not in own else notice.phrase)
+        text = " ".join(" ".join(rng.choice(["", "all", "cc by"]) + " " + c for c in copies).split())
+        found = notices.Searcher((notice,)).search(text)
+        assert all(e == _distance(notice.phrase, text[a:b]) for a, b, e, _ in found)
+        assert all(x[1] <= y[0] for x, y in zip(found, found[1:], strict=False))
+        ends = [0, *[x for a, b, *_ in found for x in (a, b)], len(text)]
+        for a, b in zip(ends[::2], ends[1::2], strict=True):
+            assert not _distance_within(notice.phrase, text[a:b], notice.errors)
+        at = 0
+        for own in copies:  # each copy is met by a match with no more errors than it has itself
+            at = text.index(own, at)
+            assert any(a < at + len(own) and at < b and e <= _distance(notice.phrase, own) for a, b, e, _ in found)
+            at += len(own)
+
+
 def test_notices_spans_and_awkward_rows(spark):
     out = {(r.doc_id, r.text): r for r in notices.find_notices(documents(spark)).collect()}
     first = next(r for r in out.values() if r.doc_id == 1)
