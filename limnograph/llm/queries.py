@@ -89,7 +89,10 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return pieces.encode(docs, keep=["doc_id"]).select("doc_id", "n_tokens", "ids")
+    back = pieces.decode(pieces.encode(docs), keep=["doc_id", "text", "n_tokens", "ids"])
+    return back.select(
+        "doc_id", "n_tokens", "ids", F.length("decoded").cast("long").alias("n_decoded"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("same"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -10,6 +10,7 @@ import pytest
 import sentencepiece
 
 from limnograph.llm import decontaminate, notices, pieces
+from limnograph.llm.queries import QUERIES
 from tests.llm.cases import CLASHING, LONG, TEXTS, documents
 
 
@@ -199,3 +200,12 @@ def test_notices_spans_and_awkward_rows(spark):
     row = near.collect()[0]
     assert [m.first_word for m in row.notices if m.phrase == "mit license" and m.exact] == [1, 3]
     assert any(m.errors == 2 and m.label == "mit" for m in row.notices)
+
+
+def test_pieces_query_decodes_every_document(spark):
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    out = QUERIES["op10_pieces"](spark, folder).collect()
+    assert len(out) == len(texts) and all(r.same for r in out)
+    assert all(r.n_decoded == len(texts[r.doc_id]) for r in out)
+    assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in out)
