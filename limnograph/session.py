@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +33,16 @@ def build_session(app_name: str = "limnograph", **conf: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``, else a folder in the warehouse.
 
+    A warehouse on a local disk serves only where all tasks run on this machine; on a cluster it is refused.
     What is written there stays until its owner removes it; each call of ``scratch_path`` names a new place.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        one_disk = "://" not in warehouse or warehouse.startswith("file:")
+        if one_disk and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"{warehouse}/_scratch"
     return folder.rstrip("/")
 
 
@@ -43,6 +51,21 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` as written to a new place in the shared folder, and that place."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove scratch paths that nothing reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and go on from the written rows."""
     spark = df.sparkSession
