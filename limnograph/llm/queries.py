@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from limnograph.llm import (
     decontaminate,
+    embedding_forest,
+    filter_audit,
     imatch,
     notices,
     pieces,
@@ -15,6 +17,7 @@ from limnograph.llm import (
     toxicity,
     training_order,
     url_rules,
+    vector_codes,
     warc_index,
 )
 from limnograph.llm.common import table
@@ -95,7 +98,21 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("same"))
 
 
+def op11_embedding_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_forest.near_embeddings(table(spark, folder, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.code_report(table(spark, folder, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    counts = filter_audit.failures(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return filter_audit.audit(counts)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc_index, op2_training_order, op3_imatch, op4_simhash_trie, op5_short_notices, op6_secret_forest,
-    op7_toxicity_pu, op8_url_rules, op9_decontaminate, op10_pieces)}
+    op7_toxicity_pu, op8_url_rules, op9_decontaminate, op10_pieces, op11_embedding_forest,
+    op12_vector_codes, op13_filter_audit)}
 ORACLES = SQL
