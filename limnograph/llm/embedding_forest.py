@@ -26,7 +26,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from limnograph.llm.common import col, partitions, slices
 from limnograph.llm.simhash import components
-from limnograph.session import checkpointed
+from limnograph.session import checkpointed, written
 
 LEAST = 0.93
 #: Leaves hold about LEAF vectors; those with over CHUNK are compared chunk by chunk.
@@ -266,6 +266,7 @@ def near_embeddings(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     leaves = placed.select("label", "size", F.explode("leaves").alias("leaf"))
     large = leaves.groupBy("label", "size", "leaf").agg(F.count("*").alias("members")).where(F.col("members") > chunk) \
         .select("label", "size", "leaf", F.ceil(2 * F.col("members") / F.lit(chunk)).cast("int").alias("chunks"))
+    large, _ = written(large, "forest-large")  # as a table its size is known, and few rows or none are not worth a shuffle of the vectors
     met = placed.withColumn("leaf", F.explode("leaves")).join(large, ["label", "size", "leaf"], "left") \
         .withColumn("chunks", F.coalesce("chunks", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")) \
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
