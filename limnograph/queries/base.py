@@ -1,8 +1,8 @@
 """Registration of named queries with their reference SQL.
 
 A query lists its output columns once; both sides are cast from that list. A column is
-``name`` (text), ``name:i`` (bigint), ``name:d`` (double, six digits), ``name:t`` (date as text) or
-``name:b`` (boolean).
+``name`` (text), ``name:i`` (bigint), ``name:d`` (double, six digits), ``name:f`` (the same for results of
+long sums: a nudge of 1e-9 rounds halves the same way on both sides), ``name:t`` (date as text) or ``name:b`` (boolean).
 """
 
 from __future__ import annotations
@@ -53,15 +53,17 @@ def query(name: str, columns: str, sql: str | None = None) -> Callable[[Build],
 
 def _spark_column(name: str, kind: str) -> str:
     c = f"`{name}`"
-    if kind == "d":
-        return f"round(CAST({c} AS DOUBLE), 6) + 0D AS {c}"
+    if kind in "df":
+        value = f"CAST({c} AS DOUBLE)"
+        return f"round({value if kind == 'd' else f'{value} + 1e-9'}, 6) + 0D AS {c}"
     kind = {"i": "BIGINT", "b": "BOOLEAN"}.get(kind, "STRING")
     return f"CAST({c} AS {kind}) AS {c}"
 
 
 def _sql_column(name: str, kind: str) -> str:
     c = f'"{name}"'
-    if kind == "d":
-        return f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}"
+    if kind in "df":
+        value = f"CAST({c} AS DOUBLE)"
+        return f"round({value if kind == 'd' else f'{value} + 1e-9'}, 6) + 0.0 AS {c}"
     kind = {"i": "BIGINT", "b": "BOOLEAN"}.get(kind, "VARCHAR")
     return f"CAST({c} AS {kind}) AS {c}"

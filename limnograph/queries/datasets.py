@@ -23,6 +23,7 @@ from limnograph.queries.sql import (
     WATERBANDS_COLUMNS,
     bands as bands_sql,
     comparison,
+    smooth,
 )
 from limnograph.session import scratch_path
 from limnograph.sources import tables
@@ -155,8 +156,20 @@ def ds_water_plot(v):
 
 @query(
     "ds_water_plot_smooth",
-    "Park Site Characteristic mon_num:d month Date:t ValueCen:d median_val:d smooth_median:d x_axis_pad:d "
+    "Park Site Characteristic mon_num:d month Date:t ValueCen:d median_val:d smooth_median:f x_axis_pad:d "
     "LowerPoint:d UpperPoint:d outlier",
+    f"""SELECT j.*, Lower.point AS LowerPoint, Upper.point AS UpperPoint,
+          CASE WHEN ValueCen > Upper.point THEN 'TRUE' WHEN ValueCen < Lower.point THEN 'TRUE' ELSE 'FALSE' END AS outlier
+        FROM (SELECT *, {PARK_CODE} AS code FROM (
+          SELECT * FROM (SELECT Park, Site, Characteristic, month_num::DOUBLE AS mon_num, strftime(Date, '%B') AS month, Date, SampleDepth, ValueCen FROM now)
+          FULL OUTER JOIN (
+            SELECT Park, Site, Characteristic, mon_num, strftime(make_date(2000, month_num, 1), '%B') AS month, median_val, smooth_median,
+              CASE g.mon_num WHEN 5 THEN 4.9 WHEN 10 THEN 10.1 ELSE g.mon_num END AS x_axis_pad
+            FROM {smooth(bands_sql(where="TRUE"), 0.6)} AS g
+            FULL OUTER JOIN (SELECT Park, Site, Characteristic, month_num::DOUBLE AS mon_num, month_num, median_val
+              FROM {bands_sql(where="TRUE")} AS b) AS b USING (Park, Site, Characteristic, mon_num)) AS s
+            USING (Park, Site, Characteristic, mon_num, month))) AS j
+        {_rule('Lower')} {_rule('Upper')}""",
 )
 def ds_water_plot_smooth(v):
     return drafts.bands_with_rules(v.meas, tables.rule_thresholds(v.spark), year_from=YEAR_FROM,

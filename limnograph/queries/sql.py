@@ -120,6 +120,65 @@ def bands(source: str = "hist", where: str = SEASON, keep: str = "num_samps >= 4
   WHERE {keep})"""
 
 
+SMOOTHED = {"median_val": "smooth_median", "lower_100": "smooth_l100", "upper_100": "smooth_u100", "lower_95": "smooth_l95",
+            "upper_95": "smooth_u95", "lower_50": "smooth_l50", "upper_50": "smooth_u50"}
+_S = "Park, Site, Characteristic"
+_GRID = "SELECT unnest(range(10, 21)) / 2.0::DOUBLE AS spot"
+
+
+def _kernels(points: str, spots: str, span: float) -> str:
+    """WITH parts: ``kern`` has the weight of every point's value in the fit (l) and in its slope (k) at every spot."""
+    gram = "(1 + {0} * {1} + {0} * {0} * {1} * {1})".format
+    return f"""pt AS (SELECT {_S}, month_num::DOUBLE AS x, count(*) OVER (PARTITION BY {_S}) AS n, * EXCLUDE (Park, Site, Characteristic, month_num)
+      FROM {points} AS q),
+    gap AS (SELECT pt.*, spot, x - spot AS u, row_number() OVER (PARTITION BY {_S}, spot ORDER BY abs(x - spot)) AS near FROM pt JOIN {spots} USING ({_S})),
+    reach AS (SELECT *, max(CASE WHEN near <= greatest(1, least(n, floor(n * {span} + 1e-5))) THEN abs(u) END) OVER (PARTITION BY {_S}, spot) AS h FROM gap),
+    weighted AS (SELECT *, CASE WHEN h > 0 THEN greatest(1 - (abs(u) / h) ** 3, 0) ** 3 WHEN u = 0 THEN 1 ELSE 0 END AS w FROM reach),
+    moments AS (SELECT *, {", ".join(f"sum(w * u ** {k}) OVER s AS s{k}" for k in range(5))}, sum((w > 0)::INT) OVER s AS m,
+      min(u) FILTER (WHERE w > 0) OVER s AS lo, max(u) FILTER (WHERE w > 0) OVER s AS hi FROM weighted WINDOW s AS (PARTITION BY {_S}, spot)),
+    solved AS (SELECT *, s2 * s4 - s3 * s3 AS c0, s2 * s3 - s1 * s4 AS c1, s1 * s3 - s2 * s2 AS c2, s0 * s4 - s2 * s2 AS e1,
+      s1 * s2 - s0 * s3 AS e2, lo + hi - u AS o FROM moments),
+    pairs AS (SELECT *, s0 * c0 + s1 * c1 + s2 * c2 AS det, {gram('u', 'u')} AS gu, {gram('o', 'o')} AS go, {gram('u', 'o')} AS guo FROM solved),
+    kern AS (SELECT *, CASE WHEN m = 0 THEN NULL WHEN w = 0 THEN 0 WHEN m = 1 THEN 1 / gu WHEN m = 2 THEN (go - guo) / (gu * go - guo * guo)
+        ELSE w * (c0 + c1 * u + c2 * u * u) / det END AS l,
+      CASE WHEN m = 0 THEN NULL WHEN w = 0 THEN 0 WHEN m = 1 THEN u / gu WHEN m = 2 THEN (go * u - guo * o) / (gu * go - guo * guo)
+        ELSE w * (c1 + e1 * u + e2 * u * u) / det END AS k FROM pairs)"""
+
+
+def smooth(points: str, span: float, columns: dict[str, str] | None = None) -> str:
+    """Local quadratics of the monthly ``points`` on the half-month grid, as a subquery."""
+    columns = columns or SMOOTHED
+    spots = f"(SELECT {_S}, spot FROM (SELECT DISTINCT {_S} FROM pt) CROSS JOIN ({_GRID}))"
+    fits = ", ".join(f"CASE WHEN spot BETWEEN min(x) AND max(x) THEN sum(l * {c}) END AS {name}" for c, name in columns.items())
+    return f"(WITH {_kernels(points, spots, span)} SELECT {_S}, spot AS mon_num, {fits} FROM kern GROUP BY {_S}, spot)"
+
+
+def smooth_surface(points: str, span: float, margin: float, columns: dict[str, str] | None = None) -> str:
+    """The same, fitted at the vertices of halved cells and blended by cubics between them."""
+    columns = columns or SMOOTHED
+    spread = f"{margin} * greatest(max(x) - min(x), greatest(abs(min(x)), abs(max(x))) * 1e-3 + 1e-30)"
+    spots = f"""(WITH RECURSIVE o AS (SELECT {_S}, x, row_number() OVER (PARTITION BY {_S} ORDER BY x) AS i FROM pt),
+      e AS (SELECT {_S}, count(*) AS n, min(x) - {spread} AS lo, max(x) + {spread} AS hi FROM pt GROUP BY {_S}),
+      cell AS (SELECT {_S}, n, 1::BIGINT AS a, n::BIGINT AS b FROM e UNION ALL
+        SELECT {_S}, n, CASE WHEN side = 0 THEN a ELSE (a + b) // 2 + 1 END, CASE WHEN side = 0 THEN (a + b) // 2 ELSE b END
+        FROM cell CROSS JOIN (VALUES (0), (1)) AS t(side) WHERE b - a + 1 > greatest(1, floor(n * {span} * 0.2 + 1e-9)))
+      SELECT {_S}, lo AS spot FROM e UNION ALL SELECT {_S}, hi FROM e UNION ALL
+      SELECT {_S}, (p.x + q.x) / 2 FROM (SELECT DISTINCT {_S}, b FROM cell WHERE b < n) JOIN o AS p USING ({_S}) JOIN o AS q USING ({_S})
+        WHERE p.i = b AND q.i = b + 1)"""
+    fits = ", ".join(f"sum(l * {c}) AS f_{c}, sum(k * {c}) AS g_{c}" for c in columns)
+    cubic = ", ".join(
+        f"""CASE WHEN z BETWEEN first_x AND last_x THEN (1 - p) ** 2 * (1 + 2 * p) * f_{c} + p ** 2 * (3 - 2 * p) * next_f_{c}
+        + h * (p * (1 - p) ** 2 * g_{c} - p ** 2 * (1 - p) * next_g_{c}) END AS {name}""" for c, name in columns.items())
+    following = ", ".join(f"lead({x}_{c}) OVER v AS next_{x}_{c}" for c in columns for x in "fg")
+    return f"""(WITH {_kernels(points, spots, span)},
+      fit AS (SELECT {_S}, spot, min(x) AS first_x, max(x) AS last_x, {fits} FROM kern GROUP BY {_S}, spot),
+      cells AS (SELECT *, lead(spot) OVER v AS till, row_number() OVER v AS place, {following} FROM fit WINDOW v AS (PARTITION BY {_S} ORDER BY spot)),
+      grid AS (SELECT spot AS z FROM ({_GRID})),
+      put AS (SELECT *, till - spot AS h, (z - spot) / (till - spot) AS p, row_number() OVER (PARTITION BY {_S}, z ORDER BY CASE WHEN spot <= z THEN -place ELSE 1000 + place END) AS pick
+        FROM cells CROSS JOIN grid WHERE till IS NOT NULL)
+      SELECT {_S}, z AS mon_num, {cubic} FROM put WHERE pick = 1)"""
+
+
 def if_else(condition: str, yes: str, no: str) -> str:
     return f"CASE WHEN ({condition}) IS NULL THEN NULL WHEN {condition} THEN {yes} ELSE {no} END"
 

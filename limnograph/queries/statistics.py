@@ -5,19 +5,29 @@ from __future__ import annotations
 from limnograph.operators import anomaly, bands, loess, trend
 from limnograph.queries.base import query
 from limnograph.queries.joins import history
+from limnograph.queries.sql import bands as season_sql, smooth, smooth_surface
 
 
-@query("loess_bands", "Park Site Characteristic mon_num:d " + " ".join(f"{c}:d" for c in loess.SMOOTHED.values()))
+_SMOOTH = "Park Site Characteristic mon_num:d " + " ".join(f"{c}:f" for c in loess.SMOOTHED.values())
+
+
+@query("loess_bands", _SMOOTH, f"SELECT * FROM {smooth(season_sql(), 1.0)} AS b")
 def loess_bands(v):
     return loess.loess_bands(bands.percentile_bands(history(v)), span=1.0)
 
 
-@query("loess_bands_span06", "Park Site Characteristic mon_num:d " + " ".join(f"{c}:d" for c in loess.SMOOTHED.values()))
+@query("loess_bands_span06", _SMOOTH, f"SELECT * FROM {smooth(season_sql(), 0.6)} AS b")
 def loess_bands_span06(v):
     return loess.loess_bands(bands.percentile_bands(history(v)), span=0.6)
 
 
-@query("loess_median", "Park Site Characteristic mon_num:d smooth_median:d")
+@query("loess_bands_surface", _SMOOTH, f"SELECT * FROM {smooth_surface(season_sql(), 1.0, loess.MARGIN)} AS b")
+def loess_bands_surface(v):
+    return loess.loess_bands(bands.percentile_bands(history(v)), span=1.0, surface="interpolate")
+
+
+@query("loess_median", "Park Site Characteristic mon_num:d smooth_median:f",
+       f"SELECT * FROM {smooth(season_sql(), 0.8, {'median_val': 'smooth_median'})} AS b")
 def loess_median(v):
     return loess.loess_bands(bands.percentile_bands(history(v)), columns={"median_val": "smooth_median"}, span=0.8)
 

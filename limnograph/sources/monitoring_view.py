@@ -7,10 +7,11 @@ the sample date and its region the park.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Fixed values of the mapping: characteristic, display name, unit, lower and upper point per line
 # number.
@@ -53,6 +54,12 @@ _CHAR_OF_LINE = "CASE l_linenumber {} ELSE '{}' END".format(
 _CATEGORY_OF_LINE = f"IF(l_linenumber <= {PHYSICAL_LINES}, 'physical', 'nutrients')"
 
 
+@lru_cache(maxsize=256)
+def _schema(spark: SparkSession, path: str) -> StructType:
+    """The schema of a table; reading its footer is a job of its own, so a session does it once per path."""
+    return spark.read.parquet(path).schema
+
+
 @dataclass(frozen=True)
 class MonitoringView:
     """Measurements and dimensions of one data folder."""
@@ -66,7 +73,8 @@ class MonitoringView:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            path = f"{self.folder}/{name}.parquet"
+            self._tables[name] = self.spark.read.schema(_schema(self.spark, path)).parquet(path)
         return self._tables[name]
 
     def _with_place(self, suppliers: DataFrame) -> DataFrame:

@@ -13,21 +13,61 @@ from limnograph.operators import aggregates, anomaly, loess, ranking, reshape
 from limnograph.operators.bands import percentile_bands
 
 
-def test_smoother_reproduces_a_parabola():
-    x = (5.0, 6.0, 7.0, 8.0, 9.0, 10.0)
-    matrix = loess.smoother_matrix(x, 1.0, tuple(loess.GRID))
-    y = np.array([2 + 3 * v - 0.5 * v * v for v in x])
-    assert matrix @ y == pytest.approx([2 + 3 * g - 0.5 * g * g for g in loess.GRID])
-
-
-def test_smoother_does_not_extrapolate():
-    matrix = loess.smoother_matrix((6.0, 7.0, 8.0), 1.0, tuple(loess.GRID))
-    assert np.isnan(matrix[:2]).all() and np.isnan(matrix[-1]).all() and not np.isnan(matrix[2:7]).any()
-
-
-def test_narrow_span_passes_through_the_points():
-    matrix = loess.smoother_matrix((5.0, 6.0, 7.0, 8.0, 9.0, 10.0), 0.6, tuple(loess.GRID))
-    assert matrix[2] @ np.array([1.0, 4.0, 9.0, 3.0, 5.0, 2.0]) == pytest.approx(4.0)
+def _direct_fit(x, y, at, span):
+    """Weighted least squares by a pseudo-inverse: value and slope at ``at``; None where no point has weight."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    near = max(1, min(len(x), int(np.floor(len(x) * span + 1e-5))))
+    gap = np.abs(x - at)
+    reach = np.sort(gap)[near - 1]
+    weight = np.clip(1 - (gap / reach) ** 3, 0, None) ** 3 if reach > 0 else (gap == 0).astype(float)
+    if not weight.any():
+        return None, None
+    root = np.sqrt(weight)
+    return tuple((np.linalg.pinv(np.vander(x - at, 3, increasing=True) * root[:, None]) @ (root * y))[:2])
+
+
+def _blended_fit(x, y, at, span, margin):
+    cells, most = [(0, len(x) - 1)], max(1, math.floor(len(x) * span * 0.2 + 1e-9))
+    while any(b - a + 1 > most for a, b in cells):
+        cells = [half for a, b in cells for half in ([(a, (a + b + 2) // 2 - 1), ((a + b + 2) // 2, b)] if b - a + 1 > most else [(a, b)])]
+    off = margin * max(x[-1] - x[0], max(abs(x[0]), abs(x[-1])) * 1e-3 + 1e-30)
+    spots = [x[0] - off, *[(x[b] + x[b + 1]) / 2 for _, b in cells[:-1]], x[-1] + off]
+    for low, high in zip(spots, spots[1:]):
+        if low <= at <= high:
+            (f, df), (g, dg) = _direct_fit(x, y, low, span), _direct_fit(x, y, high, span)
+            if f is None or g is None:
+                return None
+            p, h = (at - low) / (high - low), high - low
+            return (1 - p) ** 2 * (1 + 2 * p) * f + p * p * (3 - 2 * p) * g + h * (p * (1 - p) ** 2 * df - p * p * (1 - p) * dg)
+
+
+@pytest.mark.parametrize("surface", ["direct", "interpolate"])
+@pytest.mark.parametrize("span", [1.0, 0.8, 0.6, 0.4])
+def test_loess_equals_weighted_least_squares(spark, span, surface):
+    rng = np.random.default_rng(int(span * 10))
+    sets = [[5, 6, 7, 8, 9, 10], [5, 6, 8, 9, 10], [6, 7, 9], [5, 10], [7], [5, 6, 7, 8], list(range(1, 13))]
+    series = {i: (x, rng.normal(10, 4, len(x)).tolist()) for i, x in enumerate(sets)}
+    rows = [(i, "old", int(m), v, v * 2 if m != 9 else None) for i, (x, y) in series.items() for m, v in zip(x, y)] + [(None, "old", 5, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "site int, smooth string, mon_num int, a double, b double")
+    got = loess.loess_bands(df, columns={"a": "smooth", "b": "other"}, span=span, keys=["site"], surface=surface).collect()
+    assert len(got) == 11 * (len(series) + 1)
+    for r in got:
+        x, y = series.get(r.site, ([5], [1.0]))
+        want = None
+        if x[0] <= r.mon_num <= x[-1]:
+            want = _direct_fit(x, y, r.mon_num, span)[0] if surface == "direct" else _blended_fit(x, y, r.mon_num, span, loess.MARGIN)
+        assert (r.smooth is None) == (want is None), r
+        assert want is None or r.smooth == pytest.approx(want, rel=1e-7, abs=1e-7), r
+        assert 9 in x or want is None or r.other == pytest.approx(2 * want, rel=1e-7, abs=1e-7)
+
+
+def test_loess_reproduces_a_parabola_without_python_workers(spark):
+    df = spark.createDataFrame([("a", m, 2 + 3 * m - 0.5 * m * m) for m in range(5, 11)], "site string, mon_num int, v double")
+    smooth = loess.loess_bands(df, columns={"v": "s"}, keys=["site"])
+    assert {r.mon_num: r.s for r in smooth.collect()} == pytest.approx({g: 2 + 3 * g - 0.5 * g * g for g in loess.GRID})
+    assert "Python" not in smooth._jdf.queryExecution().toString() and "InPandas" not in smooth._jdf.queryExecution().toString()
+    with pytest.raises(ValueError):
+        loess.loess_bands(df, columns={"v": "s"}, keys=["site"], surface="flat")
 
 
 def test_loess_bands_rows(samples):
