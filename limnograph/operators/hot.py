@@ -1,18 +1,17 @@
-"""Series too large for one task: finding them, and cutting them into blocks by value."""
+"""Series too large for one task."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnograph.operators.joins import join_on
 from limnograph.session import checkpointed
 
 BROADCAST_GROUPS = 20_000
-_STRIDE = 24
 
 
 @dataclass(frozen=True)
@@ -56,34 +55,3 @@ def hot_groups(df: DataFrame, keys: Sequence[str], rule: HotRule) -> HotGroups:
     big = checkpointed(big)
     few = big.count() <= BROADCAST_GROUPS
     return HotGroups(F.broadcast(big) if few else big, few)
-
-
-def with_blocks(rows: DataFrame, keys: Sequence[str], value: str, every: Column,
-                hashed: Sequence[str]) -> DataFrame:
-    """Add ``_block``: how many of the group's splitters lie at or below the value.
-
-    About one row in ``every`` is a splitter, chosen by a hash of the ``hashed`` columns, so the
-    same ones come out however often a task is run again. Equal values share a block.
-    """
-    marks = (
-        rows.where(F.pmod(F.xxhash64(*hashed), every) == 0)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_set(value)).alias("_marks"))
-        .withColumn(
-            "_coarse",
-            F.transform(
-                F.sequence(F.lit(0), F.floor((F.size("_marks") - 1) / _STRIDE).cast("int")),
-                lambda i: F.element_at("_marks", (i * _STRIDE + 1).cast("int")),
-            ),
-        )
-    )
-    # Two short steps: the part of the splitters to look at, then the place within it.
-    placed = join_on(rows, marks, keys, "left").withColumn(
-        "_start", F.expr(f"greatest(size(filter(_coarse, m -> m <= {value})) - 1, 0) * {_STRIDE}")
-    )
-    near = f"slice(_marks, _start + 1, {_STRIDE})"
-    placed = placed.withColumn(
-        "_block",
-        F.expr(f"IF(_marks IS NULL, 0, _start + size(filter({near}, m -> m <= {value})))"),
-    )
-    return placed.drop("_marks", "_coarse", "_start")

@@ -6,26 +6,30 @@ any measured value at or above the limit; every other pair with it is ambiguous
 slope is the one whose removal brings the score to zero: without censoring, the median of the
 pairwise slopes.
 
-Series of up to ``pair_rows`` samples are scored in Arrow batches, in O(n log n) with a bounded list of pairs. Longer ones are never brought
-together: they are cut into blocks by value, each block is counted by its own task, the blocks are
-compared with each other through their counts per day, and the slope is narrowed down by counting.
+Series of up to ``pair_rows`` samples are scored in Arrow batches, in O(n log n) with a bounded list of pairs. Longer ones
+are never brought together: they are cut into as many blocks of neighbouring values as they need, each block is counted
+by its own task, and halves of ever larger stretches of blocks are compared through their counts per day, of which a
+calendar bounds the number. The slope is narrowed down by counting, and then looked up among the pairs that are left.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from limnograph.functions.tails import normal_p_value
 from limnograph.operators.bands import SERIES
 from limnograph.operators.joins import join_on
-from limnograph.operators.hot import hot_groups, with_blocks
+from limnograph.operators.hot import hot_groups
 from limnograph.session import checkpointed
 
 PAIR_ROWS = 500_000
@@ -33,7 +37,6 @@ LISTED_PAIRS = 1_000_000
 BLOCK_ROWS = 50_000
 # Fixed value: days per year, to turn a slope per day into one per year.
 DAYS_PER_YEAR = 365.25
-_BLOCKS = 256
 _CANDIDATES = 15
 _ROUNDS = 12
 _TIES = ["n", "n_days", "v2", "v3", "v5", "d2", "d3", "d5"]
@@ -72,6 +75,13 @@ def _turned(before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(left), np.concatenate(right)
 
 
+def _side_by_side(before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of neighbours by ``before`` whose order turns round by ``after``; there are some if any pair does so."""
+    place = np.lexsort((after, before))
+    turned = np.flatnonzero(after[place][1:] < after[place][:-1])
+    return place[turned], place[turned + 1]
+
+
 def _pair_slopes(i: np.ndarray, j: np.ndarray, t: np.ndarray, y: np.ndarray,
                  measured: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Slopes of the pairs that count, sorted; what the score loses as each is removed; the score with all in place."""
@@ -123,10 +133,8 @@ def _score_pairs(t: np.ndarray, y: np.ndarray, measured: np.ndarray, listed: int
             middle = low + (high - low) * 0.5
             low, high = (middle, high) if above(score(middle)) else (low, middle)
         equal = score(low) - score(high) > listed
-        # Slopes that are all equal, up to rounding: the pairs of some of the samples show which.
-        some = np.linspace(0, len(t) - 1, 2_000).astype(np.int64) if equal else np.arange(len(t))
-        some = np.unique(some)
-        i, j = (some[k] for k in _turned(ranks[low][some], ranks[high][some]))
+        # Where all slopes are equal, up to rounding, the pairs that stand side by side have them all.
+        i, j = (_side_by_side if equal else _turned)(ranks[low], ranks[high])
         slopes, drop, _ = _pair_slopes(i, j, t, y, measured)
         left = score(low) - np.cumsum(drop)
         if not len(slopes):
@@ -246,64 +254,93 @@ def pair_score(t: np.ndarray, rank: np.ndarray, measured: np.ndarray, weight: np
     return total
 
 
-def _block_scores(rows: DataFrame, keys: Sequence[str], block_rows: int) -> DataFrame:
-    """Score of every group of (t, z, u, w) rows, blockwise; ``_m`` is the group's row count."""
-    every = F.greatest(F.lit(block_rows), F.ceil(F.col("_m") / _BLOCKS))
-    rows = with_blocks(rows, keys, "z", every, ["t", "z"])
-    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("s", T.LongType())])
-
-    def within(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        z, u = pdf["z"].to_numpy(), pdf["u"].to_numpy(dtype=bool)
-        s = pair_score(pdf["t"].to_numpy(), _ranked(z, u), u, pdf["w"].to_numpy())
-        return pd.DataFrame([(*key[:-1], s)], columns=[*keys, "s"])
-
-    def between(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        day, block = np.unique(pdf["t"], return_inverse=True)[1], pdf["_block"].to_numpy()
-        w, wu = pdf["w"].to_numpy(), pdf["wu"].to_numpy()
-        below = np.zeros(int(day.max()) + 1, dtype=np.int64)
-        s = 0
-        for b in np.unique(block):
-            at = block == b
-            earlier = np.cumsum(below)
-            s += int((wu[at] * (2 * earlier[day[at]] - below[day[at]] - earlier[-1])).sum())
-            np.add.at(below, day[at], w[at])
-        return pd.DataFrame([(*key, s)], columns=[*keys, "s"])
-
-    inside = rows.groupBy(*keys, "_block").applyInPandas(within, schema)
-    per_day = rows.groupBy(*keys, "_block", "t").agg(
-        F.sum("w").alias("w"), F.sum(F.when(F.col("u"), F.col("w")).otherwise(0)).alias("wu")
-    )
-    across = per_day.groupBy(*keys).applyInPandas(between, schema)
-    return inside.unionByName(across).groupBy(*keys).agg(F.sum("s").alias("s"))
+def _runs(pdf: pd.DataFrame, keys: Sequence[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """The rows of each group, which stand together."""
+    if not len(pdf):
+        return
+    new = np.zeros(len(pdf), bool)
+    new[0] = True
+    for k in keys:
+        at, before = pdf[k].to_numpy()[1:], pdf[k].to_numpy()[:-1]
+        new[1:] |= (at != before) & ~(pd.isna(at) & pd.isna(before))
+    cuts = [*np.flatnonzero(new), len(pdf)]
+    for a, b in zip(cuts, cuts[1:]):
+        part = pdf.iloc[a:b]
+        yield tuple(part[k].iloc[0] for k in keys), part
+
+
+def _in_order(rows: DataFrame, keys: Sequence[str], n_rows: int, block_rows: int) -> tuple[DataFrame, int]:
+    """``rows`` by keys and value in about ``n_rows / block_rows`` partitions, and the number of these."""
+    parts = max(1, math.ceil(n_rows / block_rows))
+    return rows.repartitionByRange(parts, *keys, "z").sortWithinPartitions(*keys, "z", "u"), parts
+
+
+def _block_scores(rows: DataFrame, keys: Sequence[str], n_rows: int, block_rows: int) -> DataFrame:
+    """Score of every group of (t, z, u, w) rows, of which there are ``n_rows`` in all.
+
+    A partition of neighbouring values is a block. It is scored by itself and hands on its counts per day. Any two
+    blocks part ways at one bit of their numbers: for every bit, the blocks that agree on the bits above it are two
+    halves, the lower one with the smaller values, and days are summed and compared between the halves.
+    """
+    ordered, parts = _in_order(rows.select(*keys, "t", "z", "u", "w"), keys, n_rows, block_rows)
+    fields = [rows.schema[k] for k in keys]
+    schema = T.StructType(fields + [T.StructField("_block", T.LongType()), T.StructField("t", T.LongType()),
+                                    T.StructField("w", T.LongType()), T.StructField("wu", T.LongType()), T.StructField("s", T.LongType())])
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = TaskContext.get().partitionId()
+        held = [b for b in batches if len(b)]  # a block
+        for key, part in _runs(pd.concat(held, ignore_index=True), keys) if held else ():
+            t, z, u, w = (part[c].to_numpy() for c in ("t", "z", "u", "w"))
+            u = u.astype(bool)
+            days, day = np.unique(t, return_inverse=True)
+            out = {"_block": [block] * len(days) + [None], "t": [*days, None], "s": [0] * len(days) + [pair_score(t, _ranked(z, u), u, w)],
+                   "w": [*np.bincount(day, w).astype(np.int64), 0], "wu": [*np.bincount(day, w * u).astype(np.int64), 0]}
+            yield pd.DataFrame({**{k: pd.Series([v] * (len(days) + 1), dtype=part[k].dtype) for k, v in zip(keys, key)},
+                                **{c: pd.array(out[c], "Int64") for c in ("_block", "t", "w", "wu", "s")}})
+
+    blocks = ordered.mapInPandas(counted, schema)
+    bits = max(1, (parts - 1).bit_length())
+    level = F.when(F.col("_block").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(bits - 1)))
+    stretches = blocks.withColumn("_level", F.explode(level)).selectExpr(
+        *[f"`{k}`" for k in keys], "_level", "t", "s", "shiftright(_block, _level + 1) AS _stretch",
+        "coalesce(shiftright(_block, _level) % 2 = 1, false) AS _upper", "w", "wu")
+    days = stretches.groupBy(*keys, "_level", "_stretch", "t").agg(
+        F.sum(F.when(~F.col("_upper"), F.col("w")).otherwise(0)).alias("low"),
+        F.sum(F.when(F.col("_upper"), F.col("wu")).otherwise(0)).alias("high"), F.sum("s").alias("s"))
+    group = W.partitionBy(*keys, "_level", "_stretch")
+    until = F.sum("low").over(group.orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow))
+    pairs = F.col("high") * (2 * until - F.col("low") - F.sum("low").over(group))
+    return days.withColumn("_pairs", pairs).groupBy(*keys).agg((F.sum("_pairs") + F.sum("s")).alias("s"))
 
 
 def _long_series(samples: DataFrame, keys: Sequence[str], block_rows: int, few: bool) -> DataFrame:
     """Score and slope of series too long for one task.
 
-    The score falls as a larger slope is removed. Two ends are narrowed down together: where it
-    stops being positive and where it becomes negative; the slope lies half way. ``few`` says
-    that the series are few enough to broadcast one short row for each.
+    The score falls as a larger slope is removed. Two ends are narrowed down together: where it stops being positive
+    and where it becomes negative; the slope lies half way. ``few`` says that the series are few enough to broadcast
+    one short row for each.
     """
     small = F.broadcast if few else (lambda df: df)
     weighted = samples.groupBy(*keys, "t", "y", "u").agg(F.count(F.lit(1)).alias("w"))
-    sizes = weighted.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_m"), F.min("t").alias("_t0"),
-        (F.max("y") - F.min("y") + 1).alias("_reach"),
-    )
+    sizes = weighted.groupBy(*keys).agg(F.min("t").alias("_t0"), (F.max("y") - F.min("y") + 1).alias("_reach"))
     weighted = checkpointed(join_on(weighted, small(sizes), keys))
-    score = _block_scores(weighted.withColumnRenamed("y", "z").drop("_t0", "_reach"), keys, block_rows)
+    n_rows = weighted.count()
+    score = _block_scores(weighted.withColumnRenamed("y", "z").drop("_t0", "_reach"), keys, n_rows, block_rows)
     ends = F.explode(F.array(F.lit("positive"), F.lit("negative")))
     state = weighted.select(*keys, "_reach").distinct().select(
         *keys, ends.alias("_end"), (-F.col("_reach")).alias("_low"), F.col("_reach").alias("_high")
     )
     weighted = weighted.drop("_reach")
     for first in [True] + [False] * (_ROUNDS - 1):
-        state = checkpointed(_narrowed(weighted, small(state), keys, block_rows, first))
-    slope = state.groupBy(*keys).agg(F.avg((F.col("_low") + F.col("_high")) / 2).alias("slope"))
+        state = checkpointed(_narrowed(weighted, small(state), keys, n_rows, block_rows, first))
+    found = _found_slopes(weighted, small(state), keys, n_rows, block_rows)
+    both = join_on(state, found, [*keys, "_end"], "left")
+    slope = both.groupBy(*keys).agg(F.avg(F.coalesce("_slope", (F.col("_low") + F.col("_high")) / 2)).alias("slope"))
     return join_on(score, slope, keys, "left").select(*keys, "s", "slope")
 
 
-def _narrowed(weighted: DataFrame, state: DataFrame, keys: Sequence[str], block_rows: int,
+def _narrowed(weighted: DataFrame, state: DataFrame, keys: Sequence[str], n_rows: int, block_rows: int,
               first: bool) -> DataFrame:
     """Each end between the last slope on its near side and the first on its far side.
 
@@ -313,12 +350,34 @@ def _narrowed(weighted: DataFrame, state: DataFrame, keys: Sequence[str], block_
     step = F.explode(F.sequence(F.lit(0), F.lit(_CANDIDATES + 1)))
     rows = join_on(weighted, state, keys).select("*", step.alias("_i"))
     beta = f"(_low + (_high - _low) * _i / {_CANDIDATES + 1})"
-    rows = rows.selectExpr(*tried, "_m", "t", f"y - {beta} * (t - _t0) AS z", "u", "w")
+    rows = rows.selectExpr(*tried, "t", f"y - {beta} * (t - _t0) AS z", "u", "w")
     near = "IF(_end = 'positive', s > 0, s >= 0)"
     low, high = f"max(IF({near}, {beta}, NULL))", f"min(IF({near}, NULL, {beta}))"
     if not first:
         low, high = f"coalesce({low}, min(_low))", f"coalesce({high}, max(_high))"
-    narrowed = _block_scores(rows, tried, block_rows).groupBy(*keys, "_end").agg(
-        F.expr(f"{low} AS _low"), F.expr(f"{high} AS _high")
-    )
+    scores = _block_scores(rows, tried, 2 * (_CANDIDATES + 2) * n_rows, block_rows)
+    narrowed = scores.groupBy(*keys, "_end").agg(F.expr(f"{low} AS _low"), F.expr(f"{high} AS _high"))
     return narrowed.where("_low IS NOT NULL AND _high IS NOT NULL")
+
+
+def _found_slopes(weighted: DataFrame, state: DataFrame, keys: Sequence[str], n_rows: int, block_rows: int) -> DataFrame:
+    """(keys, _end, _slope): a pair's slope inside each end's bracket, which by now holds one slope up to rounding.
+
+    If any pair of samples turns round within the bracket, neighbours do: every block looks at its own.
+    """
+    ended = [*keys, "_end"]
+    rows = join_on(weighted, state, keys).selectExpr(
+        *[f"`{k}`" for k in ended], "t", "y", "y - _low * (t - _t0) AS z", "y - _high * (t - _t0) AS z2", "u")
+    ordered, _ = _in_order(rows, ended, 2 * n_rows, block_rows)
+    schema = T.StructType([rows.schema[k] for k in ended] + [T.StructField("_slope", T.DoubleType()), T.StructField("_n", T.LongType())])
+
+    def turned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        for key, part in _runs(pd.concat(held, ignore_index=True), ended) if held else ():
+            t, y, z, z2 = (part[c].to_numpy(dtype=float) for c in ("t", "y", "z", "z2"))
+            u = part["u"].to_numpy(dtype=bool)
+            slopes, _, _ = _pair_slopes(*_side_by_side(_ranked(z, u), _ranked(z2, u)), t, y, u)
+            if len(slopes):
+                yield pd.DataFrame([(*key, float(slopes[len(slopes) // 2]), len(slopes))], columns=[*ended, "_slope", "_n"])
+
+    return ordered.mapInPandas(turned, schema).groupBy(*ended).agg(F.expr("max_by(_slope, struct(_n, _slope)) AS _slope"))

@@ -71,7 +71,7 @@ def test_trend_matches_all_pairs(meas, series, censored, pair_rows, block_rows):
         if slope is None:
             assert rows[name].slope_per_year is None
         else:
-            assert rows[name].slope_per_year == pytest.approx(slope * 365.25, rel=1e-8, abs=1e-8), name
+            assert rows[name].slope_per_year == pytest.approx(slope * 365.25, rel=1e-12, abs=1e-12), name
 
 
 def test_significance_of_a_monotone_series(samples):
@@ -126,3 +126,19 @@ def test_slope_is_exact_at_every_length(n, digits):
     i, j = i[t[i] != t[j]], j[t[i] != t[j]]
     slopes = (y[j] - y[i]) / (t[j] - t[i])
     assert _score_pairs(t.astype(float), y, u) == (int(np.sign(slopes).sum()), pytest.approx(np.median(slopes), rel=1e-14))
+
+
+@pytest.mark.parametrize("digits", [0, 6])
+def test_long_and_short_path_give_the_same_slope(samples, digits):
+    points = make(9, 900, digits=digits)
+    rows = [{"Date": dt.date(1990, 1, 1) + dt.timedelta(days=t), "ValueCen": y} for t, y, _ in points]
+    short, long = (trend_nonpar(samples(rows), pair_rows=limit, block_rows=400).first() for limit in (1_000, 500))
+    assert (short.s, short.n) == (long.s, long.n) and long.slope_per_year == pytest.approx(short.slope_per_year, rel=1e-13, abs=1e-13)
+
+
+def test_equal_slopes_beyond_the_list_come_from_neighbours():
+    """A straight line and a constant: all pairs have one slope, and more of them than may be listed."""
+    t = np.arange(400.0)
+    for y, slope in ((3 + 0.1 * t, 0.1), (np.full(400, 2.5), 0.0), (np.where(t < 397, 1.0, 9.0), 0.0)):
+        s, got = _score_pairs(t, y, np.ones(400, bool), listed=50)
+        assert got == pytest.approx(slope, abs=1e-14) and s == np.sign(np.subtract.outer(y, y)[np.tril_indices(400, -1)]).sum()
