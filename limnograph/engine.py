@@ -11,6 +11,7 @@ from limnograph.operators.bands import percentile_bands
 from limnograph.operators.filters import historic
 from limnograph.plans import batch, boxplot, drafts, report_index, site_comparison, site_map, waterbands
 from limnograph.plans.params import ReportParams
+from limnograph.session import discard
 from limnograph.sources import readers
 from limnograph.sources.monitoring_view import MonitoringView
 
@@ -48,8 +49,10 @@ class Monitor:
     def char_info(self, info, **filters) -> DataFrame:
         return catalog.get_char_info(self.chars, info, **filters)
 
-    def nested(self) -> DataFrame:
-        return catalog.nested_catalog(self.meas)
+    def nested(self, level: str = "site", **options) -> DataFrame:
+        """``level`` is ``park``, ``site`` or ``data`` (pages of samples)."""
+        levels = {"park": catalog.nested_parks, "site": catalog.nested_catalog, "data": catalog.nested_pages}
+        return levels[level](self.meas, **options)
 
     def waterbands(self, **options) -> DataFrame:
         p = self.params
@@ -78,12 +81,12 @@ class Monitor:
         return drafts.all_sites(self.meas, self.sites, year_from=p.year_from, year_to=p.year_to,
                                 current=p.current)
 
-    def loess_bands(self, *, span: float = 1.0) -> DataFrame:
+    def loess_bands(self, *, span: float = 1.0, surface: str = "direct") -> DataFrame:
         bands = percentile_bands(historic(self.meas, self.params.year_from, self.params.current))
-        return loess.loess_bands(bands, span=span)
+        return loess.loess_bands(bands, span=span, surface=surface)
 
-    def series(self, **options) -> DataFrame:
-        return anomaly.series(self.meas, **options)
+    def series(self, *, assessment: bool = False, **options) -> DataFrame:
+        return anomaly.series(self.meas, chars=self.chars if assessment else None, **options)
 
     def heat_anomaly(self) -> DataFrame:
         return anomaly.heat_anomaly(self.meas)
@@ -96,6 +99,13 @@ class Monitor:
         pairs = catalog.list_site_chars(self.chars)
         return checks.series_status(pairs, self.meas, year_historic=p.year_from, year_current=p.current)
 
-    def write_batch(self, out: str, parks=None) -> dict[str, str]:
-        datasets = batch.report_datasets(self.meas, self.sites, self.chars, self.params)
-        return batch.write_batch(datasets, out, parks)
+    def write_batch(self, out: str, parks=None, *, descriptions: DataFrame | None = None, boxes: DataFrame | None = None,
+                    park_code=None) -> dict[str, str]:
+        """Stage the samples, write every dataset from them and publish the batch; ``batch.current_batch`` finds it."""
+        spark = self.meas.sparkSession
+        meas, place = batch.staged(self.meas, self.params)
+        datasets = batch.report_datasets(meas, self.sites, self.chars, self.params, descriptions=descriptions, boxes=boxes,
+                                         park_code=park_code)
+        paths = batch.write_batch(datasets, out, parks)
+        discard(spark, place)
+        return paths

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 MONTH_ABBR = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 # Fixed value: the field season, May to October.
 FIELD_SEASON = tuple(range(5, 11))
+#: Date ranges that a filter may consist of.
+MOST_RANGES = 120
 
 
 def month_abbr(date: Column) -> Column:
@@ -68,6 +70,30 @@ def in_months(months: Iterable[int], date: Column | str = "Date") -> Column:
     return F.month(date).isin(*sorted(months))
 
 
+def in_seasons(first: int, last: int, months: Iterable[int], date: Column | str = "Date") -> Column:
+    """``months`` of the years ``first``..``last`` as date ranges, one per run of months and year, which reach the scan.
+
+    Over ``MOST_RANGES`` ranges the years reach it as one range, and the months are looked at row by row.
+    """
+    date = F.col(date) if isinstance(date, str) else date
+    months = sorted({m for m in months if 1 <= m <= 12})
+    years = in_years(first, last, date)
+    runs = [(m, next(n for n in range(m, 13) if n + 1 not in months)) for m in months if m - 1 not in months]
+    if not months:
+        return years & F.lit(False)
+    if len(months) == 12:
+        return years
+    if len(runs) * (last - first + 1) > MOST_RANGES:
+        return years & in_months(months, date)
+    ranges = None
+    for year in range(first, last + 1):
+        for low, high in runs:
+            stop = dt.date(year + (high == 12), high % 12 + 1, 1)
+            one = (date >= F.lit(dt.date(year, low, 1))) & (date < F.lit(stop))
+            ranges = one if ranges is None else ranges | one
+    return years & ranges
+
+
 def with_calendar(df: DataFrame, date: str = "Date") -> DataFrame:
     """Add ``month``, ``month_num`` and ``year``."""
     d = F.col(date)

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from limnograph.functions import labels
 from limnograph.functions.calendar import FIELD_SEASON, month_label
+from limnograph.functions.nulls import if_else
 from limnograph.operators.bands import MIN_SAMPLES, MONTHLY, SERIES, monthly_bands
 from limnograph.operators.catalog import get_wdata
 from limnograph.operators.filters import historic
 from limnograph.operators.joins import full_join
-from limnograph.operators.thresholds import band_class, with_points
+from limnograph.operators.thresholds import band_class, with_given_points, with_points
 
 
 def current_values(meas: DataFrame, year: int, months: Iterable[int] | None = None) -> DataFrame:
@@ -46,22 +47,32 @@ def char_names(chars: DataFrame) -> DataFrame:
 
 def waterbands(meas: DataFrame, chars: DataFrame, *, year_historic: int, year_current: int,
                months: Iterable[int] = FIELD_SEASON, min_samples: int = MIN_SAMPLES,
-               assessment: str = "metadata") -> DataFrame:
-    """Bands, years of the extremes, current values, assessment points, class and labels."""
+               assessment: str | Sequence[float] = "metadata", param_name: str | None = None, unit: str | None = None,
+               yname: str | None = None) -> DataFrame:
+    """Bands, years of the extremes, current values, assessment points, class and labels.
+
+    ``assessment`` is ``metadata``, ``none``, or a list of numbers: every row then comes once for each of them, as
+    ``AssessmentPoint``, and a current value above it is orange. ``param_name``, ``unit`` and ``yname`` stand in for the
+    names of the metadata.
+    """
     months = tuple(months)
     rows = get_wdata(meas, years=(year_historic, year_current), months=months)
     rows = rows.withColumn("month_num", F.month("Date"))
     bands = monthly_bands(historic(rows, year_historic, year_current), min_samples=min_samples)
     joined = waterbands_from(bands, current_values(rows, year_current))
     named = joined.join(char_names(chars), SERIES, "left")
+    given = {"param_name": param_name, "unit": unit}
+    named = named.withColumns({c: F.lit(text) for c, text in given.items() if text is not None})
     if assessment == "none":
         named = with_points(named.drop("LowerPoint", "UpperPoint"), chars, assessment="none")
-    return named.withColumns(
-        {
-            "pcolor": band_class(F.col("ValueCen_curr")),
-            "yname": labels.axis_label(F.col("param_name"), F.col("unit"), F.col("Characteristic")),
-        }
-    )
+    value, pcolor = F.col("ValueCen_curr"), band_class(F.col("ValueCen_curr"))
+    if not isinstance(assessment, str):
+        named = with_given_points(named.drop("LowerPoint", "UpperPoint"), assessment)
+        pcolor = if_else(value > F.col("AssessmentPoint"), F.lit("orange"), F.lit("black"))
+    elif assessment not in ("metadata", "none"):
+        raise ValueError(f"unknown assessment {assessment!r}")
+    label = labels.axis_label(F.col("param_name"), F.col("unit"), F.col("Characteristic")) if yname is None else F.lit(yname)
+    return named.withColumns({"pcolor": pcolor, "yname": label})
 
 
 def waterbands_labels(rows: DataFrame) -> DataFrame:

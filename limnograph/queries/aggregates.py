@@ -165,15 +165,20 @@ def agg_box_stats_annual(v):
     return drafts.box_stats_annual(v.meas).withColumnRenamed("Year", "box_year")
 
 
+# The samples are evenly spread and have no outliers; their sixth power has.
+_SKEWED = "(SELECT * REPLACE (ValueCen * ValueCen * ValueCen * ValueCen * ValueCen * ValueCen AS ValueCen) FROM sample)"
+
+
 @query(
     "agg_box_outliers_annual",
     "Park Site Characteristic box_year:i Date:t ValueCen:d",
-    f"""SELECT s.*, year AS box_year FROM sample AS s
-        JOIN {fences('sample', 'Park, Characteristic, year', 'type7')} AS f USING (Park, Characteristic, year)
+    f"""SELECT s.*, year AS box_year FROM {_SKEWED} AS s
+        JOIN {fences(_SKEWED, 'Park, Characteristic, year', 'type7')} AS f USING (Park, Characteristic, year)
         WHERE ValueCen < lower_fence OR ValueCen > upper_fence""",
 )
 def agg_box_outliers_annual(v):
-    return drafts.box_outliers_annual(v.meas).withColumnRenamed("Year", "box_year")
+    skewed = v.meas.withColumn("ValueCen", F.expr(" * ".join(["ValueCen"] * 6)))
+    return drafts.box_outliers_annual(skewed).withColumnRenamed("Year", "box_year")
 
 
 _READINGS = "(SELECT event_type, CAST(ts AS DATE) AS day, value AS ValueCen FROM events)"
@@ -327,6 +332,33 @@ def pivot_characteristics(v):
     return reshape.pivot_characteristics(rows, _NAMES)
 
 
+@query(
+    "pivot_names_from_data",
+    _WIDE + "".join(f" {n}:d" for n in _NAMES) + " n_undeclared:i",
+    f"""SELECT {', '.join(_IDS)}, occurrence, 0 AS n_undeclared,
+          {', '.join(f"min(Value) FILTER (WHERE Characteristic = '{n}') AS {n}" for n in _NAMES)}
+        FROM {_NUMBERED} GROUP BY {', '.join(_IDS)}, occurrence""",
+)
+def pivot_names_from_data(v):
+    wide = reshape.pivot_characteristics(v.meas.select(*_IDS, "Characteristic", "Value"))
+    return wide.withColumn("n_undeclared", F.size("undeclared"))
+
+
+@query(
+    "pivot_undeclared",
+    _WIDE + " pH:d DO_mgL:d undeclared",
+    f"""SELECT {', '.join(_IDS)}, occurrence, min(Value) FILTER (WHERE Characteristic = 'pH') AS pH,
+          min(Value) FILTER (WHERE Characteristic = 'DO_mgL') AS DO_mgL,
+          coalesce(string_agg(Characteristic || '=' || CAST(CAST(Value AS BIGINT) AS VARCHAR), ';' ORDER BY Characteristic)
+            FILTER (WHERE Characteristic NOT IN ('pH', 'DO_mgL')), '') AS undeclared
+        FROM {_NUMBERED} GROUP BY {', '.join(_IDS)}, occurrence""",
+)
+def pivot_undeclared(v):
+    wide = reshape.pivot_characteristics(v.meas.select(*_IDS, "Characteristic", "Value"), ["pH", "DO_mgL"])
+    rest = F.transform("undeclared", lambda u: F.concat_ws("=", u["name"], u["value"].cast("long").cast("string")))
+    return wide.withColumn("undeclared", F.array_join(rest, ";"))
+
+
 @query(
     "pivot_select_char",
     _WIDE + " DO_mgL:d",

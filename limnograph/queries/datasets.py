@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from limnograph.engine import Monitor
 from limnograph.operators.filters import COMPARED_NUTRIENTS
 from limnograph.plans import batch, drafts
 from limnograph.plans.boxplot import boxplot
@@ -16,9 +17,12 @@ from limnograph.queries.sql import (
     BOXPLOT,
     BOXPLOT_COLUMNS,
     COMPARISON_COLUMNS,
+    ECOREGIONS,
     PARK_CODE,
     RULES,
     SEASON,
+    STANDARDS,
+    STATE,
     WATERBANDS,
     WATERBANDS_COLUMNS,
     bands as bands_sql,
@@ -199,6 +203,7 @@ def _counts(name: str, sql: str) -> str:
       count(*) AS n_rows FROM ({sql}) AS q GROUP BY Park"""
 
 
+_STATED = f"(SELECT *, {STATE} AS site_state FROM (SELECT *, ParkCode AS Park FROM sites))"
 _BATCH = " UNION ALL ".join(
     [
         _counts("waterbands", f"SELECT * FROM ({WATERBANDS}) WHERE Characteristic IN ('pH', 'DO_mgL', 'Temp_C')"),
@@ -208,14 +213,18 @@ _BATCH = " UNION ALL ".join(
           for kind in ("Lake", "Stream")],
         _counts("boxplot", BOXPLOT),
         _counts("report_index", "SELECT ParkCode AS Park FROM sites WHERE SiteCode IN (SELECT Site FROM now)"),
+        _counts("site_map", f"SELECT ParkCode AS Park FROM {SITE_ROWS} AS r LEFT JOIN boxes USING (ParkCode)"),
+        _counts("standards", f"""SELECT s.Park FROM {_STATED} AS s JOIN (SELECT * FROM {STANDARDS}) AS t ON t.state = s.site_state AND t.water_type = s.type
+          UNION ALL SELECT s.ParkCode FROM sites AS s JOIN (SELECT * FROM {ECOREGIONS}) AS e ON e.water_type = s.type"""),
     ]
 )
 
 
 def _written(v, parks=None):
-    datasets = batch.report_datasets(v.meas, v.sites, v.chars, PARAMS)
-    paths = batch.write_batch(datasets, scratch_path(v.spark, "batch"), parks)
-    return batch.written_counts(v.spark, paths)
+    monitor = Monitor.over(v, PARAMS)
+    out = scratch_path(v.spark, "batch")
+    monitor.write_batch(out, parks, descriptions=v.descriptions, boxes=v.boxes, park_code=park_code)
+    return batch.written_counts(v.spark, batch.current_batch(v.spark, out))
 
 
 @query("ds_batch_all_parks", "Park report dataset n_rows:i", _BATCH)
@@ -227,3 +236,15 @@ def ds_batch_all_parks(v):
        f"SELECT * FROM ({_BATCH}) AS b WHERE Park IN ('AFRICA', 'ASIA')")
 def ds_batch_park_list(v):
     return _written(v, ["AFRICA", "ASIA"])
+
+
+@query(
+    "ds_waterbands_given_points",
+    "Park Site Characteristic month_num:i year_curr:i ValueCen_curr:d median_val:d AssessmentPoint:d pcolor param_name unit yname",
+    f"""SELECT * EXCLUDE (param_name, unit, yname, pcolor), 'Reading' AS param_name, 'units' AS unit, 'Reading, all units' AS yname,
+          CASE WHEN ValueCen_curr IS NULL THEN NULL WHEN ValueCen_curr > AssessmentPoint THEN 'orange' ELSE 'black' END AS pcolor
+        FROM (SELECT *, unnest([20.0, 30.0]) AS AssessmentPoint FROM ({WATERBANDS}) AS w)""",
+)
+def ds_waterbands_given_points(v):
+    return waterbands(v.meas, v.chars, year_historic=YEAR_FROM, year_current=CURRENT, assessment=[20.0, 30.0],
+                      param_name="Reading", unit="units", yname="Reading, all units")

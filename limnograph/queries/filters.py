@@ -52,6 +52,11 @@ def filter_months(v):
     return catalog.get_wdata(v.meas, months=range(5, 11))
 
 
+@query("filter_seasons", ROW, "SELECT * FROM sample WHERE year BETWEEN 1995 AND 1998 AND month_num IN (1, 5, 6, 12)")
+def filter_seasons(v):
+    return catalog.get_wdata(v.meas, years=(1995, 1998), months=[5, 6, 12, 1])
+
+
 @query(
     "split_hist_curr",
     "Park Site Characteristic n_hist:i n_curr:i sum_hist:d sum_curr:d",
@@ -256,8 +261,8 @@ def set_member(v):
     PAIR,
     f"""SELECT * FROM ({PAIRS}) AS p WHERE NOT EXISTS (
           SELECT 1 FROM now AS n WHERE n.Park = p.Park AND n.Site = p.Site
-            AND n.Characteristic = p.Characteristic)""",
+            AND n.Characteristic = p.Characteristic AND month_num = 7)""",
 )
 def set_minus(v):
-    return joins.anti_join(pairs(v), catalog.get_wdata(v.meas, years=CURRENT),
+    return joins.anti_join(pairs(v), catalog.get_wdata(v.meas, years=CURRENT, months=[7]),
                            ["Park", "Site", "Characteristic"])

@@ -144,6 +144,37 @@ def get_nested(v):
                          F.array_join(leaf, ";").alias("leaves"))
 
 
+@query(
+    "get_nested_parks",
+    "Park n_sites:i n_samples:i sites",
+    """SELECT Park, count(*) AS n_sites, sum(n) AS n_samples, string_agg(Site || ':' || k || ':' || n, ';' ORDER BY Site) AS sites
+       FROM (SELECT Park, Site, count(*) AS n, count(DISTINCT Characteristic) AS k FROM meas GROUP BY Park, Site) GROUP BY Park""",
+)
+def get_nested_parks(v):
+    site = F.transform("sites", lambda s: F.concat_ws(
+        ":", s["Site"], F.size(s["characteristics"]).cast("string"), s["n_samples"].cast("string")))
+    return catalog.nested_parks(v.meas).select("Park", F.size("sites").alias("n_sites"), "n_samples", F.array_join(site, ";").alias("sites"))
+
+
+@query(
+    "get_nested_pages",
+    "Park Site Characteristic page:i part:i n_samples:i n_elements:i first_date:t last_date:t total:d",
+    """WITH s AS (SELECT Park, Site, Characteristic, Date, SampleDepth, Value, TextValue, Censored, ValueCen, count(*) AS copies
+                  FROM meas GROUP BY ALL),
+       d AS (SELECT Park, Site, Characteristic, Date, count(*) AS n FROM s GROUP BY ALL),
+       p AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY Park, Site, Characteristic ORDER BY Date
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 20 AS page FROM d)
+       SELECT Park, Site, Characteristic, page, 0 AS part, sum(copies) AS n_samples, count(*) AS n_elements,
+         min(Date) AS first_date, max(Date) AS last_date, sum(ValueCen * copies) AS total
+       FROM s JOIN p USING (Park, Site, Characteristic, Date) GROUP BY Park, Site, Characteristic, page""",
+)
+def get_nested_pages(v):
+    total = F.aggregate("samples", F.lit(0.0), lambda a, s: a + F.coalesce(s["ValueCen"] * s["copies"], F.lit(0.0)))
+    some = F.exists("samples", lambda s: s["ValueCen"].isNotNull())
+    return catalog.nested_pages(v.meas.drop("Category", "SiteType"), page_rows=20) \
+        .withColumn("n_elements", F.size("samples")).withColumn("total", F.when(some, total))
+
+
 @query(
     "list_site_chars",
     "Park Site Characteristic",

@@ -51,6 +51,18 @@ def series_uncensored(v):
     return anomaly.series(v.meas)
 
 
+@query(
+    "series_facets",
+    _SERIES + " label LowerPoint:d UpperPoint:d",
+    """SELECT s.* EXCLUDE (Value), ValueCen AS value, CASE WHEN Censored THEN 'censored' ELSE 'measured' END AS marker,
+         s.Characteristic || ' ' || month AS panel, LowerPoint, UpperPoint,
+         CASE WHEN s.Characteristic <> 'pH' THEN param_name || ' (' || unit || ')' ELSE param_name END AS label
+       FROM sample AS s LEFT JOIN points AS p ON p.Park = s.Park AND p.Site = s.Site AND p.Characteristic = s.Characteristic""",
+)
+def series_facets(v):
+    return anomaly.series(v.meas, censored=True, deseason=True, facet="Characteristic", chars=v.chars)
+
+
 @query(
     "heat_anomaly",
     "Park Site Characteristic year:i month_num:i n:i month_mean:d series_mean:d anomaly:d",

@@ -29,6 +29,7 @@ def write_reports(datasets: Mapping[str, DataFrame], out: str, *, parks: Iterabl
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """CSV that ``sources.readers`` reads back unchanged."""
-    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    """CSV that ``sources.readers`` reads back unchanged: line breaks, quotes, outer blanks and empty texts included."""
+    writer = df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').option("lineSep", "\n")
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("emptyValue", '""').csv(path)
     return path

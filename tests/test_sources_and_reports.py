@@ -9,7 +9,8 @@ from limnograph import Monitor, ReportParams
 from limnograph.functions import calendar, codes, labels
 from limnograph.functions.nulls import if_else
 from limnograph.operators import catalog, checks, filters
-from limnograph.schema import MEASUREMENTS, conform, require_columns
+from limnograph.plans import batch
+from limnograph.schema import BOUNDING_BOXES, MEASUREMENTS, SITE_DESCRIPTIONS, conform, require_columns
 from limnograph.session import scratch_path
 from limnograph.sources import readers, sinks, tables
 from limnograph.streaming import exceedance
@@ -103,7 +104,8 @@ def test_datasets(monitor):
 
 def test_batch_is_partitioned_by_park(spark, monitor):
     paths = monitor.write_batch(scratch_path(spark, "batch"), parks=["MABI"])
-    assert set(paths) == {"waterbands", "site_comparison", "site_comparison_lake", "site_comparison_stream", "report_index", "boxplot"}
+    assert set(paths) == {"waterbands", "site_comparison", "site_comparison_lake", "site_comparison_stream", "report_index", "boxplot",
+                          "standards"}
     for path in paths.values():
         assert {r[0] for r in spark.read.parquet(path).select("Park").distinct().collect()} == {"MABI"}
 
@@ -173,3 +175,112 @@ def test_lookup_tables(spark):
     assert tables.state_standards(spark).count() == 14
     assert tables.ecoregion_thresholds(spark).count() == 4
     assert tables.store_codes(spark).count() == 9
+
+
+def test_csv_keeps_line_breaks_blanks_and_empty_texts(spark):
+    rows = [("A", "n", "S1", 'one\ntwo "quoted", x'), ("A", " n ", "S2", "a\r\nb"), ("B", None, "S3", ""), ("B", "\n", "S4", "a\n\nb\n")]
+    path = sinks.write_csv(spark.createDataFrame(rows, SITE_DESCRIPTIONS), scratch_path(spark, "breaks"))
+    assert sorted(map(tuple, readers.scan_siteinfo(spark, path).collect()), key=str) == sorted(rows, key=str)
+    assert readers.broken_records(spark, path, SITE_DESCRIPTIONS).count() == 0
+
+
+@pytest.mark.parametrize("one_line", [False, True])
+def test_broken_records_are_kept_apart(spark, tmp_path, one_line):
+    lines = [",".join(MEASUREMENTS.fieldNames()), "A,S,pH,physical,2019-01-01,x,1.5,t,false,1.5", "A,S,pH,physical,soon,x,1.5,t,false,1.5",
+             "A,S,pH", "A,S,pH,physical,2019-01-01,x,abc,t,false,1.5", "A,S,pH,physical,2019-01-02,x,,,true,2"]
+    path = tmp_path / "data.csv"
+    path.write_text("\n".join(lines) + "\n")
+    good = readers.scan_measurements(spark, str(path), one_line=one_line)
+    bad = readers.broken_records(spark, str(path), one_line=one_line)
+    assert sorted(r.record for r in bad.collect()) == sorted(lines[2:5])
+    assert good.count() == 2 and bad.count() == 3 and [r.Value for r in good.orderBy("Date").collect()] == [1.5, None]
+
+
+def test_pages_hold_every_sample_once(spark, samples):
+    rows = [{"Site": "busy", "Date": "2019-05-01", "ValueCen": float(i)} for i in range(95)]
+    rows += [{"Site": "busy", "Date": f"2019-06-{d:02d}", "ValueCen": float(i)} for d in range(1, 8) for i in range(4)]
+    rows += [{"Site": "same", "Date": "2019-05-01", "ValueCen": 3.0}] * 500 + [{"Site": "gap", "Date": None, "ValueCen": None}]
+    meas = samples(rows)
+    pages = catalog.nested_pages(meas, page_rows=10).collect()
+    assert max(len(p.samples) for p in pages) < 30 and sum(p.n_samples for p in pages) == len(rows)
+    found = sorted((p.Site, str(s.Date), str(s.ValueCen), s.copies) for p in pages for s in p.samples)
+    expected = meas.groupBy("Site", "Date", "ValueCen").count().collect()
+    assert found == sorted((r.Site, str(r.Date), str(r.ValueCen), r["count"]) for r in expected)
+    assert len({(p.Site, p.page, p.day, p.part) for p in pages}) == len(pages)
+    parks = catalog.nested_parks(meas).collect()
+    assert [s.Site for s in parks[0].sites] == ["busy", "gap", "same"] and parks[0].n_samples == len(rows)
+
+
+def test_months_of_years_reach_the_scan(spark, monitor):
+    path = scratch_path(spark, "dates")
+    monitor.meas.sortWithinPartitions("Date").write.parquet(path)
+    table = spark.read.parquet(path)
+    for months in ([5, 6], [6, 8], [12, 1], [], range(1, 13)):
+        rows = catalog.get_wdata(table, years=(2011, 2013), months=months)
+        plain = table.where(F.year("Date").between(2011, 2013) & F.month("Date").isin(*months)) if months else table.limit(0)
+        assert rows.exceptAll(plain).count() == 0 == plain.exceptAll(rows).count()
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5_000)
+    plan = catalog.get_wdata(table, years=(2011, 2012), months=[5, 6])._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters")[1].split("ReadSchema")[0]
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "Or(And(" in pushed and "2012-05-01" in pushed and "2012-07-01" in pushed and "month(" not in plan
+    many = catalog.get_wdata(table, years=(1800, 2015), months=[5, 6])
+    assert many.count() == table.where("month(Date) IN (5, 6)").count()
+
+
+def test_a_batch_is_published_whole(spark, monitor, flat):
+    out = scratch_path(spark, "published")
+    descriptions = spark.createDataFrame([("MABI", "Pond", "XNET_MABI_PA00", "A pond")], SITE_DESCRIPTIONS)
+    boxes = spark.createDataFrame([("MABI", 1.0, 2.0, 3.0, 4.0, 9, 7)], BOUNDING_BOXES)
+    first = monitor.write_batch(out, descriptions=descriptions, boxes=boxes)
+    assert batch.current_batch(spark, out) == first
+    assert {(r.Site, r.source) for r in spark.read.parquet(first["standards"]).collect()} >= {("XNET_MABI_PA00", "state"), ("XNET_MABI_SA00", "ecoregion")}
+    assert {r.SiteCode: r.Description for r in spark.read.parquet(first["site_map"]).collect()} == {
+        "XNET_MABI_PA00": "A pond", "XNET_MABI_SA00": None}
+    broken = {"report_index": monitor.report_index(), "failing": monitor.meas.withColumn("x", F.raise_error(F.lit("stop")))}
+    with pytest.raises(Exception, match="stop"):
+        batch.write_batch(broken, out)
+    assert batch.current_batch(spark, out) == first
+    second = monitor.write_batch(out)
+    assert batch.current_batch(spark, out) == second and set(second.values()).isdisjoint(first.values())
+
+
+def test_given_points_names_and_facets(monitor):
+    rows = monitor.waterbands(assessment=[6.4, 9.0], param_name="Reading", unit="u", yname="y").collect()
+    assert len(rows) == 24 and {(r.param_name, r.unit, r.yname) for r in rows} == {("Reading", "u", "y")}
+    assert {(r.AssessmentPoint, r.pcolor) for r in rows if r.ValueCen_curr == 7.0 + 2015 % 3 / 2 + 0.0} == {(6.4, "orange"), (9.0, "black")}
+    with pytest.raises(ValueError):
+        monitor.waterbands(assessment="guess")
+    points = monitor.series(assessment=True, facet="Site", deseason=True).collect()
+    assert {(r.label, r.LowerPoint, r.UpperPoint) for r in points} == {("pH", 6.5, 7.9), ("Phosphorus (ug/L)", None, 7.0)}
+    assert {r.panel for r in points} >= {"XNET_MABI_PA00 May", "XNET_MABI_SA00 Aug"}
+    with pytest.raises(ValueError):
+        monitor.series(facet="Depth")
+    assert monitor.nested("park").count() == 1 and monitor.nested("data", page_rows=5).agg(F.sum("n_samples")).first()[0] == 72
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from limnograph import session
+
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda key, default=None: {"spark.sql.warehouse.dir": "file:/here"}.get(key, default))
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        session.shared_folder(Elsewhere)
+    frame, path = session.written(spark.range(3), "kept")
+    assert frame.count() == 3
+    session.discard(spark, path)
+    with pytest.raises(Exception):
+        spark.read.parquet(path)
+
+
+def test_limits_of_the_rules_as_listed():
+    """Values of the rule tables, apart from the constants that the queries are built from."""
+    assert {state for state, *_ in tables.STATE_STANDARDS} == {"CT", "ME", "MA", "NH", "NJ", "NY", "VT"}
+    assert [(row[0], row[4]) for row in tables.STATE_STANDARDS if row[0] == "NY"] == [("NY", "7.0 (cold)"), ("NY", "4.0 (warm)")]
+    assert [row[2:4] for row in tables.ECOREGION] == [("14.5", "0.4"), ("22", "0.6"), ("17.1", "0.345"), ("32.6", "0.482")]
+    assert tables.PARK_STORE_CODE["MABI"] == "1062" and tables.PARK_STORE_CODE["WEFA"] == "1176"

@@ -154,3 +154,16 @@ def test_site_codes_stay_apart_beyond_four_digits(spark):
     sites = spark.range(9_990, 12_010).selectExpr("'AFRICA' AS ParkCode", "'Supplier#' || lpad(CAST(id AS STRING), 9, '0') AS SiteCode")
     codes_ = [r.code for r in _coded_sites(SimpleNamespace(sites=sites)).collect()]
     assert len(set(codes_)) == 2_020 and {len(c) for c in codes_} == {14}
+
+
+def test_pivot_loses_no_name(spark):
+    rows = [(1, "pH", 1.0), (1, "Other", 2.0), (1, "Other", None), (1, None, 3.0), (2, "DO", 4.0), (None, "pH", 5.0)]
+    df = spark.createDataFrame(rows, "d int, Characteristic string, Value double")
+    for names in (None, ["pH"], ["pH", "DO", "Other", "None at all"], []):
+        wide = reshape.pivot_characteristics(df, names)
+        made = [c for c in wide.columns if c not in ("d", "occurrence", "undeclared")]
+        assert made == (["DO", "Other", "pH"] if names is None else names)
+        found = [(r.d, c, r[c]) for r in wide.collect() for c in made if r[c] is not None]
+        found += [(r.d, u["name"], u["value"]) for r in wide.collect() for u in r.undeclared if u["value"] is not None]
+        assert sorted(found, key=str) == sorted((r for r in rows if r[2] is not None), key=str)
+    assert sorted(len(r.undeclared) for r in reshape.pivot_characteristics(df).collect()) == [0, 0, 0, 1]
