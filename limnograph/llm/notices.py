@@ -140,6 +140,10 @@ def _starts(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
 
 
+def _word_at(spaces: list[int], word: int) -> int:
+    return spaces[word - 1] + 1 if word else 0
+
+
 def find_notices(docs: DataFrame, notices: Sequence[Notice] = (*PHRASES, *NOTICES), text: str = "text",
                  keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``n_words`` and ``notices``: every match of every notice in the whole text.
@@ -162,17 +166,17 @@ def find_notices(docs: DataFrame, notices: Sequence[Notice] = (*PHRASES, *NOTICE
                 counts.append(plain.count(" ") + 1 if plain else 0)
                 found = find.search(plain)
                 words = _starts(text_) if found else []
+                spaces = [m.start() for m in re.finditer(" ", plain)] if found else []
                 row = []
                 for start, stop, errors, i in found:
                     inner = plain[start:stop]
                     lead = len(inner) - len(inner.lstrip(" "))
-                    first = plain.count(" ", 0, start + lead)
-                    last = plain.count(" ", 0, start + len(inner.rstrip(" ")))
-                    into = start + lead - (plain.rfind(" ", 0, start + lead) + 1)
-                    tail = plain[plain.rfind(" ", 0, start + len(inner.rstrip(" "))) + 1:start + len(inner.rstrip(" "))]
+                    until = start + len(inner.rstrip(" "))
+                    first, last = bisect_left(spaces, start + lead), bisect_left(spaces, until)
+                    into, tail = start + lead - _word_at(spaces, first), until - _word_at(spaces, last)
                     row.append({"label": chosen[i].label, "phrase": chosen[i].phrase, "errors": errors,
                                 "exact": not chosen[i].errors, "first_word": first,
-                                "start": words[first][0] + into, "stop": words[last][0] + len(tail)})
+                                "start": words[first][0] + into, "stop": words[last][0] + tail})
                 matches.append(row)
             return [counts, matches]
 
