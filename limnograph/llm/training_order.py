@@ -29,6 +29,8 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How byte-level vocabularies of this kind split text before merging; a fixed value that must match them.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_OF_TEXT = 50256
+#: Places are numbers of at most so many bits.
+_DOMAIN_BITS = 60
 
 
 @dataclass(frozen=True)
@@ -97,33 +99,33 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def sequences(docs: DataFrame, layout: Layout = Layout(), ranks: str = RANKS) -> tuple[DataFrame, int]:
     """(``place``, ``doc_id``, ``part``, ``tokens``) of every sequence, and the size of the domain of places.
 
-    A text's ids and an end-of-text id are cut every ``length`` tokens. The number of a sequence is made of its
-    document's id and its part, which needs no count of the sequences before it: with bytes as tokens of last
-    resort, a text has no more tokens than bytes. ``tokens`` are packed 16-bit ids.
+    A text's ids and an end-of-text id are cut every ``length`` tokens. The number of a sequence is made of a hash of its
+    document (id and text) and its part, which needs no count of the sequences before it and does not depend on how ids
+    are numbered: with bytes as tokens of last resort, a text has no more tokens than bytes. Documents that share a
+    hash share their places and come by id and tokens. ``tokens`` are packed 16-bit ids.
     """
     spark = docs.sparkSession
     rows = docs.select(col("doc_id").cast("long").alias("doc_id"), col("text").cast("string").alias("text"))
-    least, most, longest = rows.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text"))).first()
-    least, most, longest = least or 0, most or 0, longest or 0
+    longest = rows.agg(F.max(F.octet_length("text"))).first()[0] or 0
     most_parts = longest // layout.length + 1
-    domain = (most - least + 2) * most_parts
-    if domain.bit_length() > 62:
-        raise ValueError("ids of documents are too far apart; number the documents first")
+    numbers = (1 << _DOMAIN_BITS) // most_parts
+    domain = numbers * most_parts
+    rows = rows.withColumn("number", F.pmod(F.xxhash64("doc_id", "text"), F.lit(numbers)))
     shared = spark.sparkContext.broadcast((read_ranks(ranks), {}))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
         for batch in batches:
             for part in slices(batch):
-                ids, parts, tokens = [], [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                ids, parts, tokens, number = [], [], [], []
+                for doc, text, own in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     found = np.array([*encoder.encode_ordinary(text or ""), END_OF_TEXT], "<u2")
                     cut = range(0, len(found), layout.length)
                     ids += [doc] * len(cut)
+                    number += [own] * len(cut)
                     parts += range(len(cut))
                     tokens += [found[i:i + layout.length].tobytes() for i in cut]
-                number = np.array([most + 1 if d is None else d for d in ids], np.int64) - least
-                places = permute(number * most_parts + np.array(parts, np.int64), domain, layout.key, layout.rounds)
+                places = permute(np.array(number, np.int64) * most_parts + np.array(parts, np.int64), domain, layout.key, layout.rounds)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(places), pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(tokens, pa.binary())],
                     names=["place", "doc_id", "part", "tokens"])
@@ -135,8 +137,8 @@ def write_shards(docs: DataFrame, folder: str, layout: Layout = Layout(), ranks:
     """Write all sequences of ``docs`` below ``folder``; returns (``shard``, ``path``, ``start``, ``n``) of each shard.
 
     ``start`` is the slot of a shard's first record. NULL and empty texts are one sequence, the end-of-text id
-    alone. A NULL id is written as -1 and comes like an id after the last. Rows that repeat an id share their
-    places and lie next to each other, by their tokens. Tokens behind ``n_tokens`` are the end-of-text id.
+    alone. A NULL id is written as -1. Rows that repeat an id and its text share their places and lie next to each
+    other; ids may be any 64-bit numbers. Tokens behind ``n_tokens`` are the end-of-text id.
     One line for each shard goes through the driver.
     """
     spark = docs.sparkSession
@@ -173,7 +175,7 @@ def write_shards(docs: DataFrame, folder: str, layout: Layout = Layout(), ranks:
                                          names=out.names)
 
     ordered = found.withColumn("shard", F.expr(f"CAST(place DIV {width} AS INT)")) \
-        .repartitionById(shards, F.col("shard")).sortWithinPartitions("place", "tokens").drop("shard")
+        .repartitionById(shards, F.col("shard")).sortWithinPartitions("place", "doc_id", "part", "tokens").drop("shard")
     written = sorted(ordered.mapInArrow(write, out).collect(), key=lambda r: r.shard)
     starts, total = [], 0
     for r in written:

@@ -99,6 +99,17 @@ def test_shards_hold_every_token_in_slot_order(spark, tmp_path):
     assert training_order.training_order(documents(spark, []), layout).count() == 0
 
 
+def test_order_does_not_depend_on_how_ids_are_numbered(spark, tmp_path):
+    """Ids at both ends of 64 bits, and one id (or none) on most rows: sequences spread over the shards."""
+    layout = training_order.Layout(length=16, shard_bytes=1 << 14)
+    far = [(-(2**63), "a b c"), (2**63 - 1, "d e f"), (0, None)]
+    manifest = training_order.write_shards(documents(spark, far), str(tmp_path / "far"), layout).collect()
+    assert sum(m.n for m in manifest) == 3
+    rows = [(7 if i % 3 else None, f"text number {i}") for i in range(900)]
+    manifest = training_order.write_shards(documents(spark, rows), str(tmp_path / "same"), layout).collect()
+    assert sum(m.n for m in manifest) == 900 and len(manifest) >= 8 and max(m.n for m in manifest) < 3 * 900 / len(manifest)
+
+
 def test_imatch_edits_follow_the_next_document(spark):
     rows = [r for r in TEXTS if r[0] != 7] + [(7, "same text here")]
     out = {r.doc_id: r for r in imatch.compare_with_edits(documents(spark, rows)).collect()}
