@@ -27,7 +27,7 @@ class Fit:
     """Bounds and steps of the training."""
 
     positives: int = 20_000    # confirmed toxic texts at most, by a hash of their id
-    unlabelled: int = 40_000   # unlabelled texts at most, by a hash of their id
+    unlabelled: int = 40_000   # unlabelled texts at most, by a hash of id and text
     features: int = 2_048      # words and word beginnings of a classifier
     least_texts: int = 3       # positive texts that have a feature
     sure: float = 1.5          # standard deviations taken off its count there, and added to that among the unlabelled
@@ -64,19 +64,21 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _drawn(df: DataFrame, most: int, seed: int) -> DataFrame:
-    """About ``most`` rows at most, by a hash of ``doc_id``."""
+    """About ``most`` rows at most, by a hash of all columns."""
     share = most / max(1, df.count())
     if share >= 1:
         return df
-    return df.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(1_000_000)) < int(share * 1_000_000))
 
 
 def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     """Classifiers from ``docs`` (``doc_id``, ``text``) and the confirmed toxic rows of ``labels`` (``doc_id``, ``toxic``).
 
-    Labels of held-out ids are not read. The texts are a bounded draw (``Fit``); only they and the chosen
-    features come to the driver. Without a confirmed toxic text there are no features, and all scores are 0.
+    Labels of held-out ids are not read. Features are counted over all texts; weights are fitted on a bounded draw
+    (``Fit``). That draw's features and the counts of those that enough of at most ``Fit.positives`` toxic texts have
+    come to the driver. Without a confirmed toxic text there are no features, and all scores are 0.
     """
+    spark = docs.sparkSession
     known = labels.select(col("doc_id"), col("toxic").cast("int").alias("toxic")) \
         .where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))) \
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -86,47 +88,56 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     texts = docs.select(col("doc_id"), col("text").cast("string").alias("text"))
     positive = texts.join(toxic, "doc_id", "left_semi").select("text", F.lit(True).alias("toxic"))
     unlabelled = _drawn(texts, fit.unlabelled, 2).select("text", F.lit(False).alias("toxic"))
-    both = positive.unionByName(unlabelled)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Counter(), Counter()
-        for batch in batches:
-            for part in slices(batch):
-                for text, is_toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    found[is_toxic].update(features(text))
-                if len(found[0]) + len(found[1]) > 500_000:
-                    yield from emit(found)
-                    found = Counter(), Counter()
-        yield from emit(found)
-
-    def emit(found) -> Iterator[pa.RecordBatch]:
-        for is_toxic, counter in enumerate(found):
-            if counter:
-                names, counts = list(counter), np.fromiter(counter.values(), np.int64, len(counter))
-                zero = np.zeros(len(counts), np.int64)
-                columns = (counts, zero) if is_toxic else (zero, counts)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *map(pa.array, columns)],
-                                                 names=["feature", "p", "u"])
-
-    counted = both.mapInArrow(count, "feature string, p long, u long") \
-        .groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    n_p, n_u = positive.count(), unlabelled.count()
-    if not n_p or not n_u:
+    n_p, n_all = positive.count(), texts.count()
+    if not n_p:
         return Model({}, np.zeros((1, 1)))
-    share_p, share_u = F.col("p") / n_p, F.col("u") / n_u
-    surely = (F.col("p") - fit.sure * F.sqrt("p")) / n_p - fit.lift * (F.col("u") + fit.sure * F.sqrt(F.col("u") + 1)) / n_u
-    surprise = (share_p - share_u) / F.sqrt(F.col("p") + F.col("u") + 1)
-    chosen = counted.where((F.col("p") >= fit.least_texts) & (surely > 0)) \
-        .orderBy(surprise.desc(), "feature").limit(fit.features).collect()
-    places = {r.feature: i for i, r in enumerate(chosen)}
+    # Features that enough positive texts have; then in how many of all texts each of these occurs.
+    often = _counted(positive.select("text"), None).where(F.col("n") >= fit.least_texts).collect()
+    p = {r.feature: r.n for r in often}
+    u = {r.feature: r.n for r in _counted(texts.select("text"), spark.sparkContext.broadcast(frozenset(p))).collect()}
+    places = {f: i for i, f in enumerate(_chosen(p, u, n_p, n_all, fit))}
     if not places:
         return Model({}, np.zeros((1, 1)))
+    both = positive.unionByName(unlabelled)
     rows = map_rows(both, ["text"], "found array<int>", lambda: lambda t: [[_found(x, places) for x in t]], ["toxic"]).collect()
-    sets = {kind: [r.found for r in rows if r.toxic is kind] for kind in (True, False)}
+    # In an order of their own, so that the draws of the training do not depend on how the rows were dealt out.
+    sets = {kind: sorted(r.found for r in rows if r.toxic is kind) for kind in (True, False)}
+    if not sets[False]:
+        return Model({}, np.zeros((1, 1)))
     weights = [nn_pu(sets[True], sets[False], len(places), prior, fit, seed) for seed in range(fit.classifiers)]
     return Model(places, np.array(weights))
 
 
+def _counted(texts: DataFrame, among) -> DataFrame:
+    """(feature, n): in how many texts each feature occurs; only those of the broadcast set ``among`` if there is one."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Counter()
+        for batch in batches:
+            for part in slices(batch):
+                for text in part.column(0).to_pylist():
+                    found.update(features(text) if among is None else features(text) & among.value)
+                if len(found) > 500_000:
+                    yield emit(found)
+                    found = Counter()
+        if found:
+            yield emit(found)
+
+    def emit(found: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["feature", "n"])
+
+    return texts.mapInArrow(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+
+
+def _chosen(p: dict[str, int], u: dict[str, int], n_p: int, n_u: int, fit: Fit) -> list[str]:
+    """Features that are surely commoner in the positive texts, the most surprising first."""
+    ranked = []
+    for feature, in_p in p.items():
+        in_u = u.get(feature, 0)
+        if (in_p - fit.sure * in_p ** 0.5) / n_p - fit.lift * (in_u + fit.sure * (in_u + 1) ** 0.5) / n_u > 0:
+            ranked.append(((in_u / n_u - in_p / n_p) / (in_p + in_u + 1) ** 0.5, feature))
+    return [feature for _, feature in sorted(ranked)[:fit.features]]
+
+
 def _found(text: str | None, places: dict[str, int]) -> list[int]:
     return sorted(places[f] for f in features(text) if f in places)
 

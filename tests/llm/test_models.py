@@ -122,3 +122,32 @@ def test_query_runs_over_the_whole_table(spark, name):
     df = QUERIES[name](spark, FOLDER)
     ids = df.select("doc_id").distinct().count()
     assert ids == 1000 or name == "op6_secret_forest" and ids > 50
+
+
+def test_training_does_not_depend_on_how_rows_are_dealt(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    one, five = (toxicity.train(d, labels) for d in (docs.coalesce(1), docs.repartition(5, "n_chars")))
+    assert one.places == five.places and len(one.places) and (one.weights == five.weights).all()
+
+
+def test_gradient_of_the_risk():
+    """One step from the start follows the risk's slope, taken by finite differences."""
+    import numpy as np
+    rng = np.random.default_rng(6)
+    positive = [sorted(set(rng.integers(0, 6, 3).tolist())) for _ in range(40)]
+    unlabelled = [sorted(set(rng.integers(2, 8, 3).tolist())) for _ in range(60)]
+    prior, fit = 0.2, toxicity.Fit(steps=1, rate=0.01, decay=0.0)
+    w = toxicity.nn_pu(positive, unlabelled, 8, prior, fit, 3)
+    draw = np.random.default_rng(3)
+    p, u = ([rows[i] for i in draw.integers(0, len(rows), len(rows))] for rows in (positive, unlabelled))
+
+    def risk(weights):
+        loss = lambda rows, sign: np.mean([1 / (1 + np.exp(sign * (weights[r].sum() + weights[-1]))) for r in rows])
+        rest = loss(u, -1) - prior * loss(p, -1)
+        return prior * loss(p, 1) + rest if rest >= 0 else -rest
+
+    start = np.zeros(9)
+    start[-1] = -2.0
+    slope = np.array([(risk(start + e) - risk(start - e)) / 2e-6 for e in 1e-6 * np.eye(9)])
+    moved = np.abs(slope) > 1e-7
+    assert moved.sum() > 5 and (np.sign(start - w)[moved] == np.sign(slope)[moved]).all()
