@@ -1,6 +1,6 @@
 """Secret candidates judged by a random forest; DataFrame and SQL functions and Spark ML only.
 
-Runs of key-like characters are candidates. Each is described by its length, the changes between kinds of
+Runs of key-like characters, and all values assigned to a key word, are candidates. Each is described by its length, the changes between kinds of
 characters, how much of it the dictionary of the texts covers, the path it stands in and the words beside it.
 A forest trained from labelled findings tells secrets from false positives.
 """
@@ -18,10 +18,14 @@ from pyspark.sql import functions as F
 from limnograph.llm.common import col
 from limnograph.session import scratch_path
 
-_NEAR = r"[\p{L}\p{N}_+/-]"
-#: Eight or more key-like characters with a digit, or sixteen or more without.
-CANDIDATE = (rf"(?<!{_NEAR})(?:(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{{8,}}|[A-Za-z_+/-]{{16,}})={{0,2}}(?!{_NEAR})")
 KEY_WORDS = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api.?key|access.?key|auth|bearer|credentials?|private.?key)"
+_KEY = "[A-Za-z0-9_+/-]"
+#: A value of any length and form right behind a key word and ``=`` or ``:`` ends at white space, a quote, a comma or the like.
+_ASSIGNED = (r"(?<=[=:\s\"'`])(?<=[=:][\s\"'`]{0,3})(?<=(?i:" + KEY_WORDS + r")[\"'`]?\s{0,2}[=:][\s\"'`]{0,3})"
+             r"[^\s\"'`<>,;]*[^\s\"'`<>,;.:!?()\[\]{}]")
+#: Elsewhere, eight or more key-like characters with a digit, or sixteen or more without; letters beyond ASCII may touch them.
+_PLAIN = rf"(?<!{_KEY})(?:(?=[A-Za-z_+/-]*+[0-9]){_KEY}{{8,}}|[A-Za-z_+/-]{{16,}})={{0,2}}(?!{_KEY})"
+CANDIDATE = f"{_ASSIGNED}|{_PLAIN}"
 _BESIDE = 48
 _BLOCK = 256
 MASK = "[SECRET]"
@@ -33,10 +37,11 @@ FEATURES = ("length", "upper", "lower", "digits", "others", "hex_share", "distin
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds of the training: labelled findings of each kind (by a hash of the candidate), trees, their depth, the share
+    """Bounds of the training: labelled findings of each kind (by a hash of the candidate), contexts for planted ones, trees, their depth, the share
     of the documents that a dictionary word must be in, and the least probability of a secret."""
 
     findings: int = 10_000
+    contexts: int = 10_000
     trees: int = 20
     depth: int = 6
     dictionary_share: float = 0.002
@@ -159,7 +164,7 @@ def judge(described: DataFrame, model: RandomForestClassificationModel | float,
 
 
 def format_label() -> Column:
-    """Labels for tables without any: 1 for keys of an exact, documented format, 0 for what cannot be one, else NULL.
+    """1 for keys of an exact format, 0 for what cannot be one, else NULL: a check of what a forest finds, not used to train it.
 
     Ones: an access key id (``AKIA`` and sixteen capitals or digits), and a value of 20 or more hex digits or of
     mixed letters and digits that is assigned to a key word. Zeros: letters only without a key word beside, and digits only.
@@ -172,25 +177,74 @@ def format_label() -> Column:
         .when(c.rlike("^[0-9]+$"), 0)
 
 
+#: What stands before planted findings. The last of the first list is for keys that need no key word.
+_LEADS = ['token = "', "api_key: ", "password=", "secret_key = '", "Authorization: Bearer ", ""]
+_OTHER_LEADS = ["", "commit ", "id: ", "https://host.org/item/", "sha1 = ", "no. "]
+_PLAIN_WORDS = "some plain words that stand for the text of a document without any"
+_BLANK_CONTEXTS = 400
+
+
+def planted(found: DataFrame, training: Training = Training()) -> DataFrame:
+    """Labelled findings, one key and one look-alike for each context: ``candidate``, ``before``, ``after``, ``path``, ``label``,
+    ``held_out`` (a quarter of the contexts).
+
+    Contexts are the surroundings of at most ``Training.contexts`` candidates of ``found`` that no key word precedes (by
+    a hash of them), and a fixed number of blank ones. Keys are access key ids, hex, alphanumeric and base64 strings, prefixed
+    tokens and short passwords behind a key word. Look-alikes are joined words (a third in capitals), numbers, UUIDs, commit hashes, paths, and words
+    behind a key word. All are drawn by hashes of their contexts.
+    """
+    spark = found.sparkSession
+    around = found.where(~F.lower(F.col("before")).rlike(KEY_WORDS)).select("before", "after", "path") \
+        .groupBy("before", "after").agg(F.min("path").alias("path")).withColumn("h", F.xxhash64("before", "after")) \
+        .orderBy("h", "before", "after").limit(training.contexts)
+    blank = spark.range(_BLANK_CONTEXTS).select(F.lit("").alias("before"), F.lit("").alias("after"), F.lit("").alias("path"), F.xxhash64("id").alias("h"))
+    rows = around.unionByName(blank).withColumn("x", F.sha2(F.col("h").cast("string"), 512)) \
+        .withColumn("b", F.base64(F.unhex("x"))).withColumn("s", F.regexp_replace("b", "[^A-Za-z0-9]", "")) \
+        .withColumn("d", F.translate("x", "abcdef", "012345")) \
+        .withColumn("w", F.regexp_replace(F.concat("before", "after", F.lit(_PLAIN_WORDS)), "[^A-Za-z]", ""))
+    kind, turn = F.pmod(F.shiftright("h", 8), F.lit(6)), F.pmod(F.shiftright("h", 16), F.lit(6))
+    some = lambda least, spread, at: F.lit(least) + F.pmod(F.shiftright("h", at), F.lit(spread)).cast("int")
+    cut = lambda c, start, n: F.substr(F.col(c), F.lit(start), n if isinstance(n, Column) else F.lit(n))
+    pick = lambda values, at: F.element_at(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]), (at + 1).cast("int"))
+    key = pick([F.concat(F.lit("AKIA"), F.upper(cut("s", 1, 16))), cut("x", 1, some(32, 9, 20)), cut("s", 1, some(20, 21, 20)),
+                F.concat(F.lit("ghp_"), cut("s", 1, 36)), cut("b", 1, some(32, 13, 20)),
+                F.concat(F.lower(F.regexp_replace(cut("s", 1, some(4, 5, 20)), "[0-9]", "k")), cut("d", 1, some(1, 4, 24)))], kind)
+    lead = pick(_LEADS, F.when(kind == 5, F.pmod(turn, F.lit(5))).otherwise(turn))
+    joined = cut("w", 1, some(16, 9, 20))
+    alike = pick([F.when(F.pmod(F.shiftright("h", 28), F.lit(3)) == 0, F.upper(joined)).otherwise(joined), cut("d", 1, some(8, 13, 20)),
+                  F.concat_ws("-", cut("x", 1, 8), cut("x", 9, 4), cut("x", 13, 4), cut("x", 17, 4), cut("x", 21, 12)),
+                  cut("x", 1, 40), F.concat_ws("/", cut("w", 1, 5), cut("w", 6, some(3, 6, 20)), F.concat(cut("w", 12, 4), cut("d", 1, 2))),
+                  F.lower(cut("w", 1, some(3, 7, 20)))], kind)
+    # Joined words and numbers stand in running text; hashes and paths behind words of their own; plain words behind key words.
+    other = F.when(kind < 2, pick(["", "", "", "", "id: ", "no. "], turn)).when(kind == 5, pick(_LEADS[:5], F.pmod(turn, F.lit(5)))) \
+        .otherwise(pick(_OTHER_LEADS, turn))
+    end = lambda start: F.when(start.endswith("\""), "\"").when(start.endswith("'"), "'").otherwise("")
+    entry = lambda candidate, start, label: F.struct(
+        candidate.alias("candidate"), F.right(F.concat("before", F.lit(" "), start), F.lit(_BESIDE)).alias("before"),
+        F.left(F.concat(end(start), F.lit(" "), "after"), F.lit(_BESIDE)).alias("after"), F.lit(label).alias("label"))
+    return rows.select("path", (F.pmod("h", F.lit(4)) == 2).alias("held_out"),
+                       F.explode(F.array(entry(key, lead, 1), entry(alike, other, 0))).alias("e")).select("path", "held_out", "e.*")
+
+
 def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, training: Training = Training(), text: str = "text",
                  path: str | None = "source", doc_id: str = "doc_id") -> DataFrame:
     """All candidates of all ``docs`` with ``probability`` and ``is_secret``; columns as of ``candidates``.
 
-    ``labelled`` has ``candidate``, ``before``, ``after``, ``path`` and ``label``; without it, findings in ``docs``
-    are labelled by ``format_label``. The dictionary is counted over all texts. Candidates are written once to
-    the folder of ``spark.checkpoint.dir``. Without documents there are no rows.
+    ``labelled`` has ``candidate``, ``before``, ``after``, ``path`` and ``label``; without it, the forest learns from findings
+    planted into the surroundings of candidates (``planted``, but for those held out). The dictionary is counted over all
+    texts. Of rows with equal id and text, the smallest path counts. Candidates are written once to the folder of
+    ``spark.checkpoint.dir``. Without documents there are no rows.
     """
     spark = docs.sparkSession
     place = scratch_path(spark, "candidates")
-    candidates(docs, text, path if path in docs.columns else None, doc_id).dropDuplicates(["row_key", "nth"]) \
-        .write.parquet(place)
+    every = candidates(docs, text, path if path in docs.columns else None, doc_id)
+    every.groupBy("row_key", "nth").agg(*[(F.min if c == "path" else F.first)(c).alias(c) for c in every.columns
+                                          if c not in ("row_key", "nth")]).select(*every.columns).write.parquet(place)
     found = spark.read.parquet(place)
-    described = describe(found, dictionary(docs, training.dictionary_share, text))
+    trigrams = dictionary(docs, training.dictionary_share, text)
     if labelled is None:
-        known = described.withColumn("label", format_label())
-    else:
-        known = describe(labelled, dictionary(docs, training.dictionary_share, text))
-    return judge(described, train(known, training), training)
+        labelled = planted(found, training).where(~F.col("held_out"))
+    return judge(describe(found, trigrams), train(describe(labelled, trigrams), training), training)
 
 
 def mask_secrets(docs: DataFrame, findings: DataFrame, text: str = "text", doc_id: str = "doc_id", mask: str = MASK) -> DataFrame:
