@@ -12,6 +12,7 @@ from pyspark.sql.types import StructField, StructType
 
 #: Python works on so many bytes of Arrow data at a time, a single longer row excepted.
 SLICE_BYTES = 8 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _A_TO_Z = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _WORD_BYTES = frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz") | frozenset(range(0x80, 0x100))
@@ -31,6 +32,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on Spark hands Python batches of about ``SLICE_BYTES`` at most, and not 10,000 rows however long; a bound that
+    the session has set already stays. Batches bear on memory alone."""
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, str(SLICE_BYTES))
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The rows of ``batch`` in parts of at most ``SLICE_BYTES``, in order."""
     if batch.num_rows <= 1 or batch.nbytes <= SLICE_BYTES:
