@@ -284,3 +284,19 @@ def test_limits_of_the_rules_as_listed():
     assert [(row[0], row[4]) for row in tables.STATE_STANDARDS if row[0] == "NY"] == [("NY", "7.0 (cold)"), ("NY", "4.0 (warm)")]
     assert [row[2:4] for row in tables.ECOREGION] == [("14.5", "0.4"), ("22", "0.6"), ("17.1", "0.345"), ("32.6", "0.482")]
     assert tables.PARK_STORE_CODE["MABI"] == "1062" and tables.PARK_STORE_CODE["WEFA"] == "1176"
+
+
+def test_set_minus_looks_at_the_whole_current_year(spark, tmp_path):
+    """A pair sampled in any month of the current year goes; only one without a sample in that year stays."""
+    from limnograph.queries import REGISTRY
+
+    spark.createDataFrame([(0, "NATION", 0)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(0, "AFRICA")], "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    spark.createDataFrame([(1, "S1", 0, 1.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double") \
+        .write.parquet(f"{tmp_path}/supplier.parquet")
+    lines = [(1, 1, 1, "2001-03-05"), (2, 1, 2, "2001-07-05"), (3, 1, 3, "2000-07-05")]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_linenumber int, d string").selectExpr(
+        "l_orderkey", "l_suppkey", "l_linenumber", "CAST(d AS TIMESTAMP) AS l_shipdate", "1D AS l_quantity", "0.05D AS l_discount") \
+        .write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = REGISTRY["set_minus"].run(spark, str(tmp_path)).collect()
+    assert [r.Characteristic for r in got] == ["Temp_C"]
