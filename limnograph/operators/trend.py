@@ -6,7 +6,7 @@ any measured value at or above the limit; every other pair with it is ambiguous
 slope is the one whose removal brings the score to zero: without censoring, the median of the
 pairwise slopes.
 
-Series of up to ``pair_rows`` samples are scored in Arrow batches, in O(n log n) with a bounded list of pairs. Longer ones
+Equal samples of a day are one row with their number. Series of up to ``pair_rows`` such rows are scored in Arrow batches, in O(n log n) with a bounded list of pairs. Longer ones
 are never brought together: they are cut into as many blocks of neighbouring values as they need, each block is counted
 by its own task, and halves of ever larger stretches of blocks are compared through their counts per day, of which a
 calendar bounds the number. The slope is narrowed down by counting, and then looked up among the pairs that are left.
@@ -38,6 +38,7 @@ BLOCK_ROWS = 50_000
 # Fixed value: days per year, to turn a slope per day into one per year.
 DAYS_PER_YEAR = 365.25
 _CANDIDATES = 15
+_DRAWN, _FEW_DRAWN = 200_000, 64
 _ROUNDS = 12
 _TIES = ["n", "n_days", "v2", "v3", "v5", "d2", "d3", "d5"]
 _SCORED = [T.StructField("s", T.LongType())] + [
@@ -82,34 +83,47 @@ def _side_by_side(before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np
     return place[turned], place[turned + 1]
 
 
-def _pair_slopes(i: np.ndarray, j: np.ndarray, t: np.ndarray, y: np.ndarray,
-                 measured: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def _pair_slopes(i: np.ndarray, j: np.ndarray, t: np.ndarray, y: np.ndarray, measured: np.ndarray,
+                 weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """Slopes of the pairs that count, sorted; what the score loses as each is removed; the score with all in place."""
     used = (t[i] != t[j]) & (measured[i] | measured[j])
     i, j = i[used], j[used]
     i, j = np.where(t[i] < t[j], i, j), np.where(t[i] < t[j], j, i)
     slopes, both = (y[j] - y[i]) / (t[j] - t[i]), measured[i] & measured[j]
-    s = np.sign(slopes[both]).sum() + (slopes[~both & measured[j]] >= 0).sum() - (slopes[~both & measured[i]] <= 0).sum()
+    w = np.ones(len(i), np.int64) if weight is None else weight[i] * weight[j]
+    sign = np.where(both, np.sign(slopes), np.where(measured[j], slopes >= 0, -1 * (slopes <= 0))).astype(np.int64)
     order = np.argsort(slopes, kind="stable")
-    return slopes[order], 1 + both[order].astype(np.int64), int(s)
+    return slopes[order], (w * (1 + both))[order], int((w * sign).sum())
 
 
-def _score_pairs(t: np.ndarray, y: np.ndarray, measured: np.ndarray, listed: int = LISTED_PAIRS) -> tuple[int, float | None]:
-    """Score and slope of a series that fits into a task.
+def _drawn_slopes(t: np.ndarray, y: np.ndarray, measured: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Sorted slopes of some pairs, drawn with a fixed seed. They say where to count and bear on cost alone."""
+    reach = np.cumsum(weight)
+    places = np.random.default_rng(0).integers(0, reach[-1], (2, _DRAWN))
+    i, j = np.searchsorted(reach, places, side="right")
+    return _pair_slopes(i, j, t, y, measured)[0]
+
+
+def _score_pairs(t: np.ndarray, y: np.ndarray, measured: np.ndarray, listed: int = LISTED_PAIRS,
+                 weight: np.ndarray | None = None) -> tuple[int, float | None]:
+    """Score and slope of a series that fits into a task; ``weight`` says how many samples each element stands for.
 
     The score falls as a larger slope is removed. The pair slope at which it stops being positive and the one at
     which it becomes negative are bracketed by counting until a bracket holds at most ``listed`` pairs (or only
-    equal slopes, up to rounding); these pairs alone are listed. The slope is the mean of the two.
+    equal slopes, up to rounding); these pairs alone are listed. The slope is the mean of the two. Candidates stand on
+    either side of the place among drawn slopes that the counts of the bracket point at, else half way.
     """
+    one = np.ones(len(t), np.int64)
+    weight = one if weight is None else weight
     if len(t) * (len(t) - 1) // 2 <= listed:
         i, j = np.triu_indices(len(t), 1)
-        slopes, drop, s = _pair_slopes(i, j, t, y, measured)
+        slopes, drop, s = _pair_slopes(i, j, t, y, measured, weight)
         later = measured[np.where(t[i] < t[j], j, i)] & (t[i] != t[j])
-        left = int(later.sum()) - np.cumsum(drop)
+        left = int((later * weight[i] * weight[j]).sum()) - np.cumsum(drop)
         places = [np.searchsorted(-left, 0, side) for side in (("left", "right") if later.any() else ("right",))]
         ends = [slopes[k] for k in places if k < len(slopes)]
         return s, (float(np.mean(ends)) if ends else None)
-    weight, t0, ranks, scores = np.ones(len(t), np.int64), t - t.min(), {}, {}
+    t0, ranks, scores, counts = t - t.min(), {}, {}, {}
 
     def score(beta: float) -> int:
         if beta not in scores:
@@ -117,10 +131,30 @@ def _score_pairs(t: np.ndarray, y: np.ndarray, measured: np.ndarray, listed: int
             scores[beta] = pair_score(t, ranks[beta], measured, weight)
         return scores[beta]
 
+    def held(low: float, high: float) -> int:
+        """No fewer than the pairs of a bracket, and at most twice as many where they are more than ``listed``."""
+        found = score(low) - score(high)
+        if found <= listed or weight is one:
+            return found
+        for beta in (low, high):
+            if beta not in counts:
+                counts[beta] = pair_score(t, ranks[beta], measured, one)
+        return counts[low] - counts[high]
+
     # Bounds that no pair slope reaches, and odd numbers so that no half way point is a slope that is likely.
     reach = float(np.ptp(y)) + 1.0
     bounds = -1.0377 * reach, 1.1931 * reach
     finest = 16 * np.finfo(float).eps * max(float(np.abs(y).max()), 1e-290)
+    drawn = _drawn_slopes(t, y, measured, weight)
+
+    def around(low: float, high: float) -> list[float]:
+        inside = drawn[np.searchsorted(drawn, low, side="right"):np.searchsorted(drawn, high, side="left")]
+        if len(inside) < _FEW_DRAWN:
+            return []
+        at = int(len(inside) * (score(low) / (score(low) - score(high))))
+        off = 2 * math.isqrt(len(inside))
+        return [inside[max(at - off, 0)] - finest / 2, inside[min(at + off, len(inside) - 1)] + finest / 2]
+
     ends = []
     for above in (lambda s: s > 0, lambda s: s >= 0):
         low, high = bounds
@@ -129,13 +163,18 @@ def _score_pairs(t: np.ndarray, y: np.ndarray, measured: np.ndarray, listed: int
         for b in sorted(scores):
             low, high = (b, high) if low < b < high and above(scores[b]) else (low, high)
         high = min(b for b in scores if b > low)
-        while score(low) - score(high) > listed and high - low > finest:
-            middle = low + (high - low) * 0.5
-            low, high = (middle, high) if above(score(middle)) else (low, middle)
-        equal = score(low) - score(high) > listed
+        while held(low, high) > listed and high - low > finest:
+            before = low, high
+            for b in around(low, high):
+                if low < b < high:
+                    low, high = (b, high) if above(score(b)) else (low, b)
+            if (low, high) == before:
+                middle = low + (high - low) * 0.5
+                low, high = (middle, high) if above(score(middle)) else (low, middle)
+        equal = held(low, high) > listed
         # Where all slopes are equal, up to rounding, the pairs that stand side by side have them all.
         i, j = (_side_by_side if equal else _turned)(ranks[low], ranks[high])
-        slopes, drop, _ = _pair_slopes(i, j, t, y, measured)
+        slopes, drop, _ = _pair_slopes(i, j, t, y, measured, weight)
         left = score(low) - np.cumsum(drop)
         if not len(slopes):
             ends.append(low + (high - low) * 0.5)
@@ -144,26 +183,31 @@ def _score_pairs(t: np.ndarray, y: np.ndarray, measured: np.ndarray, listed: int
     return pair_score(t, _ranked(y, measured), measured, weight), (float(np.mean(ends)) if ends else None)
 
 
-def _ties(values: np.ndarray) -> tuple[float, float, float]:
-    c = np.unique(values, return_counts=True)[1].astype(float)
+def _ties(values: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+    c = np.bincount(np.unique(values, return_inverse=True)[1], weight)
     return (c * (c - 1)).sum(), (c * (c - 1) * (c - 2)).sum(), (c * (c - 1) * (2 * c + 5)).sum()
 
 
-def _score_series(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _weighted(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Equal samples of a day as one row and their number ``w``."""
+    return samples.groupBy(*keys, "t", "y", "u").agg(F.count(F.lit(1)).alias("w"))
+
+
+def _score_series(weighted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Score, slope and tie sums of short series, one Arrow table each."""
-    schema = T.StructType([samples.schema[k] for k in keys] + _SCORED)
+    schema = T.StructType([weighted.schema[k] for k in keys] + _SCORED)
 
     def scored(key: tuple, series: pa.Table) -> pa.Table:
-        t, y, u = (series.column(c).to_numpy() for c in ("t", "y", "u"))
-        s, slope = _score_pairs(t.astype(float), y, u)
-        row = (s, slope, float(len(t)), float(len(np.unique(t))), *_ties(y), *_ties(t))
+        t, y, u, w = (series.column(c).to_numpy() for c in ("t", "y", "u", "w"))
+        s, slope = _score_pairs(t.astype(float), y, u, weight=w)
+        row = (s, slope, float(w.sum()), float(len(np.unique(t))), *_ties(y, w), *_ties(t, w))
         columns = {k: pa.array([v.as_py()], v.type) for k, v in zip(keys, key)}
         columns["s"] = pa.array([s], pa.int64())
         for name, value in zip(["slope", *_TIES], row[1:]):
             columns[name] = pa.array([value], pa.float64())
         return pa.table(columns)
 
-    return samples.groupBy(*keys).applyInArrow(scored, schema)
+    return weighted.groupBy(*keys).applyInArrow(scored, schema)
 
 
 def _samples(meas: DataFrame, keys: Sequence[str], value: str, censored: bool) -> DataFrame:
@@ -201,7 +245,9 @@ def trend_nonpar(meas: DataFrame, *, keys: Sequence[str] = SERIES, value: str =
         keys.append("month_num")
     samples = _samples(meas, keys, value, censored)
     hot = hot_groups(samples, keys, pair_rows)
-    scored = _score_series(hot.calm(samples, keys), keys)
+    if hot:  # a series is long by its different samples, as these are what a task holds
+        hot = hot_groups(_weighted(hot.rows(samples, keys), keys), keys, pair_rows)
+    scored = _score_series(_weighted(hot.calm(samples, keys), keys), keys)
     if hot:
         long = hot.rows(samples, keys)
         scores = _long_series(long, keys, block_rows, hot.few)
@@ -322,7 +368,7 @@ def _long_series(samples: DataFrame, keys: Sequence[str], block_rows: int, few:
     one short row for each.
     """
     small = F.broadcast if few else (lambda df: df)
-    weighted = samples.groupBy(*keys, "t", "y", "u").agg(F.count(F.lit(1)).alias("w"))
+    weighted = _weighted(samples, keys)
     sizes = weighted.groupBy(*keys).agg(F.min("t").alias("_t0"), (F.max("y") - F.min("y") + 1).alias("_reach"))
     weighted = checkpointed(join_on(weighted, small(sizes), keys))
     n_rows = weighted.count()

@@ -142,3 +142,25 @@ def test_equal_slopes_beyond_the_list_come_from_neighbours():
     for y, slope in ((3 + 0.1 * t, 0.1), (np.full(400, 2.5), 0.0), (np.where(t < 397, 1.0, 9.0), 0.0)):
         s, got = _score_pairs(t, y, np.ones(400, bool), listed=50)
         assert got == pytest.approx(slope, abs=1e-14) and s == np.sign(np.subtract.outer(y, y)[np.tril_indices(400, -1)]).sum()
+
+
+def test_equal_samples_of_a_day_are_counted_once(spark, samples, monkeypatch):
+    """A series of many equal samples costs what its different ones cost, and has the same result."""
+    import datetime as dt
+
+    from limnograph.operators import trend
+
+    rng = np.random.default_rng(5)
+    t, y, u, w = rng.integers(0, 60, 400) * 1.0, rng.integers(1, 9, 400) * 1.0, rng.random(400) < 0.8, rng.integers(1, 6, 400)
+    each = [np.repeat(x, w) for x in (t, y, u)]
+    for listed in (2_000_000, 10_000):
+        whole = _score_pairs(*each, listed=listed)
+        assert _score_pairs(t, y, u, listed=listed, weight=w) == (whole[0], pytest.approx(whole[1], abs=1e-12))
+    calls = []
+    counted = trend.pair_score
+    monkeypatch.setattr(trend, "pair_score", lambda *a: calls.append(1) or counted(*a))
+    trend._score_pairs(t, y, u, 1_000, weight=w)
+    assert len(calls) < 60  # halving the range of slopes alone takes 100 and more
+    rows = [(dt.date(2010, 1, 1 + d % 20), float(d % 3)) for d in range(60)] * 20
+    plain = trend_nonpar(samples(rows)).first()
+    assert trend_nonpar(samples(rows), pair_rows=100, block_rows=40).first() == plain and plain.n == 1_200
