@@ -82,10 +82,9 @@ def _vertices(span: float, margin: float) -> Column:
     return F.expr(f"concat(array({first} - {off}), {inner}, array({last} + {off}))")
 
 
-def _blended(kernels: DataFrame, keys: Sequence[str], grid: Column) -> DataFrame:
+def _blended(kernels: DataFrame, grid: Column) -> DataFrame:
     """Kernels on the grid: cubics between neighbouring vertices that keep their values and slopes."""
-    held = kernels.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_at", "_l", "_k"))).alias("_v"), F.first("_x").alias("_x"), F.first("_points").alias("_points"))
+    held = kernels.groupBy("_x").agg(F.array_sort(F.collect_list(F.struct("_at", "_l", "_k"))).alias("_v"))
     spots = held.withColumn("_at", F.explode(grid)) \
         .withColumn("_i", F.expr("greatest(1, least(size(_v) - 1, size(filter(_v, v -> v._at <= _at))))")) \
         .selectExpr("*", "element_at(_v, _i) AS _a", "element_at(_v, _i + 1) AS _b") \
@@ -117,10 +116,13 @@ def loess_bands(bands: DataFrame, *, columns: dict[str, str] | None = None, span
     series = bands.repartition(parts, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(point)).alias("_points")) \
         .withColumn("_x", F.col("_points._x"))
     spots = F.array(*[F.lit(float(g)) for g in grid])
+    # Series with the same months share their kernels, which are made once.
+    shapes = series.select("_x").distinct()
     if surface == "direct":
-        kernels = _kernels(series.withColumn("_at", F.explode(spots)), span)
+        kernels = _kernels(shapes.withColumn("_at", F.explode(spots)), span)
     else:
-        kernels = _blended(_kernels(series.withColumn("_at", F.explode(_vertices(span, margin))), span), keys, spots)
+        kernels = _blended(_kernels(shapes.withColumn("_at", F.explode(_vertices(span, margin))), span), spots)
+    kernels = series.join(kernels.select("_x", "_at", "_l"), "_x")
     inside = F.col("_at").between(F.element_at("_x", 1), F.element_at("_x", -1))
     weighted = kernels.withColumn("_l", F.when(inside, F.col("_l"))).select(
         *keys, "_at", F.explode(F.expr("transform(_points, (p, i) -> named_struct('l', _l[i], 'p', p))")).alias("_e"))

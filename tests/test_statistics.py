@@ -177,3 +177,12 @@ def test_pivot_loses_no_name(spark):
         found += [(r.d, u["name"], u["value"]) for r in wide.collect() for u in r.undeclared if u["value"] is not None]
         assert sorted(found, key=str) == sorted((r for r in rows if r[2] is not None), key=str)
     assert sorted(len(r.undeclared) for r in reshape.pivot_characteristics(df).collect()) == [0, 0, 0, 1]
+
+
+def test_series_with_the_same_months_share_their_kernels(spark, monkeypatch):
+    made, kernels = [], loess._kernels
+    monkeypatch.setattr(loess, "_kernels", lambda spots, span: made.append(spots) or kernels(spots, span))
+    df = spark.createDataFrame([(s, m, float(m * k)) for k, s in enumerate("abc") for m in range(5, 11)], "site string, mon_num int, v double")
+    got = loess.loess_bands(df, columns={"v": "s"}, keys=["site"]).collect()
+    assert len(got) == 33 and made[0].count() == len(loess.GRID)
+    assert {r.site: r.s for r in got if r.mon_num == 7.5} == pytest.approx({"a": 0.0, "b": 7.5, "c": 15.0})
