@@ -103,7 +103,8 @@ class Monitor:
                     park_code=None) -> dict[str, str]:
         """Stage the samples, write every dataset from them and publish the batch; ``batch.current_batch`` finds it."""
         spark = self.meas.sparkSession
-        meas, place = batch.staged(self.meas, self.params)
+        parks = None if parks is None else list(parks)
+        meas, place = batch.staged(self.meas, self.params, parks)
         datasets = batch.report_datasets(meas, self.sites, self.chars, self.params, descriptions=descriptions, boxes=boxes,
                                          park_code=park_code)
         paths = batch.write_batch(datasets, out, parks)

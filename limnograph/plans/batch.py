@@ -34,11 +34,14 @@ _MANIFEST = T.StructType([T.StructField(c, T.StringType()) for c in ("run", "dat
                          + [T.StructField("finished", T.TimestampType())])
 
 
-def staged(meas: DataFrame, params: ReportParams) -> tuple[DataFrame, str]:
-    """The samples that reports need, written once in the order in which datasets look for them; and where."""
-    rows = get_wdata(meas, years=(None, params.current))
+def staged(meas: DataFrame, params: ReportParams, parks: Iterable[str] | None = None) -> tuple[DataFrame, str]:
+    """The samples that reports of ``parks`` (default: all) need, written once, each series in the order of its dates; and where.
+
+    Series are spread by hash: ranges would be cut by a sample, for which all rows would be made once more.
+    """
+    rows = get_wdata(meas, park=None if parks is None else list(parks), years=(None, params.current))
     order = ["Park", "Site", "Characteristic", "Date"]
-    return written(rows.repartitionByRange(*order[:3]).sortWithinPartitions(*order), "staged-samples")
+    return written(rows.repartition(*order[:3]).sortWithinPartitions(*order), "staged-samples")
 
 
 def standards(sites: DataFrame, park_code=None) -> DataFrame:

@@ -300,3 +300,10 @@ def test_set_minus_looks_at_the_whole_current_year(spark, tmp_path):
         .write.parquet(f"{tmp_path}/lineitem.parquet")
     got = REGISTRY["set_minus"].run(spark, str(tmp_path)).collect()
     assert [r.Characteristic for r in got] == ["Temp_C"]
+
+
+def test_only_the_samples_of_a_batch_are_staged(samples):
+    meas = samples([("2019-06-01", 1.0), ("2020-06-01", 2.0)]).unionByName(samples([("2019-06-01", 3.0)], Park="MIMA"))
+    params = ReportParams(year_from=2006, year_to=2018, current=2019)
+    assert [r.Park for r in batch.staged(meas, params, ["MIMA"])[0].collect()] == ["MIMA"]
+    assert sorted(r.ValueCen for r in batch.staged(meas, params)[0].collect()) == [1.0, 3.0]
