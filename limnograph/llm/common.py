@@ -12,6 +12,8 @@ from pyspark.sql.types import StructField, StructType
 
 #: Python works on so many bytes of Arrow data at a time, a single longer row excepted.
 SLICE_BYTES = 8 << 20
+#: So much of it Spark hands over at a time where ``bounded_batches`` was called: each task has several copies of a batch.
+BATCH_BYTES = 2 << 20
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _A_TO_Z = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -33,10 +35,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """From now on Spark hands Python batches of about ``SLICE_BYTES`` at most, and not 10,000 rows however long; a bound that
+    """From now on Spark hands Python batches of about ``BATCH_BYTES`` at most, and not 10,000 rows however long; a bound that
     the session has set already stays. Batches bear on memory alone."""
     if spark.conf.get(_BATCH_BYTES, None) is None:
-        spark.conf.set(_BATCH_BYTES, str(SLICE_BYTES))
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

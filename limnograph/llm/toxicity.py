@@ -20,6 +20,8 @@ from limnograph.llm.common import col, map_rows, plain_words, slices
 
 #: Texts with at least this score count as toxic.
 THRESHOLD = 0.3
+#: Features that a Python worker counts before it hands the counts on.
+_COUNTED = 100_000
 
 
 @dataclass(frozen=True)
@@ -116,7 +118,7 @@ def _counted(texts: DataFrame, among) -> DataFrame:
             for part in slices(batch):
                 for text in part.column(0).to_pylist():
                     found.update(features(text) if among is None else features(text) & among.value)
-                if len(found) > 500_000:
+                if len(found) > _COUNTED:
                     yield emit(found)
                     found = Counter()
         if found:

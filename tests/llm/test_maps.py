@@ -10,6 +10,7 @@ import pytest
 import sentencepiece
 
 from limnograph.llm import decontaminate, notices, pieces
+from limnograph.llm.common import plain_words
 from limnograph.llm.queries import QUERIES
 from tests.llm.cases import CLASHING, LONG, TEXTS, documents
 
@@ -111,6 +112,21 @@ def test_decontaminate_equals_brute_force(spark, block_bytes):
     assert found == sorted((str(d), t or "", *_brute_decontaminate(t, ITEMS)) for d, t in rows)
 
 
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 20])
+def test_decontaminate_takes_one_python_worker_of_a_task(spark, block_bytes):
+    """Two steps in Python in one task keep two workers each, which all later stages use and fill in turn."""
+    words = "One2 two\u00a0three, FOUR-five \U0001f600six\x00seven _eight `nine {ten [eleven @twelve :thirteen /"
+    docs = spark.createDataFrame([(1, "x", 7, words), (2, "y", 8, None), (3, "z", 9, "\u00e9\U0001f600 a")],
+                                 "doc_id long, items string, N_HIT int, text string")
+    items = spark.createDataFrame([(1, words), (2, "a b"), (3, "\u00e9\U0001f600")], "item_id long, text string")
+    out = decontaminate.decontaminate(docs, items, block_bytes=block_bytes)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert out.columns == ["doc_id", "text", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
+    n = len(plain_words(words).split())
+    assert [tuple(r) for r in out.orderBy("doc_id").select("doc_id", "n_words", "n_hit", "n_items").collect()] == \
+        [(1, n, n, 1), (2, 0, 0, 0), (3, 2, 1, 1)]
+
+
 def test_decontaminate_empty_tables_and_removed_spans(spark):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in decontaminate.decontaminate(documents(spark), empty).collect()} == {0}
