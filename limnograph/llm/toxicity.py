@@ -20,8 +20,11 @@ from limnograph.llm.common import col, map_rows, plain_words, slices
 
 #: Texts with at least this score count as toxic.
 THRESHOLD = 0.3
-#: Features that a Python worker counts before it hands the counts on.
+#: Features of toxic texts that a Python worker counts before it hands the counts on.
 _COUNTED = 100_000
+#: Tasks that count features: so many, twice the cores, or one for every ``_JOINED`` partitions, whichever is most. Each hands
+#: on a feature once, so fewer tasks send fewer counts, and a task still reads a few partitions at most where there are many.
+_TASKS, _JOINED = 16, 4
 
 
 @dataclass(frozen=True)
@@ -94,9 +97,10 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     if not n_p:
         return Model({}, np.zeros((1, 1)))
     # Features that enough positive texts have; then in how many of all texts each of these occurs.
-    often = _counted(positive.select("text"), None).where(F.col("n") >= fit.least_texts).collect()
+    gathered = _gathered(texts)
+    often = _counted(gathered.join(toxic, "doc_id", "left_semi").select("text")).where(F.col("n") >= fit.least_texts).collect()
     p = {r.feature: r.n for r in often}
-    u = {r.feature: r.n for r in _counted(texts.select("text"), spark.sparkContext.broadcast(frozenset(p))).collect()}
+    u = _counted_among(gathered.select("text"), list(p))
     places = {f: i for i, f in enumerate(_chosen(p, u, n_p, n_all, fit))}
     if not places:
         return Model({}, np.zeros((1, 1)))
@@ -110,14 +114,20 @@ def train(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     return Model(places, np.array(weights))
 
 
-def _counted(texts: DataFrame, among) -> DataFrame:
-    """(feature, n): in how many texts each feature occurs; only those of the broadcast set ``among`` if there is one."""
+def _gathered(texts: DataFrame) -> DataFrame:
+    """``texts`` in fewer partitions, without a shuffle."""
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.coalesce(max(_TASKS, 2 * cores, texts.rdd.getNumPartitions() // _JOINED))
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    """(feature, n): in how many texts each feature occurs."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Counter()
         for batch in batches:
             for part in slices(batch):
                 for text in part.column(0).to_pylist():
-                    found.update(features(text) if among is None else features(text) & among.value)
+                    found.update(features(text))
                 if len(found) > _COUNTED:
                     yield emit(found)
                     found = Counter()
@@ -130,6 +140,28 @@ def _counted(texts: DataFrame, among) -> DataFrame:
     return texts.mapInArrow(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
+def _counted_among(texts: DataFrame, among: list[str]) -> dict[str, int]:
+    """In how many texts each feature of ``among`` occurs; those in none are left out.
+
+    A task keeps one number for each feature of ``among`` and hands it on once, at its end.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(among)})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = shared.value
+        n = np.zeros(len(places), np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                for text in part.column(0).to_pylist():
+                    found = features(text) & places.keys()
+                    n[np.fromiter(map(places.__getitem__, found), np.int64, len(found))] += 1
+        met = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(n[met])], names=["place", "n"])
+
+    counts = texts.mapInArrow(count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
+    return {among[r.place]: r.n for r in counts}
+
+
 def _chosen(p: dict[str, int], u: dict[str, int], n_p: int, n_u: int, fit: Fit) -> list[str]:
     """Features that are surely commoner in the positive texts, the most surprising first."""
     ranked = []

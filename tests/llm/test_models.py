@@ -39,6 +39,51 @@ def test_toxicity_awkward_rows(spark):
     assert toxicity.score_toxicity(documents(spark, []), model).count() == 0
 
 
+def test_toxicity_hands_a_feature_on_once_a_task(spark, monkeypatch):
+    """However many batches a task reads, and however many features there are."""
+    texts = [(i, " ".join(f"w{j:04d}" for j in range(50))) for i in range(40)]
+    docs = documents(spark, texts).repartition(3, "doc_id")
+    labels = spark.createDataFrame([(i, 1, int(i < 12)) for i in range(40)], "doc_id long, quality int, toxic int")
+    made, real = [], type(docs).mapInArrow
+
+    def kept(self, *args, **kwargs):
+        made.append(real(self, *args, **kwargs))
+        return made[-1]
+
+    monkeypatch.setattr(toxicity, "_COUNTED", 10)
+    monkeypatch.setattr(type(docs), "mapInArrow", kept)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        toxicity.train(docs, labels)
+        of_toxic, of_all = (df.collect() for df in made if df.columns[-1] == "n")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    features = len(toxicity.features(texts[0][1]))
+    assert len(of_all) <= 3 * features and sum(r.n for r in of_all) == len(texts) * features
+    assert len({r.feature for r in of_toxic}) == features
+
+
+def test_toxicity_counts_in_fewer_tasks(spark):
+    most = max(toxicity._TASKS, 2 * spark.sparkContext.defaultParallelism)
+    docs = documents(spark, [(i, f"word{i % 7} other") for i in range(200)])
+    tasks = {n: toxicity._gathered(docs.repartition(n)).rdd.getNumPartitions() for n in (3, 2 * most, 6 * most)}
+    assert tasks == {3: 3, 2 * most: most, 6 * most: 6 * most // toxicity._JOINED}
+
+
+def test_toxicity_counts_equal_those_by_hand(spark):
+    texts = ["Aa aa BB", None, "", "aa été", "longer words longer", "lone"] * 3
+    docs = documents(spark, list(enumerate(texts))).repartition(5).select("text")
+    by_hand = {}
+    for text in texts:
+        for f in toxicity.features(text):
+            by_hand[f] = by_hand.get(f, 0) + 1
+    assert {r.feature: r.n for r in toxicity._counted(docs).collect()} == by_hand
+    among = ["aa", "absent", "long*", "été", "words"]
+    assert toxicity._counted_among(docs, among) == {f: by_hand[f] for f in among if f in by_hand}
+    assert toxicity._counted_among(docs, []) == {} == toxicity._counted_among(docs.limit(0), among)
+
+
 def test_secret_candidates_have_their_places(spark):
     text = "é " + " ".join(f"pad{i} AKIA{'ABCDEFGH12345678'[::-1]}" for i in range(700)) + " antidisestablishmentarianism 1234567890123456"
     found = secrets.candidates(documents(spark, [(1, text), *TEXTS])).orderBy("row_key", "nth").collect()
